@@ -1 +1,13 @@
 """Column functions, all built from Spark's own."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once per row and hand it to `use`."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from modelyard.functions.text import strip
-
-# The shapes of the log lines.
-EPOCH_LINE = r"Epoch (\d+)/(\d+)"
-BATCH_LINE = r"Batch (\d+)/(\d+) - Loss: ([\d.]+)"
-TRAIN_LINE = r"Epoch (\d+) Training - Loss: ([\d.]+), Accuracy: ([\d.]+)"
-VALID_LINE = r"Epoch (\d+) Validation - Loss: ([\d.]+), Accuracy: ([\d.]+)"
+# The shapes of the log lines, and the numbers in them.
+EPOCH_LINE = r"Epoch \d+/\d+"
+BATCH_LINE = r"Batch \d+/\d+ - Loss: [\d.]+"
+TRAIN_LINE = r"Epoch \d+ Training - Loss: [\d.]+, Accuracy: [\d.]+"
+VALID_LINE = r"Epoch \d+ Validation - Loss: [\d.]+, Accuracy: [\d.]+"
+NUMBER = r"[\d.]+"
 FINISHED_MARK = "Training process finished successfully"
 FAILED_MARK = "Training failed"
 CRITICAL_MARK = "critical error"
@@ -23,16 +22,9 @@ LINE_FIELDS = (
 )
 
 
-def _group(line: Column, pattern: str, index: int) -> Column:
-    return F.nullif(F.regexp_extract(line, pattern, index), F.lit(""))
-
-
-def _number(line: Column, pattern: str, index: int) -> Column:
-    return _group(line, pattern, index).try_cast("double")
-
-
-def _count(line: Column, pattern: str, index: int) -> Column:
-    return _group(line, pattern, index).try_cast("bigint")
+def _numbers(line: Column, guard: Column, pattern: str) -> Column:
+    """The numbers of a pattern in order, tried only on lines that pass a plain substring test."""
+    return F.when(guard, F.regexp_extract_all(F.regexp_extract(line, pattern, 0), F.lit(NUMBER), F.lit(0)))
 
 
 def is_finished(line: Column) -> Column:
@@ -43,39 +35,48 @@ def is_failed(line: Column) -> Column:
     return line.contains(FAILED_MARK) | F.lower(line).contains(CRITICAL_MARK)
 
 
-def line_fields(line: Column) -> dict[str, Column]:
-    """What one line says about each progress field; null where it says nothing.
+def line_parts(line: Column) -> Column:
+    """The pieces of one line as a struct; no numbers where a pattern does not occur."""
+    return F.struct(
+        _numbers(line, line.contains("Epoch ") & line.contains("/"), EPOCH_LINE).alias("header"),
+        _numbers(line, line.contains("Batch "), BATCH_LINE).alias("batch"),
+        _numbers(line, line.contains(" Training - Loss: "), TRAIN_LINE).alias("trained"),
+        _numbers(line, line.contains(" Validation - Loss: "), VALID_LINE).alias("validated"),
+        is_finished(line).alias("finished"),
+        is_failed(line).alias("failed"),
+    )
+
+
+def fields_of() -> dict[str, Column]:
+    """What a line and its pieces say about each progress field; null where they say nothing.
 
     An epoch header counts the epochs before it, and a validation line empties the batch note.
     """
-    epoch = _group(line, EPOCH_LINE, 1)
-    trained = _group(line, TRAIN_LINE, 1)
-    validated = _group(line, VALID_LINE, 1)
-    batch = _group(line, BATCH_LINE, 1)
-    finished, failed = is_finished(line), is_failed(line)
+
+    def number(part: str, index: int) -> Column:
+        return F.get(F.col(part), F.lit(index))
+
+    epoch, trained, validated = number("header", 0), number("trained", 0), number("validated", 0)
     return {
         "current_epoch": F.coalesce(trained.try_cast("bigint"), epoch.try_cast("bigint") - 1),
-        "total_epochs": _count(line, EPOCH_LINE, 2),
-        "train_loss": _number(line, TRAIN_LINE, 2),
-        "train_acc": _number(line, TRAIN_LINE, 3),
-        "val_loss": _number(line, VALID_LINE, 2),
-        "val_acc": _number(line, VALID_LINE, 3),
-        "status": F.when(failed, F.lit("Training failed"))
-        .when(finished, F.lit("Training complete!"))
+        "total_epochs": number("header", 1).try_cast("bigint"),
+        "train_loss": number("trained", 1).try_cast("double"),
+        "train_acc": number("trained", 2).try_cast("double"),
+        "val_loss": number("validated", 1).try_cast("double"),
+        "val_acc": number("validated", 2).try_cast("double"),
+        "status": F.when(F.col("failed"), F.lit("Training failed"))
+        .when(F.col("finished"), F.lit("Training complete!"))
         .when(validated.isNotNull(), F.concat(F.lit("Epoch "), validated, F.lit(" complete")))
         .when(trained.isNotNull(), F.concat(F.lit("Epoch "), trained, F.lit(" — validating...")))
-        .when(
-            epoch.isNotNull(),
-            F.concat(F.lit("Training epoch "), epoch, F.lit("/"), _group(line, EPOCH_LINE, 2)),
-        ),
-        "finished": finished,
-        "failed": failed,
-        "error_message": F.when(failed, strip(line)),
+        .when(epoch.isNotNull(), F.concat(F.lit("Training epoch "), epoch, F.lit("/"), number("header", 1))),
+        "finished": F.col("finished"),
+        "failed": F.col("failed"),
+        "error_message": F.when(F.col("failed"), F.col("line")),
         "last_batch_info": F.when(validated.isNotNull(), F.lit("")).when(
-            batch.isNotNull(),
+            number("batch", 0).isNotNull(),
             F.concat(
-                F.lit("Batch "), batch, F.lit("/"), _group(line, BATCH_LINE, 2),
-                F.lit(" | Loss: "), _group(line, BATCH_LINE, 3),
+                F.lit("Batch "), number("batch", 0), F.lit("/"), number("batch", 1),
+                F.lit(" | Loss: "), number("batch", 2),
             ),
         ),
     }

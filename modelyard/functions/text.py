@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from modelyard.functions import let
+
 # The characters that count as white space.
 WHITE_SPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
@@ -17,7 +19,9 @@ WHITE_SPACE = (
 
 # Section markers, file blocks, default summary.
 SECTION_MARK = r"(?dU)===\s*FILE:\s*(.+?)\s*===|===\s*SUMMARY\s*==="
-FILE_BLOCK = r"(?sU)(?:#{1,4}\s*)?(\w+\.(?:py|yaml|yml|txt))\s*\n```\w*\n(.*?)```"
+FILE_BLOCK = r"(?sU)(?:#{1,4}\s*)?(?<!\w)\w++\.(?:py|yaml|yml|txt)\s*\n```\w*\n.*?```"
+FILE_BLOCK_NAME = r"(?U)(\w+\.\w+)"
+FILE_BLOCK_BODY = r"(?sU)```\w*\n(.*)```\z"
 DEFAULT_SUMMARY = "Code generated successfully"
 
 # Messages that point at the infrastructure, not at the code.
@@ -77,53 +81,83 @@ def strip_fences(c: Column) -> Column:
     return F.regexp_replace(opened, r"(?:\A|\n)[^\S\n]*```[^\S\n]*\z", "")
 
 
-def _last_of_each(sections: Column) -> Column:
-    """Of sections with the same name keep the last."""
-    return F.filter(
-        sections,
-        lambda s, i: ~F.exists(
-            F.slice(sections, i + 2, F.size(sections)), lambda later: later["name"] == s["name"]
+def _last_of_each(files: Column) -> Column:
+    """Of files with the same name keep the last."""
+    return let(
+        files,
+        lambda all_files: F.filter(
+            all_files,
+            lambda f, i: ~F.exists(
+                F.slice(all_files, i + 2, F.size(all_files)), lambda later: later["name"] == f["name"]
+            ),
         ),
     )
 
 
-def delimited_files(raw: Column) -> Column:
-    """`=== FILE: name ===` sections as array<struct<name,content>>."""
+def _sections(raw: Column) -> Column:
+    """Text between markers as array<struct<name,body>>; a summary has an empty name."""
     names = F.regexp_extract_all(raw, F.lit(SECTION_MARK), F.lit(1))
-    bodies = F.slice(F.split(raw, SECTION_MARK, -1), F.lit(2), F.size(names) + 1)
-    pairs = F.zip_with(
-        names,
+    bodies = F.split(raw, SECTION_MARK, -1)
+    return let(
         bodies,
-        lambda n, b: F.struct(strip(n).alias("name"), strip_fences(strip(b)).alias("content")),
+        lambda b: F.zip_with(
+            names,
+            F.slice(b, F.lit(2), F.size(b)),
+            lambda name, body: F.struct(strip(name).alias("name"), strip(body).alias("body")),
+        ),
     )
+
+
+def _files_of(sections: Column) -> Column:
     named = F.filter(
-        pairs,
-        lambda s: s["name"].contains(".")
-        & (F.length(s["name"]) < 50)
-        & ~s["name"].contains("===")
-        & (s["content"] != ""),
+        sections,
+        lambda s: s["name"].contains(".") & (F.length(s["name"]) < 50) & ~s["name"].contains("==="),
     )
-    return _last_of_each(named)
+    files = F.transform(
+        named, lambda s: F.struct(s["name"].alias("name"), strip_fences(s["body"]).alias("content"))
+    )
+    return _last_of_each(F.filter(files, lambda f: f["content"] != ""))
 
 
-def delimited_summary(raw: Column) -> Column:
-    """Text after the last `=== SUMMARY ===`, or the default."""
-    names = F.regexp_extract_all(raw, F.lit(SECTION_MARK), F.lit(1))
-    bodies = F.slice(F.split(raw, SECTION_MARK, -1), F.lit(2), F.size(names) + 1)
-    summaries = F.filter(
-        F.zip_with(names, bodies, lambda n, b: F.when(n == "", strip(b))), lambda s: s.isNotNull()
+def _summary_of(sections: Column) -> Column:
+    summaries = F.filter(sections, lambda s: s["name"] == "")
+    return F.coalesce(F.try_element_at(summaries, F.lit(-1))["body"], F.lit(DEFAULT_SUMMARY))
+
+
+def delimited(raw: Column) -> Column:
+    """`=== FILE: name ===` sections as struct<files array<struct<name,content>>, summary>.
+
+    The summary is the text after the last `=== SUMMARY ===`, or the default.
+    """
+    return let(
+        _sections(raw),
+        lambda s: F.struct(_files_of(s).alias("files"), _summary_of(s).alias("summary")),
     )
-    return F.coalesce(F.try_element_at(summaries, F.lit(-1)), F.lit(DEFAULT_SUMMARY))
 
 
 def fenced_files(raw: Column) -> Column:
     """Fenced blocks that follow a file name, as array<struct<name,content>>."""
-    pairs = F.zip_with(
-        F.regexp_extract_all(raw, F.lit(FILE_BLOCK), F.lit(1)),
-        F.regexp_extract_all(raw, F.lit(FILE_BLOCK), F.lit(2)),
-        lambda n, b: F.struct(n.alias("name"), strip(b).alias("content")),
+    blocks = F.regexp_extract_all(raw, F.lit(FILE_BLOCK), F.lit(0))
+    return _last_of_each(
+        F.transform(
+            blocks,
+            lambda b: F.struct(
+                F.regexp_extract(b, FILE_BLOCK_NAME, 1).alias("name"),
+                strip(F.regexp_extract(b, FILE_BLOCK_BODY, 1)).alias("content"),
+            ),
+        )
+    )
+
+
+def several_files(raw: Column) -> Column:
+    """Sections between markers, or fenced blocks where there are none."""
+    return let(
+        delimited(raw),
+        lambda d: F.struct(
+            F.when(F.size(d["files"]) > 0, d["files"]).otherwise(fenced_files(raw)).alias("files"),
+            d["summary"].alias("summary"),
+        ),
     )
-    return _last_of_each(pairs)
 
 
 def strip_json_fence(c: Column) -> Column:

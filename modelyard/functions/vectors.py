@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from modelyard.functions import let
+
 # Statistics the inputs are standardised with, brightest byte, blank level.
 MEAN = 0.1307
 STD = 0.3081
@@ -42,11 +44,6 @@ def relu(v: Column) -> Column:
     return F.transform(v, lambda x: F.greatest(x, F.lit(0.0)))
 
 
-def let(value: Column, use) -> Column:
-    """Evaluate `value` once per row and hand it to `use`."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x)
 

@@ -31,14 +31,8 @@ def split_files(df: DataFrame, raw: str, keep: Sequence[str]) -> DataFrame:
 
     Sections between markers come first; fenced blocks are read only where there are none.
     """
-    parsed = df.select(
-        *keep,
-        F.col(raw).alias("_raw"),
-        text.delimited_files(F.col(raw)).alias("_files"),
-        text.delimited_summary(F.col(raw)).alias("summary"),
-    )
-    files = F.when(F.size("_files") > 0, F.col("_files")).otherwise(text.fenced_files(F.col("_raw")))
-    return parsed.select(*keep, F.inline(files), "summary")
+    parsed = df.select(*keep, text.several_files(F.col(raw)).alias("_parsed"))
+    return parsed.select(*keep, F.inline("_parsed.files"), F.col("_parsed.summary").alias("summary"))
 
 
 def fenced_blocks(df: DataFrame, raw: str, keep: Sequence[str]) -> DataFrame:

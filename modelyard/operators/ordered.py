@@ -46,10 +46,14 @@ def running(
     order: Sequence[str],
     steps: Sequence[Running],
     max_rows_per_key: int | None = None,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
-    """Add the running values; `order` must leave no ties within a key."""
+    """Add the running values; `order` must leave no ties within a key.
+
+    `sized_by` is a table that is cheaper to count and has at least as many rows per key.
+    """
     cap = max_rows_per_key or limit_setting(df.sparkSession, ROWS_PER_KEY, 2_000_000)
-    if keys and largest_key(df, keys) <= cap:
+    if keys and largest_key(df if sized_by is None else sized_by, keys) <= cap:
         window = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumns({s.name: _in_window(s, window) for s in steps})
     return _running_blocked(df, keys, order, steps, cap)

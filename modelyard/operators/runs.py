@@ -19,29 +19,27 @@ FAILURE_LINES = 20
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """`(run_id, seq)` with what each non-blank line says about every progress field."""
-    text = strip(F.col("line"))
-    parsed = lines.select("run_id", "seq", text.alias("line")).filter("line <> ''")
-    return parsed.select("run_id", "seq", *[c.alias(n) for n, c in runlog.line_fields(F.col("line")).items()])
+    text = lines.select("run_id", "seq", strip(F.col("line")).alias("line")).filter("line <> ''")
+    # The one-element inline keeps later filters from repeating the patterns.
+    parts = text.select("run_id", "seq", "line", F.inline(F.array(runlog.line_parts(F.col("line")))))
+    return parts.select("run_id", "seq", *[c.alias(n) for n, c in runlog.fields_of().items()])
 
 
 def informative(parsed: DataFrame) -> DataFrame:
     """Lines that change some field; all others can go before any shuffle."""
-    said = [F.col(n).isNotNull() for n in runlog.LINE_FIELDS if n not in ("finished", "failed")]
-    keep = F.col("finished") | F.col("failed")
-    for one in said:
-        keep = keep | one
-    return parsed.filter(keep)
+    said = F.col("finished") | F.col("failed") | F.col("status").isNotNull() | F.col("last_batch_info").isNotNull()
+    return parsed.filter(said)
 
 
-def until_terminal(parsed: DataFrame) -> DataFrame:
-    """Drop what follows the first line that ends a run."""
+def until_terminal(lines: DataFrame) -> DataFrame:
+    """Drop what follows the first line that ends a run; only plain substring tests are needed."""
     ends = (
-        parsed.filter(F.col("finished") | F.col("failed"))
+        lines.filter(runlog.is_finished(F.col("line")) | runlog.is_failed(F.col("line")))
         .groupBy("run_id")
         .agg(F.min("seq").alias("_end"))
     )
     return (
-        parsed.join(ends, "run_id", "left")
+        lines.join(ends, "run_id", "left")
         .filter(F.col("_end").isNull() | (F.col("seq") <= F.col("_end")))
         .drop("_end")
     )
@@ -73,7 +71,7 @@ def fold_progress(parsed: DataFrame, total_epochs: Column | None = None) -> Data
 
 def final_progress(lines: DataFrame, total_epochs: Column | None = None) -> DataFrame:
     """Progress of each run at its end, or at its first terminal line."""
-    return fold_progress(until_terminal(parse_lines(lines)), total_epochs)
+    return fold_progress(parse_lines(until_terminal(lines)), total_epochs)
 
 
 def progress_by_line(lines: DataFrame, max_rows_per_key: int | None = None) -> DataFrame:
@@ -84,7 +82,7 @@ def progress_by_line(lines: DataFrame, max_rows_per_key: int | None = None) -> D
     ended = (F.col("finished") | F.col("failed")).cast("int")
     steps = [Running(f"now_{n}", "last", F.col(n)) for n in carried]
     steps += [Running("now_best", "max", F.col("val_acc")), Running("_ended", "max", ended, before=True)]
-    folded = running(parsed, ["run_id"], ["seq"], steps, max_rows_per_key)
+    folded = running(parsed, ["run_id"], ["seq"], steps, max_rows_per_key, sized_by=lines)
     start = {"status": "Starting...", "last_batch_info": ""}
     return folded.filter(F.coalesce(F.col("_ended"), F.lit(0)) == 0).select(
         "run_id",
@@ -121,7 +119,7 @@ def failure_tail(lines: DataFrame, outcomes: DataFrame, n: int = FAILURE_LINES)
 def replayed_progress(lines: DataFrame, n: int = REPLAY_LINES) -> DataFrame:
     """Progress rebuilt from the last n lines of each run."""
     recent = tail(lines, "run_id", "seq", n)
-    return fold_progress(until_terminal(parse_lines(recent)))
+    return fold_progress(parse_lines(until_terminal(recent)))
 
 
 def elapsed(df: DataFrame, run: str, at: str) -> DataFrame:
