@@ -171,4 +171,4 @@ def missing_items(expected: DataFrame, found: DataFrame, name: str) -> DataFrame
 
 def any_found(expected: DataFrame, found: DataFrame, name: str) -> DataFrame:
     """True when at least one expected item is there; only their total absence is an error."""
-    return found.join(F.broadcast(expected), name, "left_semi").agg((F.count(F.lit(1)) > 0).alias("found"))
+    return found.join(expected, name, "left_semi").agg((F.count(F.lit(1)) > 0).alias("found"))

@@ -55,9 +55,8 @@ def descriptions(
     lines = F.split(F.col(content), "\n", -1)
     split = turns.select(conversation, turn, lines.alias("_lines"))
     last_blank = _blank(F.element_at("_lines", -1))
-    seen = running(
-        split, [conversation], [turn], [Running("_blank_before", "previous", last_blank)], max_rows_per_key
-    )
+    before = [Running("_blank_before", "previous", last_blank)]
+    seen = running(split, [conversation], [turn], before, max_rows_per_key, sized_by=turns)
     stops = F.transform(
         F.col("_lines"),
         lambda line, i: F.when(
@@ -69,8 +68,8 @@ def descriptions(
         ),
     )
     marked = seen.withColumn("_stop", F.array_min(stops))
-    stopped = Running("_stopped", "max", F.col("_stop").isNotNull().cast("int"), before=True)
-    open_turns = running(marked, [conversation], [turn], [stopped], max_rows_per_key).filter(
+    stopped = [Running("_stopped", "max", F.col("_stop").isNotNull().cast("int"), before=True)]
+    open_turns = running(marked, [conversation], [turn], stopped, max_rows_per_key, sized_by=turns).filter(
         F.coalesce(F.col("_stopped"), F.lit(0)) == 0
     )
     kept = F.filter(

@@ -13,6 +13,9 @@ from modelyard.operators.ordered import Running, running
 BATCH_SIZE = 64
 REPORT_EVERY = 100
 
+ROWS_PER_BLOCK = 500_000
+MAX_BLOCK_DIGITS = 4
+
 
 def hash_bucket(id_column: Column, buckets: int, seed: str = "") -> Column:
     """A bucket from 0 to buckets-1 out of the md5 of the id."""
@@ -35,14 +38,14 @@ def shuffled_batches(
 
     The order is that of an md5, so its leading hex digits cut the rows into even blocks that
     are a function of the id alone: block counts give each block its offset, and rows are
-    numbered inside their block. No step sorts the whole table in one task.
+    numbered inside their block. No step sorts the whole table in one task, and there are
+    65,536 blocks at most, which bounds the offsets that are broadcast.
     """
-    per_block = 500_000
-    digits = max(1, math.ceil(math.log(max(df.count() / per_block, 1), 16)))
+    wanted_blocks = max(df.count() / ROWS_PER_BLOCK, 1)
+    digits = min(max(1, math.ceil(math.log(wanted_blocks, 16))), MAX_BLOCK_DIGITS)
     key = F.md5(F.concat(F.lit(f"{seed}:{epoch}:"), F.col(id_column).cast("string")))
     keyed = df.withColumn("_key", key).withColumn("_block", F.substring("_key", 1, digits))
     counts = keyed.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
-    # 16 ** digits rows at most.
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     in_block = Window.partitionBy("_block").orderBy("_key", id_column)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 import time
 from dataclasses import dataclass, field
 
@@ -20,7 +21,7 @@ from modelyard.operators.metrics import evaluate
 from modelyard.operators.profile import uniform_sample
 from modelyard.operators.splits import BATCH_SIZE, hash_bucket, train_test_split
 from modelyard.plans.network import LEARNING_RATE, Network, Parameters, gradient_job, optimizer, pack, score, unpack
-from modelyard.session import discard, new_folder
+from modelyard.session import discard, new_folder, pinned
 from modelyard.sources.tables import write_checkpoint
 
 EPOCH_SCHEMA = "run_id string, epoch int, phase string, loss double, accuracy double"
@@ -142,6 +143,13 @@ def epoch_log(epochs: DataFrame) -> DataFrame:
     return by_phase.select("run_id", F.inline(lines)).withColumn("seq", F.col("seq").cast("bigint"))
 
 
+def _reason(problem: Exception) -> str:
+    """The line that names the error, out of a trace that may come from an executor."""
+    lines = [line.strip() for line in str(problem).splitlines() if line.strip()]
+    named = [line for line in lines if re.match(r"\w+(Error|Exception): ", line)]
+    return (named or lines or [type(problem).__name__])[-1 if named else 0]
+
+
 def dry_run(
     df: DataFrame, id_column: str, features: str, label: str, network: Network, seed: int = 42
 ) -> dict[str, object]:
@@ -152,7 +160,8 @@ def dry_run(
     flags = {"forward": True, "backward": True, "stepped": True}
     loss = math.nan
     sample = uniform_sample(df.select(id_column, features, label), id_column, DRY_RUN_BATCHES * BATCH_SIZE, seed)
-    drawn = sample.withColumn("batch", hash_bucket(F.col(id_column), DRY_RUN_BATCHES, f"dry {seed}"))
+    # 128 rows, drawn once.
+    drawn = pinned(sample.withColumn("batch", hash_bucket(F.col(id_column), DRY_RUN_BATCHES, f"dry {seed}")))
     try:
         for batch in range(DRY_RUN_BATCHES):
             n, total, _, gradient = gradient_job(drawn.filter(F.col("batch") == batch), parameters, features, label)
@@ -167,5 +176,5 @@ def dry_run(
             parameters = unpack(flat, parameters)
         error = None
     except Exception as problem:
-        flags, error = dict.fromkeys(flags, False), str(problem).splitlines()[0]
+        flags, error = dict.fromkeys(flags, False), _reason(problem)
     return {"succeeded": error is None and all(flags.values()), **flags, "loss": loss, "error": error}

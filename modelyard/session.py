@@ -1,4 +1,4 @@
-"""Sessions, shared folders and size checks."""
+"""Sessions, shared folders and limits."""
 
 from __future__ import annotations
 
@@ -6,10 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 ROWS_PER_KEY = "spark.modelyard.maxRowsPerKey"
-BROADCAST_ROWS = "spark.modelyard.maxBroadcastRows"
 
 
 def local_session(name: str = "modelyard", cpus: int | str = "*") -> SparkSession:
@@ -66,9 +64,3 @@ def pinned(df: DataFrame) -> DataFrame:
 
 def limit_setting(spark: SparkSession, name: str, default: int) -> int:
     return int(spark.conf.get(name, str(default)))
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Hint a broadcast only after counting; a larger side is left to a shuffled join."""
-    cap = max_rows or limit_setting(df.sparkSession, BROADCAST_ROWS, 200_000)
-    return F.broadcast(df) if df.limit(cap + 1).count() <= cap else df

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,12 +70,17 @@ def write_checkpoint(
     spark: SparkSession, path: str, epoch: int, parameters: dict[str, np.ndarray], accuracy: float, best: float
 ) -> None:
     """Parameters and optimizer state of one epoch; written again it replaces only itself."""
-    rows = [
-        (name, list(value.shape), [float(x) for x in value.ravel()], accuracy, best)
-        for name, value in parameters.items()
-    ]
-    schema = CHECKPOINT_SCHEMA.rsplit(",", 1)[0]
-    spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+    count = len(parameters)
+    rows = pa.table(
+        {
+            "name": list(parameters),
+            "shape": pa.array([list(v.shape) for v in parameters.values()], pa.list_(pa.int32())),
+            "values": pa.array([v.astype(float).ravel() for v in parameters.values()], pa.list_(pa.float64())),
+            "accuracy": [accuracy] * count,
+            "best_accuracy": [best] * count,
+        }
+    )
+    spark.createDataFrame(rows).coalesce(1).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
 
 def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:
@@ -85,7 +91,9 @@ def best_or_last_epoch(checkpoints: DataFrame) -> int:
     """The best epoch, or the last one when no epoch scored above zero."""
     epochs = checkpoints.groupBy("epoch").agg(F.max("accuracy").alias("accuracy"))
     best = best_epoch(epochs, [], "accuracy", ["epoch"]).first()
-    return best["epoch"] if best else epochs.agg(F.max("epoch")).first()[0]
+    if best is not None and best["epoch"] is not None:
+        return best["epoch"]
+    return epochs.agg(F.max("epoch")).first()[0]
 
 
 def load_parameters(checkpoints: DataFrame, epoch: int) -> dict[str, np.ndarray]:

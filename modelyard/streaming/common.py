@@ -7,17 +7,23 @@ from pyspark.sql import DataFrame, SparkSession
 LINE_SCHEMA = "run_id string, seq bigint, line string"
 
 
+# What one micro-batch may take in; it bounds the rows of a key that a task holds at once.
+BATCH_BYTES = 1 << 30
+
+
 def table_stream(
-    spark: SparkSession, folder: str, name: str, schema, max_bytes_per_trigger: str | None = None
+    spark: SparkSession, folder: str, name: str, schema, max_bytes_per_trigger: int = BATCH_BYTES
 ) -> DataFrame:
-    """The Parquet files of one table as a stream; the byte limit bounds what a batch holds."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-    if max_bytes_per_trigger:
-        reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
-    return reader.parquet(folder)
+    """The Parquet files of one table as a stream."""
+    return (
+        spark.readStream.schema(schema)
+        .option("pathGlobFilter", f"{name}.parquet")
+        .option("maxBytesPerTrigger", max_bytes_per_trigger)
+        .parquet(folder)
+    )
 
 
-def line_stream(spark: SparkSession, folder: str, max_bytes_per_trigger: str = "8g") -> DataFrame:
+def line_stream(spark: SparkSession, folder: str, max_bytes_per_trigger: int = BATCH_BYTES) -> DataFrame:
     """Log lines followed as files arrive."""
     return (
         spark.readStream.schema(LINE_SCHEMA).option("maxBytesPerTrigger", max_bytes_per_trigger).json(folder)
