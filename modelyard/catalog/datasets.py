@@ -230,6 +230,26 @@ def spec_checks(spark, sf):
     return checks.count_violations(specs, "specs", checks.SPEC_RULES).select("rule", "violations")
 
 
+@query(
+    """SELECT p_partkey, lower(p_type) AS project_type, lower(p_brand) AS framework,
+           CASE WHEN p_size % 4 = 0 THEN 'custom' ELSE p_name END AS dataset_source, p_size % 3 = 1 AS pretrained,
+           'medium' AS compute_budget, 'balanced' AS latency_priority
+    FROM part"""
+)
+def spec_defaults(spark, sf):
+    """Parts read as specifications that leave some fields open."""
+    specs = table(spark, sf, "part").select(
+        "p_partkey",
+        F.col("p_type").alias("project_type"),
+        F.col("p_brand").alias("framework"),
+        F.when(F.col("p_size") % 4 != 0, F.col("p_name")).alias("dataset_source"),
+        F.when(F.col("p_size") % 3 == 1, F.lit(True)).alias("pretrained"),
+        F.lit(None).cast("string").alias("compute_budget"),
+        F.lit(None).cast("string").alias("latency_priority"),
+    )
+    return checks.clean_specs(specs)
+
+
 @query(
     """SELECT source, count(*) AS n, source NOT IN ('src0', 'src3') AS needs_validation
     FROM documents GROUP BY source"""

@@ -88,8 +88,8 @@ OUTCOME_SQL = (
 
 @query(OUTCOME_SQL + "SELECT run_id, outcome FROM outcomes")
 def run_outcome(spark, sf):
-    progress = runs.final_progress(event_lines(spark, sf))
-    return runs.run_outcome(progress, exit_codes(spark, sf)).select("run_id", "outcome")
+    ends = runs.run_ends(event_lines(spark, sf))
+    return runs.run_outcome(ends, exit_codes(spark, sf)).select("run_id", "outcome")
 
 
 LINE_NUMBERS_SQL = """line_numbers AS (
@@ -104,7 +104,7 @@ LINE_NUMBERS_SQL = """line_numbers AS (
 )
 def failure_tail(spark, sf):
     lines = event_lines(spark, sf)
-    outcomes = runs.run_outcome(runs.final_progress(lines), exit_codes(spark, sf))
+    outcomes = runs.run_outcome(runs.run_ends(lines), exit_codes(spark, sf))
     return runs.failure_tail(lines, outcomes).select("run_id", "seq")
 
 
@@ -271,13 +271,19 @@ def state_roundtrip(spark, sf):
 
 
 @query(
-    f"""SELECT user_id, state, action
-    FROM (SELECT user_id, arg_max(event_type, event_id) AS state FROM events GROUP BY user_id)
-    JOIN (VALUES {sql_pairs(EVENT_GATES)}) g(action, state) USING (state)"""
+    f"""WITH current AS (
+      SELECT user_id, arg_max(event_type, event_id) AS state, count(*) FILTER (event_type = 'purchase') > 0 AS known
+      FROM events GROUP BY user_id)
+    SELECT user_id, state, action FROM current JOIN (VALUES {sql_pairs(EVENT_GATES)}) g(action, state) USING (state)
+    UNION ALL SELECT user_id, state, 'checkout' FROM current WHERE state = 'view' AND known"""
 )
 def stage_gate(spark, sf):
-    states = lifecycle.current_state(table(spark, sf, "events"), "user_id", ["ts", "event_id"], "event_type")
-    return lifecycle.allowed_actions(states, EVENT_GATES)
+    """What each user may do next; one who has bought before may check out from a view."""
+    events = table(spark, sf, "events")
+    states = lifecycle.current_state(events, "user_id", ["ts", "event_id"], "event_type")
+    bought = events.filter("event_type = 'purchase'").select("user_id", F.lit(True).alias("known")).distinct()
+    joined = states.join(bought, "user_id", "left")
+    return lifecycle.allowed_actions(joined, EVENT_GATES, "known", (("checkout", "view"),)).drop("known")
 
 
 @query("SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 1")

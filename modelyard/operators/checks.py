@@ -61,6 +61,14 @@ SPEC_RULES = (
     Rule("num_classes", "range", *CLASS_RANGE, fix="use 2 to 10000 classes"),
 )
 
+# The rules issues and results must meet; case counts here.
+ISSUE_RULES = (
+    Rule("severity", "allowed", allowed=SEVERITIES, fix="use error or warning"),
+    Rule("message", "required", fix="say what is wrong"),
+    Rule("fix", "required", fix="say what helps"),
+)
+RESULT_RULES = (Rule("status", "allowed", allowed=STATUSES, fix="use pass, warn or fail"),)
+
 # What a specification holds when nothing is said.
 SPEC_DEFAULTS = {
     "dataset_source": "custom",
@@ -74,6 +82,12 @@ def fill_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
     return df.withColumns({name: F.coalesce(F.col(name), F.lit(value)) for name, value in defaults.items()})
 
 
+def clean_specs(specs: DataFrame) -> DataFrame:
+    """Specifications with project type and framework in lower case and defaults filled in."""
+    lowered = specs.withColumns({c: F.lower(c) for c in ("project_type", "framework")})
+    return fill_defaults(lowered, SPEC_DEFAULTS)
+
+
 def known_source(c: Column, sources: Sequence[str] = BUILT_IN_SOURCES) -> Column:
     """Sources that need no validation."""
     return F.coalesce(c.isin(*sources), F.lit(False))

@@ -95,13 +95,13 @@ def stage_documents(stage: Column) -> Column:
 
 
 def assembled_context(
-    requests: DataFrame, documents: DataFrame, owner: str, stage: str, document: Column
+    requests: DataFrame, documents: DataFrame, owner: str, stage: str, document: Column, opening: str = ""
 ) -> DataFrame:
     """The documents of each request in list order as one text `(owner, stage, context)`.
 
     `document` turns the listed name (column `name`) into the key that `documents`
     `(key, content)`, one row per key, is looked up by. A list has five names at most, which
-    bounds the group.
+    bounds the group. `opening` goes before the first of them.
     """
     wanted = requests.select(owner, stage).distinct().select(
         owner, stage, F.posexplode(stage_documents(F.col(stage))).alias("position", "name")
@@ -112,5 +112,5 @@ def assembled_context(
         wanted.join(documents.select("key", "content"), "key", "left")
         .groupBy(owner, stage)
         .agg(F.array_sort(F.collect_list(F.struct("position", part.alias("part")))).alias("parts"))
-        .select(owner, stage, F.array_join(F.col("parts.part"), "\n").alias("context"))
+        .select(owner, stage, F.concat(F.lit(opening), F.array_join(F.col("parts.part"), "\n")).alias("context"))
     )

@@ -80,6 +80,8 @@ GATES = (
     ("start_training", "TRAINING"),
     ("attach_to_training", "TRAINING"),
 )
+# Further starts for projects whose code is already there.
+GATES_WITH_CODE = (("run_mock", "ENV_READY"),)
 
 
 def pairs_table(spark: SparkSession, pairs: Sequence[tuple[str, str]], first: str, second: str) -> DataFrame:
@@ -122,10 +124,22 @@ def find_projects(df: DataFrame, wanted: DataFrame, project: str) -> tuple[DataF
     return found, absent
 
 
-def allowed_actions(states: DataFrame, gates: Sequence[tuple[str, str]] = GATES) -> DataFrame:
-    """Every action each project may start in its current state."""
-    lookup = pairs_table(states.sparkSession, gates, "action", "state")
-    return states.join(F.broadcast(lookup), "state")
+def allowed_actions(
+    states: DataFrame,
+    gates: Sequence[tuple[str, str]] = GATES,
+    flag: str | None = None,
+    flagged_gates: Sequence[tuple[str, str]] = GATES_WITH_CODE,
+) -> DataFrame:
+    """Every action each project may start in its current state.
+
+    The flagged gates count only for projects whose flag column is true.
+    """
+    spark = states.sparkSession
+    open_to_all = states.join(F.broadcast(pairs_table(spark, gates, "action", "state")), "state")
+    if flag is None:
+        return open_to_all
+    more = states.filter(F.col(flag)).join(F.broadcast(pairs_table(spark, flagged_gates, "action", "state")), "state")
+    return open_to_all.unionByName(more)
 
 
 def transition_audit(

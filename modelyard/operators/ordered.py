@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from modelyard.session import ROWS_PER_KEY, limit_setting, pinned
 
 BLOCK = "_block"
+MAX_BLOCKS = 20_000
 
 
 @dataclass(frozen=True)
@@ -56,7 +57,7 @@ def running(
     if keys and largest_key(df if sized_by is None else sized_by, keys) <= cap:
         window = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumns({s.name: _in_window(s, window) for s in steps})
-    return _running_blocked(df, keys, order, steps, cap)
+    return _running_blocked(df, keys, order, steps, cap, sized_by)
 
 
 def _frame(step: Running, window) -> Window:
@@ -107,24 +108,28 @@ def _joined(step: Running, local: Column, carry: Column, first_in_block: Column)
     return (F.greatest if step.kind == "max" else F.least)(local, carry)
 
 
-def blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_block: int) -> DataFrame:
+def blocks(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    rows_per_block: int,
+    sized_by: DataFrame | None = None,
+) -> DataFrame:
     """Range-partition by key and order, sort, and number the partitions in a stable column."""
-    partitions = max(
-        2,
-        limit_setting(df.sparkSession, "spark.sql.shuffle.partitions", 200),
-        -(-df.count() // rows_per_block),
-    )
+    shuffled = limit_setting(df.sparkSession, "spark.sql.shuffle.partitions", 200)
+    rows = (df if sized_by is None else sized_by).count()
+    partitions = min(max(2, shuffled, -(-rows // rows_per_block)), MAX_BLOCKS)
     ranged = df.repartitionByRange(partitions, *keys, *order).sortWithinPartitions(*keys, *order)
     return pinned(ranged.withColumn(BLOCK, F.spark_partition_id()))
 
 
-def _running_blocked(df, keys, order, steps, cap) -> DataFrame:
+def _running_blocked(df, keys, order, steps, cap, sized_by) -> DataFrame:
     columns = df.columns
     named = {f"_value_{s.name}": s.value for s in steps if s.value is not None}
     steps = [
         Running(s.name, s.kind, None if s.value is None else F.col(f"_value_{s.name}"), s.before) for s in steps
     ]
-    cut = blocks(df.withColumns(named) if named else df, keys, order, cap)
+    cut = blocks(df.withColumns(named) if named else df, keys, order, cap, sized_by)
     position = F.struct(*order)
 
     by_key = Window.partitionBy(*keys).orderBy(BLOCK)

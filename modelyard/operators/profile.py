@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modelyard.functions.text import file_extension, parent_dir
+from modelyard.operators.splits import hash_key
 
 # Names drawn and names shown.
 SAMPLE_SIZE = 50
@@ -46,8 +47,12 @@ def uniform_sample(df: DataFrame, id_column: str, size: int = SAMPLE_SIZE, seed:
 
     Ordering by a hash with a limit keeps `size` rows per task, with no full sort.
     """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_column).cast("string")))
-    return df.orderBy(key, id_column).limit(size)
+    return df.orderBy(hash_key(F.col(id_column), str(seed)), id_column).limit(size)
+
+
+def shown_sample(df: DataFrame, id_column: str, seed: int = 42) -> DataFrame:
+    """The first rows of that sample, as shown to a reader."""
+    return uniform_sample(df, id_column, SHOWN_SIZE, seed)
 
 
 def size_check(counts: DataFrame, minimum: int, recommended: int) -> DataFrame:

@@ -31,17 +31,30 @@ def informative(parsed: DataFrame) -> DataFrame:
     return parsed.filter(said)
 
 
-def until_terminal(lines: DataFrame) -> DataFrame:
-    """Drop what follows the first line that ends a run; only plain substring tests are needed."""
-    ends = (
-        lines.filter(runlog.is_finished(F.col("line")) | runlog.is_failed(F.col("line")))
-        .groupBy("run_id")
-        .agg(F.min("seq").alias("_end"))
+def run_ends(lines: DataFrame) -> DataFrame:
+    """First terminal line of every run: `(run_id, end, finished, failed)`, `end` null without one.
+
+    Plain substring tests on the line are all it takes.
+    """
+    line = F.col("line")
+    marked = lines.select(
+        "run_id", "seq", runlog.is_finished(line).alias("finished"), runlog.is_failed(line).alias("failed")
+    )
+    at = F.when(F.col("finished") | F.col("failed"), F.col("seq"))
+    return marked.groupBy("run_id").agg(
+        F.min(at).alias("end"),
+        F.coalesce(F.min_by("finished", at), F.lit(False)).alias("finished"),
+        F.coalesce(F.min_by("failed", at), F.lit(False)).alias("failed"),
     )
+
+
+def until_terminal(lines: DataFrame) -> DataFrame:
+    """Drop what follows the first line that ends a run."""
+    ends = run_ends(lines).filter("end is not null").select("run_id", "end")
     return (
         lines.join(ends, "run_id", "left")
-        .filter(F.col("_end").isNull() | (F.col("seq") <= F.col("_end")))
-        .drop("_end")
+        .filter(F.col("end").isNull() | (F.col("seq") <= F.col("end")))
+        .drop("end")
     )
 
 
@@ -94,9 +107,12 @@ def progress_by_line(lines: DataFrame, max_rows_per_key: int | None = None) -> D
     )
 
 
-def run_outcome(progress: DataFrame, exit_codes: DataFrame) -> DataFrame:
-    """How each run ended: by its marker, otherwise by its exit code."""
-    joined = progress.join(exit_codes.select("run_id", "exit_code"), "run_id", "left")
+def run_outcome(ends: DataFrame, exit_codes: DataFrame) -> DataFrame:
+    """How each run ended: by its marker, otherwise by its exit code.
+
+    `ends` needs `(run_id, finished, failed)`, so run ends will do as well as full progress.
+    """
+    joined = ends.join(exit_codes.select("run_id", "exit_code"), "run_id", "left")
     by_code = F.when(F.col("exit_code") == 0, "success").otherwise("failure")
     return joined.withColumn(
         "outcome",

@@ -17,10 +17,15 @@ ROWS_PER_BLOCK = 500_000
 MAX_BLOCK_DIGITS = 4
 
 
+def hash_key(id_column: Column, seed: str = "") -> Column:
+    """md5 of the id, never null, so that no row is lost on it."""
+    text = F.coalesce(id_column.cast("string"), F.lit(""))
+    return F.md5(F.concat(F.lit(f"{seed}:"), text) if seed else text)
+
+
 def hash_bucket(id_column: Column, buckets: int, seed: str = "") -> Column:
     """A bucket from 0 to buckets-1 out of the md5 of the id."""
-    text = F.concat(F.lit(f"{seed}:"), id_column.cast("string")) if seed else id_column.cast("string")
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % buckets
+    return F.conv(F.substring(hash_key(id_column, seed), 1, 8), 16, 10).cast("bigint") % buckets
 
 
 def train_test_split(df: DataFrame, id_column: str, train_tenths: int = 8) -> DataFrame:
@@ -43,8 +48,7 @@ def shuffled_batches(
     """
     wanted_blocks = max(df.count() / ROWS_PER_BLOCK, 1)
     digits = min(max(1, math.ceil(math.log(wanted_blocks, 16))), MAX_BLOCK_DIGITS)
-    key = F.md5(F.concat(F.lit(f"{seed}:{epoch}:"), F.col(id_column).cast("string")))
-    keyed = df.withColumn("_key", key).withColumn("_block", F.substring("_key", 1, digits))
+    keyed = df.withColumn("_key", hash_key(F.col(id_column), f"{seed}:{epoch}")).withColumn("_block", F.substring("_key", 1, digits))
     counts = keyed.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
