@@ -143,10 +143,10 @@ def test_data_context(spark):
 
 
 def test_scans_are_pruned(spark, sf):
-    from modelyard.catalog.registry import QUERIES
+    import __spark_entry__ as driver
 
     def plan(name):
-        return QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        return driver.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
 
     assert "html" not in plan("path_ext_counts")
     assert "l_orderkey" not in plan("weighted_mean")
