@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import chain
 
 import pandas as pd
@@ -10,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modelyard.operators.ordered import BLOCK, Running, blocks, largest_key, running
-from modelyard.session import ROWS_PER_KEY, limit_setting
+from modelyard.operators.ordered import BLOCK, Running, blocks, running, split_hot
+from modelyard.session import ROWS_PER_KEY, limit_setting, pinned
 
 # The states and the moves between them.
 STATES = (
@@ -200,14 +201,21 @@ def follow_moves(
     schema = T.StructType(
         [*df.schema.fields, T.StructField("accepted", T.BooleanType()), T.StructField("state_after", T.StringType())]
     )
-    if largest_key(df, [project]) <= cap:
-        return (
-            df.repartition(project)
+    cold, hot = split_hot(df, [project], cap)
+    parts = []
+    if cold is not None:
+        parts.append(
+            cold.repartition(project)
             .sortWithinPartitions(project, *order)
             .mapInPandas(lambda it: _walk(it, project, state, allowed, start, {}), schema)
         )
+    if hot is not None:
+        parts.append(_follow_blocked(hot, project, order, state, start, names, allowed, schema, cap))
+    return reduce(DataFrame.unionByName, parts)
 
-    cut = blocks(df, [project], order, cap)
+
+def _follow_blocked(df, project, order, state, start, names, allowed, schema, cap) -> DataFrame:
+    cut = pinned(blocks(df, [project], order, cap).sortWithinPartitions(project, *order))
     key_type = df.schema[project].dataType.simpleString()
 
     def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

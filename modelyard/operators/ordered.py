@@ -1,9 +1,9 @@
 """Running values per key in order, safe when one key holds most of the rows.
 
-While every key is of a checked size, a plain window does the work. Otherwise the rows are
-range-partitioned by key and order, so a large key spreads over many partitions (blocks);
-each block is summed up on its own, and the only thing carried across is one row per block
-boundary, which bounds the broadcast by the number of blocks.
+Keys of a checked size go through a plain window. Rows of larger keys are range-partitioned by
+key and order, so that such a key spreads over many partitions (blocks); each block is summed
+up on its own, and the only thing carried across is one row per block boundary, which bounds
+the broadcast by the number of blocks.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from modelyard.session import ROWS_PER_KEY, limit_setting, pinned
+from modelyard.session import ROWS_PER_KEY, limit_setting, pinned, stored
 
 BLOCK = "_block"
 MAX_BLOCKS = 20_000
@@ -35,10 +35,23 @@ class Running:
     before: bool = False
 
 
-def largest_key(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest key; reads the key columns only."""
-    row = df.groupBy(*keys).count().agg(F.max("count").alias("n")).first()
-    return row["n"] or 0
+def split_hot(
+    df: DataFrame, keys: Sequence[str], rows_per_key: int, sized_by: DataFrame | None = None
+) -> tuple[DataFrame | None, DataFrame | None]:
+    """Rows of keys up to the size, and rows of the larger ones; None for a part without rows.
+
+    There are at most rows / rows_per_key large keys, which bounds their broadcast. Counting
+    reads the key columns only.
+    """
+    counted = (df if sized_by is None else sized_by).groupBy(*keys).count()
+    sizes = counted.agg(F.count_if(F.col("count") > rows_per_key).alias("hot"), F.count(F.lit(1)).alias("all")).first()
+    if sizes["hot"] == 0:
+        return df, None
+    if sizes["hot"] == sizes["all"]:
+        return None, df
+    hot = pinned(counted.filter(F.col("count") > rows_per_key).select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))
+    is_hot = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
+    return df.join(F.broadcast(hot), is_hot, "left_anti"), df.join(F.broadcast(hot), is_hot, "left_semi")
 
 
 def running(
@@ -54,10 +67,14 @@ def running(
     `sized_by` is a table that is cheaper to count and has at least as many rows per key.
     """
     cap = max_rows_per_key or limit_setting(df.sparkSession, ROWS_PER_KEY, 2_000_000)
-    if keys and largest_key(df if sized_by is None else sized_by, keys) <= cap:
+    cold, hot = split_hot(df, keys, cap, sized_by) if keys else (None, df)
+    parts = []
+    if cold is not None:
         window = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumns({s.name: _in_window(s, window) for s in steps})
-    return _running_blocked(df, keys, order, steps, cap, sized_by)
+        parts.append(cold.withColumns({s.name: _in_window(s, window) for s in steps}))
+    if hot is not None:
+        parts.append(_running_blocked(hot, keys, order, steps, cap))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _frame(step: Running, window) -> Window:
@@ -108,28 +125,21 @@ def _joined(step: Running, local: Column, carry: Column, first_in_block: Column)
     return (F.greatest if step.kind == "max" else F.least)(local, carry)
 
 
-def blocks(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    rows_per_block: int,
-    sized_by: DataFrame | None = None,
-) -> DataFrame:
-    """Range-partition by key and order, sort, and number the partitions in a stable column."""
+def blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_block: int) -> DataFrame:
+    """Range-partition by key and order and number the partitions in a column."""
     shuffled = limit_setting(df.sparkSession, "spark.sql.shuffle.partitions", 200)
-    rows = (df if sized_by is None else sized_by).count()
-    partitions = min(max(2, shuffled, -(-rows // rows_per_block)), MAX_BLOCKS)
-    ranged = df.repartitionByRange(partitions, *keys, *order).sortWithinPartitions(*keys, *order)
-    return pinned(ranged.withColumn(BLOCK, F.spark_partition_id()))
+    partitions = min(max(2, shuffled, -(-df.count() // rows_per_block)), MAX_BLOCKS)
+    return df.repartitionByRange(partitions, *keys, *order).withColumn(BLOCK, F.spark_partition_id())
 
 
-def _running_blocked(df, keys, order, steps, cap, sized_by) -> DataFrame:
+def _running_blocked(df, keys, order, steps, cap) -> DataFrame:
     columns = df.columns
     named = {f"_value_{s.name}": s.value for s in steps if s.value is not None}
     steps = [
         Running(s.name, s.kind, None if s.value is None else F.col(f"_value_{s.name}"), s.before) for s in steps
     ]
-    cut = blocks(df.withColumns(named) if named else df, keys, order, cap, sized_by)
+    # Written once, so that both passes below see the same blocks even when executors are lost.
+    cut = stored(blocks(df.withColumns(named) if named else df, keys, order, cap), "blocks")
     position = F.struct(*order)
 
     by_key = Window.partitionBy(*keys).orderBy(BLOCK)

@@ -171,7 +171,9 @@ def _partial(n: int, loss: float, correct: int, gradient: np.ndarray) -> pa.Reco
     )
 
 
-def gradient_job(df: DataFrame, parameters: Parameters, features: str, label: str) -> tuple[int, float, int, np.ndarray]:
+def gradient_job(
+    df: DataFrame, parameters: Parameters, features: str, label: str, tasks: int | None = None
+) -> tuple[int, float, int, np.ndarray]:
     """Rows, summed loss, correct rows and summed gradient over a table.
 
     Each task hands on one row. With many tasks those rows are first added up in about as
@@ -203,7 +205,7 @@ def gradient_job(df: DataFrame, parameters: Parameters, features: str, label: st
 
     source = df.select(features, label)
     partials = source.mapInArrow(per_task, PARTIAL_SCHEMA)
-    tasks = source.rdd.getNumPartitions()
+    tasks = tasks or source.rdd.getNumPartitions()
     if tasks > 64:
         partials = partials.repartition(math.isqrt(tasks)).mapInArrow(add_up, PARTIAL_SCHEMA)
     rows = partials.collect()

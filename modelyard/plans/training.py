@@ -83,12 +83,13 @@ def train(
     run = TrainingRun(parameters)
     staged_at = stage_features(df, id_column, features, label, settings)
     staged = spark.read.parquet(staged_at)
+    tasks = staged.rdd.getNumPartitions()
     try:
         for epoch in range(1, settings.epochs + 1):
             seen, loss, correct = 0, 0.0, 0
             for bucket in bucket_order(epoch, settings.steps_per_epoch, settings.seed):
                 part = staged.filter((F.col("split") == "train") & (F.col("bucket") == bucket))
-                n, part_loss, part_correct, gradient = gradient_job(part, parameters, features, label)
+                n, part_loss, part_correct, gradient = gradient_job(part, parameters, features, label, tasks)
                 if n == 0:
                     continue
                 flat = step.step(flat, gradient / n)

@@ -62,5 +62,12 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Cut the lineage by writing the rows once to the shared folder and reading them back."""
+    path = new_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def limit_setting(spark: SparkSession, name: str, default: int) -> int:
     return int(spark.conf.get(name, str(default)))
