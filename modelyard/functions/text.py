@@ -245,10 +245,9 @@ def mask(key: Column, head: int = 2, tail: int = 2) -> Column:
 
 
 def build_id(prefix: str, at: Column, unique: Column) -> Column:
-    """`prefix-YYYYMMDD-HHMMSS-xxxxxxxx`."""
-    return F.concat(
-        F.lit(prefix + "-"), F.date_format(at, "yyyyMMdd-HHmmss"), F.lit("-"), F.substring(unique, 1, 8)
-    )
+    """`prefix-YYYYMMDD-HHMMSS-xxxxxxxx`; a time without a zone is written as it stands."""
+    digits = F.regexp_replace(F.left(at.cast("string"), F.lit(19)), "[-:]", "")
+    return F.concat(F.lit(prefix + "-"), F.replace(digits, F.lit(" "), F.lit("-")), F.lit("-"), F.substring(unique, 1, 8))
 
 
 def new_id(prefix: str) -> Column:

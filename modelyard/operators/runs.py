@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from modelyard.functions import runlog
 from modelyard.functions.text import INFRASTRUCTURE_MARKS, contains_any, strip
@@ -138,12 +139,19 @@ def replayed_progress(lines: DataFrame, n: int = REPLAY_LINES) -> DataFrame:
     return fold_progress(parse_lines(until_terminal(recent)))
 
 
+def _seconds_between(df: DataFrame, at: str, later: Column, earlier: Column) -> Column:
+    """Seconds between two times of the type of column `at`; times without a zone never shift with one."""
+    if isinstance(df.schema[at].dataType, T.TimestampNTZType):
+        span = T.DayTimeIntervalType(T.DayTimeIntervalType.SECOND, T.DayTimeIntervalType.SECOND)
+        return (later - earlier).cast(span).cast("decimal(20,6)").cast("double")
+    return (F.unix_micros(later) - F.unix_micros(earlier)) / 1_000_000
+
+
 def elapsed(df: DataFrame, run: str, at: str) -> DataFrame:
     """Seconds between the first and the last row of each run, and as text."""
-    span = F.max(F.unix_micros(F.col(at).cast("timestamp"))) - F.min(F.unix_micros(F.col(at).cast("timestamp")))
     return (
         df.groupBy(run)
-        .agg((span / 1_000_000).alias("seconds"))
+        .agg(_seconds_between(df, at, F.max(at), F.min(at)).alias("seconds"))
         .withColumn("elapsed", runlog.elapsed_text(F.col("seconds")))
     )
 
@@ -152,11 +160,10 @@ def time_left(
     df: DataFrame, run: str, order: Sequence[str], at: str, total: Column, max_rows_per_key: int | None = None
 ) -> DataFrame:
     """After each epoch row: epochs done, share, bar, and the time left at the pace so far."""
-    micros = F.unix_micros(F.col(at).cast("timestamp"))
-    steps = [Running("done", "count"), Running("_start", "min", micros)]
+    steps = [Running("done", "count"), Running("_start", "min", F.col(at))]
     counted = running(df, [run], order, steps, max_rows_per_key).withColumn("total", total.cast("bigint"))
     done, of = F.col("done"), F.col("total")
-    seconds = (micros - F.col("_start")) / 1_000_000
+    seconds = _seconds_between(df, at, F.col(at), F.col("_start"))
     return counted.withColumns(
         {
             "fraction": runlog.progress_fraction(done, of),

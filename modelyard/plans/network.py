@@ -115,6 +115,13 @@ def feature_matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float64)
 
 
+def label_vector(column: pa.Array, classes: int) -> np.ndarray:
+    labels = column.to_numpy(zero_copy_only=False)
+    if column.null_count or (len(labels) and not (0 <= labels.min() and labels.max() < classes)):
+        raise ValueError(f"every label must be a class from 0 to {classes - 1}")
+    return labels.astype(np.int64)
+
+
 def _lists(matrix: np.ndarray) -> pa.ListArray:
     offsets = np.arange(0, matrix.size + 1, matrix.shape[1], dtype=np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel()))
@@ -127,7 +134,7 @@ def score(
 
     Works on tables and on streams.
     """
-    width = parameters["w1"].shape[1]
+    width, classes = parameters["w1"].shape[1], parameters["w2"].shape[0]
     shared = df.sparkSession.sparkContext.broadcast(parameters)
     kept = [*keep, *([label] if label and label not in keep else [])]
     double_list = T.ArrayType(T.DoubleType())
@@ -154,8 +161,7 @@ def score(
                 _lists(np.round(odds, 4)),
             ]
             if label:
-                y = batch.column(label).to_numpy(zero_copy_only=False).astype(np.int64)
-                arrays.append(pa.array(losses_of(logits, y)))
+                arrays.append(pa.array(losses_of(logits, label_vector(batch.column(label), classes))))
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return df.select(*kept, features).mapInArrow(apply, schema)
@@ -180,7 +186,7 @@ def gradient_job(
     many groups as the square root of their number, so neither a task nor the driver reads
     more than that many gradients.
     """
-    width = parameters["w1"].shape[1]
+    width, classes = parameters["w1"].shape[1], parameters["w2"].shape[0]
     size = pack(parameters).size
     shared = df.sparkSession.sparkContext.broadcast(parameters)
 
@@ -188,7 +194,7 @@ def gradient_job(
         n, loss, correct, total = 0, 0.0, 0, np.zeros(size)
         for batch in batches:
             if batch.num_rows:
-                y = batch.column(label).to_numpy(zero_copy_only=False).astype(np.int64)
+                y = label_vector(batch.column(label), classes)
                 l, c, g = gradient_sums(shared.value, feature_matrix(batch.column(features), width), y)
                 n, loss, correct, total = n + len(y), loss + l, correct + c, total + pack(g)
         if n:

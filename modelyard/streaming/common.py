@@ -8,7 +8,7 @@ LINE_SCHEMA = "run_id string, seq bigint, line string"
 
 
 # What one micro-batch may take in; it bounds the rows of a key that a task holds at once.
-BATCH_BYTES = 1 << 30
+BATCH_BYTES = 256 << 20
 
 
 def table_stream(

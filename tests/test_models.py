@@ -92,6 +92,13 @@ def test_wrong_width_is_an_error(spark):
         net.score(df, net.Network(6, 4, 4).initial()).collect()
 
 
+@pytest.mark.parametrize("label", [None, -1, 4])
+def test_wrong_label_is_an_error(spark, label):
+    df = spark.createDataFrame([([1.0, 2.0], label)], "features array<double>, label int")
+    with pytest.raises(Exception, match="class from 0 to 3"):
+        net.gradient_job(df, net.Network(2, 4, 4).initial(), "features", "label")
+
+
 def test_argmax_takes_the_first_of_equals(spark):
     df = spark.createDataFrame([([1.0, 3.0, 3.0],)], "v array<double>")
     assert df.select(vectors.argmax(F.col("v"))).first()[0] == 1

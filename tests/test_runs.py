@@ -123,6 +123,20 @@ def test_times_as_text(spark):
     ]
 
 
+def test_elapsed_does_not_shift_with_the_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.sql(
+            "SELECT 'r' AS run, explode(array(timestamp_ntz'2024-03-09 00:00:00', timestamp_ntz'2024-03-11 00:00:01.5')) AS at"
+        )
+        assert tuple(runs.elapsed(df, "run", "at").first()) == ("r", 172801.5, "48h 0m 1s")
+        zoned = df.select("run", F.col("at").cast("timestamp").alias("at"))
+        assert tuple(runs.elapsed(zoned, "run", "at").first()) == ("r", 169201.5, "47h 0m 1s")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_best_epoch(spark):
     df = spark.createDataFrame([("a", 1, 0.5), ("a", 2, 0.9), ("a", 3, 0.9), ("z", 1, 0.0)], "run string, epoch int, acc double")
     assert [tuple(r) for r in metrics.best_epoch(df, ["run"], "acc", ["epoch"]).collect()] == [("a", 2, 0.9)]
