@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from modelyard.catalog.fixtures import SCORED_SQL, fixed_parameters
+from modelyard.catalog.fixtures import CLASSES, HIDDEN, SCORED_SQL, fixed_parameters
 from modelyard.catalog.registry import query
 from modelyard.functions import vectors
 from modelyard.operators import metrics
 from modelyard.operators.splits import train_test_split
-from modelyard.plans.network import Network, score
+from modelyard.plans.network import Network, gradient_job, optimizer, pack, score, unpack
 from modelyard.plans.training import TrainingSettings, dry_run as try_out, epoch_log, train
 from modelyard.operators.runs import final_progress
 from modelyard.session import new_folder
@@ -164,6 +164,34 @@ def nonblank_inputs(spark, sf):
     return rows.select("vec_id", F.size(F.filter("embedding", lambda x: x > level)).cast("bigint").alias("above"))
 
 
+@query(
+    SCORED_SQL.rstrip()
+    + f""", gradients AS (
+      SELECT 'b2' AS name, i AS "index", avg(p[i + 1] - (label = i)::INT) AS g, (3 * i % 7 - 3) / 64.0 AS bias
+      FROM rows_scored, (SELECT unnest(range({CLASSES})) AS i) GROUP BY i
+      UNION ALL
+      SELECT 'b1', i, avg(CASE WHEN h[i + 1] > 0 THEN list_sum(list_transform(range({CLASSES}), lambda c:
+               (p[c + 1] - (r.label = c)::INT) * (((31 * c + 17 * i) % 13 - 6) / 4.0))) ELSE 0 END),
+             (7 * i % 5 - 2) / 64.0
+      FROM rows_scored r JOIN hidden USING (vec_id), (SELECT unnest(range({HIDDEN})) AS i) GROUP BY i)
+    SELECT name, "index", round(g, 6) AS gradient,
+           round(bias - 0.001::DOUBLE * g / (abs(g) + 0.00000001::DOUBLE), 6) AS after FROM gradients"""
+)
+def training_step(spark, sf):
+    """Mean gradient of both bias vectors over the whole table, and the biases after one update."""
+    parameters = fixed_parameters()
+    n, _, _, total = gradient_job(table(spark, sf, "embeddings"), parameters, "embedding", "label")
+    flat = pack(parameters)
+    gradient = unpack(total / n, parameters)
+    after = unpack(optimizer("Adam", flat.size).step(flat, total / n), parameters)
+    rows = [
+        (name, i, round(float(gradient[name][i]), 6), round(float(after[name][i]), 6))
+        for name in ("b1", "b2")
+        for i in range(len(gradient[name]))
+    ]
+    return spark.createDataFrame(rows, "name string, index bigint, gradient double, after double")
+
+
 NETWORK = Network(64, 48, 10)
 
 
