@@ -44,6 +44,22 @@ def _blank(line: Column) -> Column:
     return text.strip(line) == ""
 
 
+def _blank_marks(turns: DataFrame, conversation: str, turn: str, content: str) -> DataFrame:
+    """What the blank lines of each turn look like; narrow rows without the text."""
+    blank = F.col("_blank")
+    pair = F.transform(blank, lambda b, i: F.when((i > 0) & b & F.get(blank, i - 1), i))
+    return turns.select(
+        conversation, turn, F.transform(F.split(F.col(content), "\n", -1), _blank).alias("_blank")
+    ).select(
+        conversation,
+        turn,
+        F.get(blank, F.lit(0)).alias("_opens_blank"),
+        F.element_at(blank, -1).alias("_ends_blank"),
+        F.array_min(pair).alias("_pair"),
+        F.nullif(F.array_position(blank, F.lit(False)), F.lit(0)).alias("_first_text"),
+    )
+
+
 def descriptions(
     turns: DataFrame, conversation: str, turn: str, content: str, max_rows_per_key: int | None = None
 ) -> DataFrame:
@@ -51,39 +67,50 @@ def descriptions(
 
     One row per turn that contributes, in the order of `turn`; put together with line breaks
     they are the description. A conversation without rows has an empty one and is rejected.
+    Where a conversation starts and stops is worked out on narrow rows, so that the texts
+    themselves meet one join by conversation only.
     """
-    lines = F.split(F.col(content), "\n", -1)
-    split = turns.select(conversation, turn, lines.alias("_lines"))
-    last_blank = _blank(F.element_at("_lines", -1))
-    before = [Running("_blank_before", "previous", last_blank)]
-    seen = running(split, [conversation], [turn], before, max_rows_per_key, sized_by=turns)
-    stops = F.transform(
-        F.col("_lines"),
-        lambda line, i: F.when(
-            _blank(line)
-            & F.when(i == 0, F.coalesce(F.col("_blank_before"), F.lit(False))).otherwise(
-                _blank(F.get(F.col("_lines"), F.when(i > 0, i - 1).otherwise(0)))
-            ),
-            i,
-        ),
+    marks = _blank_marks(turns, conversation, turn, content)
+    before = [Running("_blank_before", "previous", F.col("_ends_blank"))]
+    across = F.col("_opens_blank") & F.coalesce(F.col("_blank_before"), F.lit(False))
+    marked = running(marks, [conversation], [turn], before, max_rows_per_key, sized_by=turns).select(
+        conversation, turn, "_first_text", F.when(across, 0).otherwise(F.col("_pair")).alias("_at")
     )
-    marked = seen.withColumn("_stop", F.array_min(stops))
-    stopped = [Running("_stopped", "max", F.col("_stop").isNotNull().cast("int"), before=True)]
-    open_turns = running(marked, [conversation], [turn], stopped, max_rows_per_key, sized_by=turns).filter(
-        F.coalesce(F.col("_stopped"), F.lit(0)) == 0
+    stops = (
+        marked.filter("_at is not null")
+        .groupBy(conversation)
+        .agg(F.min(turn).alias("_stop_turn"), F.min_by("_at", turn).alias("_stop_at"))
     )
-    kept = F.filter(
-        F.when(F.col("_stop").isNull(), F.col("_lines")).otherwise(
-            F.slice("_lines", 1, F.coalesce(F.col("_stop"), F.lit(0)))
-        ),
-        lambda line: ~_blank(line),
+    in_time = (
+        F.col("_stop_turn").isNull()
+        | (F.col(turn) < F.col("_stop_turn"))
+        | ((F.col(turn) == F.col("_stop_turn")) & (F.col("_first_text") <= F.col("_stop_at")))
     )
-    said = open_turns.select(conversation, turn, F.array_join(kept, "\n").alias("text")).filter("text <> ''")
-    ends = said.groupBy(conversation).agg(F.min(turn).alias("_first"), F.max(turn).alias("_last"))
+    ends = (
+        marked.filter("_first_text is not null")
+        .join(stops, conversation, "left")
+        .filter(in_time)
+        .groupBy(conversation)
+        .agg(
+            F.min(turn).alias("_first"),
+            F.max(turn).alias("_last"),
+            F.max("_stop_turn").alias("_stop_turn"),
+            F.max("_stop_at").alias("_stop_at"),
+        )
+    )
+    lines = F.split(F.col(content), "\n", -1)
+    heard = F.when(F.col(turn) == F.col("_stop_turn"), F.slice(lines, F.lit(1), F.col("_stop_at"))).otherwise(lines)
+    kept = F.array_join(F.filter(heard, lambda line: ~_blank(line)), "\n")
     whole = F.col("text")
     whole = F.when(F.col(turn) == F.col("_first"), F.ltrim(whole, F.lit(text.WHITE_SPACE))).otherwise(whole)
     whole = F.when(F.col(turn) == F.col("_last"), F.rtrim(whole, F.lit(text.WHITE_SPACE))).otherwise(whole)
-    return said.join(ends, conversation).select(conversation, turn, whole.alias("text"))
+    return (
+        turns.join(ends, conversation)
+        .filter(F.col(turn).between(F.col("_first"), F.col("_last")))
+        .select(conversation, turn, "_first", "_last", kept.alias("text"))
+        .select(conversation, turn, whole.alias("text"))
+        .filter("text <> ''")
+    )
 
 
 def stage_documents(stage: Column) -> Column:

@@ -201,7 +201,7 @@ def follow_moves(
     schema = T.StructType(
         [*df.schema.fields, T.StructField("accepted", T.BooleanType()), T.StructField("state_after", T.StringType())]
     )
-    cold, hot = split_hot(df, [project], cap)
+    cold, hot, hot_rows = split_hot(df, [project], cap)
     parts = []
     if cold is not None:
         parts.append(
@@ -210,12 +210,12 @@ def follow_moves(
             .mapInPandas(lambda it: _walk(it, project, state, allowed, start, {}), schema)
         )
     if hot is not None:
-        parts.append(_follow_blocked(hot, project, order, state, start, names, allowed, schema, cap))
+        parts.append(_follow_blocked(hot, project, order, state, start, names, allowed, schema, -(-hot_rows // cap)))
     return reduce(DataFrame.unionByName, parts)
 
 
-def _follow_blocked(df, project, order, state, start, names, allowed, schema, cap) -> DataFrame:
-    cut = pinned(blocks(df, [project], order, cap).sortWithinPartitions(project, *order))
+def _follow_blocked(df, project, order, state, start, names, allowed, schema, wanted) -> DataFrame:
+    cut = pinned(blocks(df, [project], order, wanted).sortWithinPartitions(project, *order))
     key_type = df.schema[project].dataType.simpleString()
 
     def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -37,21 +37,30 @@ class Running:
 
 def split_hot(
     df: DataFrame, keys: Sequence[str], rows_per_key: int, sized_by: DataFrame | None = None
-) -> tuple[DataFrame | None, DataFrame | None]:
-    """Rows of keys up to the size, and rows of the larger ones; None for a part without rows.
+) -> tuple[DataFrame | None, DataFrame | None, int]:
+    """Rows of keys up to the size, and rows of the larger ones; None for a part that is empty.
 
     There are at most rows / rows_per_key large keys, which bounds their broadcast. Counting
-    reads the key columns only.
+    reads the key columns only. The third value is the number of rows of the larger keys.
     """
     counted = (df if sized_by is None else sized_by).groupBy(*keys).count()
-    sizes = counted.agg(F.count_if(F.col("count") > rows_per_key).alias("hot"), F.count(F.lit(1)).alias("all")).first()
+    large = F.col("count") > rows_per_key
+    sizes = counted.agg(
+        F.count_if(large).alias("hot"),
+        F.count(F.lit(1)).alias("all"),
+        F.sum(F.when(large, F.col("count"))).alias("rows"),
+    ).first()
     if sizes["hot"] == 0:
-        return df, None
+        return df, None, 0
     if sizes["hot"] == sizes["all"]:
-        return None, df
-    hot = pinned(counted.filter(F.col("count") > rows_per_key).select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))
+        return None, df, sizes["rows"]
+    hot = pinned(counted.filter(large).select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))
     is_hot = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
-    return df.join(F.broadcast(hot), is_hot, "left_anti"), df.join(F.broadcast(hot), is_hot, "left_semi")
+    return (
+        df.join(F.broadcast(hot), is_hot, "left_anti"),
+        df.join(F.broadcast(hot), is_hot, "left_semi"),
+        sizes["rows"],
+    )
 
 
 def running(
@@ -67,13 +76,13 @@ def running(
     `sized_by` is a table that is cheaper to count and has at least as many rows per key.
     """
     cap = max_rows_per_key or limit_setting(df.sparkSession, ROWS_PER_KEY, 2_000_000)
-    cold, hot = split_hot(df, keys, cap, sized_by) if keys else (None, df)
+    cold, hot, hot_rows = split_hot(df, keys, cap, sized_by) if keys else (None, df, df.count())
     parts = []
     if cold is not None:
         window = Window.partitionBy(*keys).orderBy(*order)
         parts.append(cold.withColumns({s.name: _in_window(s, window) for s in steps}))
     if hot is not None:
-        parts.append(_running_blocked(hot, keys, order, steps, cap))
+        parts.append(_running_blocked(hot, keys, order, steps, -(-hot_rows // cap)))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -125,21 +134,21 @@ def _joined(step: Running, local: Column, carry: Column, first_in_block: Column)
     return (F.greatest if step.kind == "max" else F.least)(local, carry)
 
 
-def blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_block: int) -> DataFrame:
+def blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], wanted: int) -> DataFrame:
     """Range-partition by key and order and number the partitions in a column."""
     shuffled = limit_setting(df.sparkSession, "spark.sql.shuffle.partitions", 200)
-    partitions = min(max(2, shuffled, -(-df.count() // rows_per_block)), MAX_BLOCKS)
+    partitions = min(max(2, shuffled, wanted), MAX_BLOCKS)
     return df.repartitionByRange(partitions, *keys, *order).withColumn(BLOCK, F.spark_partition_id())
 
 
-def _running_blocked(df, keys, order, steps, cap) -> DataFrame:
+def _running_blocked(df, keys, order, steps, wanted) -> DataFrame:
     columns = df.columns
     named = {f"_value_{s.name}": s.value for s in steps if s.value is not None}
     steps = [
         Running(s.name, s.kind, None if s.value is None else F.col(f"_value_{s.name}"), s.before) for s in steps
     ]
     # Written once, so that both passes below see the same blocks even when executors are lost.
-    cut = stored(blocks(df.withColumns(named) if named else df, keys, order, cap), "blocks")
+    cut = stored(blocks(df.withColumns(named) if named else df, keys, order, wanted), "blocks")
     position = F.struct(*order)
 
     by_key = Window.partitionBy(*keys).orderBy(BLOCK)
