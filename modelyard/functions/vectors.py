@@ -35,6 +35,11 @@ def preprocess(grid: Column, depth: int = 3, top: float = BYTE_MAX) -> Column:
     return F.transform(flatten_grid(grid, depth), lambda x: standardize(scale(x, top)))
 
 
+def alpha_values(rgba: Column) -> Column:
+    """Every fourth value of red, green, blue, alpha bytes."""
+    return F.filter(rgba, lambda _, i: i % 4 == 3)
+
+
 def has_content(pixels: Column, level: float = BLANK_LEVEL) -> Column:
     """True when any value is above the level."""
     return F.exists(pixels, lambda p: p > level)

@@ -76,27 +76,19 @@ def descriptions(
     marked = running(marks, [conversation], [turn], before, max_rows_per_key, sized_by=turns).select(
         conversation, turn, "_first_text", F.when(across, 0).otherwise(F.col("_pair")).alias("_at")
     )
-    stops = (
-        marked.filter("_at is not null")
-        .groupBy(conversation)
-        .agg(F.min(turn).alias("_stop_turn"), F.min_by("_at", turn).alias("_stop_at"))
-    )
-    in_time = (
-        F.col("_stop_turn").isNull()
-        | (F.col(turn) < F.col("_stop_turn"))
-        | ((F.col(turn) == F.col("_stop_turn")) & (F.col("_first_text") <= F.col("_stop_at")))
-    )
+    stopped = [Running("_stopped", "max", F.col("_at").isNotNull().cast("int"), before=True)]
+    said = F.col("_first_text").isNotNull() & (F.col("_at").isNull() | (F.col("_first_text") <= F.col("_at")))
     ends = (
-        marked.filter("_first_text is not null")
-        .join(stops, conversation, "left")
-        .filter(in_time)
+        running(marked, [conversation], [turn], stopped, max_rows_per_key, sized_by=turns)
+        .filter(F.coalesce(F.col("_stopped"), F.lit(0)) == 0)
         .groupBy(conversation)
         .agg(
-            F.min(turn).alias("_first"),
-            F.max(turn).alias("_last"),
-            F.max("_stop_turn").alias("_stop_turn"),
-            F.max("_stop_at").alias("_stop_at"),
+            F.min(F.when(said, F.col(turn))).alias("_first"),
+            F.max(F.when(said, F.col(turn))).alias("_last"),
+            F.max(F.when(F.col("_at").isNotNull(), F.col(turn))).alias("_stop_turn"),
+            F.max("_at").alias("_stop_at"),
         )
+        .filter("_first is not null")
     )
     lines = F.split(F.col(content), "\n", -1)
     heard = F.when(F.col(turn) == F.col("_stop_turn"), F.slice(lines, F.lit(1), F.col("_stop_at"))).otherwise(lines)
@@ -104,12 +96,13 @@ def descriptions(
     whole = F.col("text")
     whole = F.when(F.col(turn) == F.col("_first"), F.ltrim(whole, F.lit(text.WHITE_SPACE))).otherwise(whole)
     whole = F.when(F.col(turn) == F.col("_last"), F.rtrim(whole, F.lit(text.WHITE_SPACE))).otherwise(whole)
+    # Exploding an array of one or none evaluates the text once and drops turns without any.
+    heard_text = F.explode(F.filter(F.array(kept), lambda t: t != ""))
     return (
         turns.join(ends, conversation)
         .filter(F.col(turn).between(F.col("_first"), F.col("_last")))
-        .select(conversation, turn, "_first", "_last", kept.alias("text"))
+        .select(conversation, turn, "_first", "_last", heard_text.alias("text"))
         .select(conversation, turn, whole.alias("text"))
-        .filter("text <> ''")
     )
 
 

@@ -50,14 +50,16 @@ def data_context(projects: DataFrame, manifests: DataFrame, requirements: DataFr
     """What is known of each project's data: its manifest, else its requirements, else its source.
 
     Takes `(project_id, dataset_source)`, `(project_id, manifest)` and `(project_id, requirements)`.
+    A manifest that is no JSON counts as missing.
     """
+    manifest = F.when(F.try_parse_json("manifest").isNotNull(), F.col("manifest"))
     return (
         projects.join(manifests.select("project_id", "manifest"), "project_id", "left")
         .join(requirements.select("project_id", "requirements"), "project_id", "left")
         .select(
             "project_id",
             F.coalesce(
-                F.col("manifest"), F.col("requirements"), F.concat(F.lit("Dataset source: "), "dataset_source")
+                manifest, F.col("requirements"), F.concat(F.lit("Dataset source: "), "dataset_source")
             ).alias("context"),
         )
     )

@@ -135,11 +135,15 @@ def test_manifest(spark):
 
 
 def test_data_context(spark):
-    projects = spark.createDataFrame([("a", "MNIST"), ("b", "x"), ("c", "y")], "project_id string, dataset_source string")
-    manifests = spark.createDataFrame([("b", "{}")], "project_id string, manifest string")
-    needs = spark.createDataFrame([("b", "old"), ("c", "needs")], "project_id string, requirements string")
+    projects = spark.createDataFrame(
+        [("a", "MNIST"), ("b", "x"), ("c", "y"), ("d", "z")], "project_id string, dataset_source string"
+    )
+    manifests = spark.createDataFrame([("b", "{}"), ("d", "{cut")], "project_id string, manifest string")
+    needs = spark.createDataFrame(
+        [("b", "old"), ("c", "needs"), ("d", "other needs")], "project_id string, requirements string"
+    )
     got = {r["project_id"]: r["context"] for r in tables.data_context(projects, manifests, needs).collect()}
-    assert got == {"a": "Dataset source: MNIST", "b": "{}", "c": "needs"}
+    assert got == {"a": "Dataset source: MNIST", "b": "{}", "c": "needs", "d": "other needs"}
 
 
 def test_scans_are_pruned(spark, sf):

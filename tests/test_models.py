@@ -111,6 +111,11 @@ def test_preprocess(spark):
     assert df.select(vectors.has_content(vectors.flatten_grid(F.col("g")))).first()[0]
 
 
+def test_blank_canvas(spark):
+    df = spark.createDataFrame([([255, 255, 255, 10] * 2,), ([0, 0, 0, 10, 0, 0, 0, 11],)], "px array<int>")
+    assert [r[0] for r in df.select(vectors.has_content(vectors.alpha_values(F.col("px")))).collect()] == [False, True]
+
+
 def test_training_learns_and_keeps_checkpoints(spark, points):
     path = new_folder(spark, "checkpoints")
     settings = TrainingSettings(epochs=6, steps_per_epoch=3, learning_rate=0.05, checkpoint_path=path, run_id="r1")
