@@ -1 +1,8 @@
 """modelyard: the data work around training a classifier, as Spark jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run on executors travel whole, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
