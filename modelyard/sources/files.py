@@ -8,17 +8,24 @@ from pyspark.sql import functions as F
 from modelyard.functions.text import below, file_extension, file_name, parent_dir
 
 
+def _qualified(spark: SparkSession, root: str) -> str:
+    """A path as its file system names it, scheme and host included."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """Every regular file below `root`: `(relative, name, ext, dir, length, modified)`.
 
     The content column is never selected, so Spark lists files but opens none. Names that
     start with `.` or `_` are passed over by Spark's own listing.
     """
+    top = _qualified(spark, root)
     found = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(root)
-        .select(below(F.col("path"), root).alias("relative"), "length", F.col("modificationTime").alias("modified"))
+        .select(below(F.col("path"), top).alias("relative"), "length", F.col("modificationTime").alias("modified"))
     )
     return found.select(
         "relative",
