@@ -14,11 +14,11 @@ from modelyard.functions.runlog import LINE_FIELDS
 from modelyard.operators import lifecycle, runs
 from modelyard.session import new_folder
 from modelyard.sources.tables import append_states, read_states, table
-from modelyard.streaming.common import run_available, table_stream
-from modelyard.streaming.lifecycle import track_moves
-from modelyard.streaming.progress import FIELDS, follow_progress, last_progress
+from modelyard.streaming.common import STATE_BATCH_BYTES, run_available, table_stream
+from modelyard.streaming.lifecycle import follow_stream, track_moves
+from modelyard.streaming.progress import FIELDS, fold_stream, folded_progress, follow_progress, last_progress
 
-FIELD_SQL = ", ".join(LINE_FIELDS)
+FIELD_SQL = ", ".join("val_acc AS best_acc" if n == "best_acc" else n for n in LINE_FIELDS)
 PROGRESS_COLUMNS = ("run_id", *FIELDS)
 FINAL_SQL = PROGRESS_SQL + f"SELECT {', '.join(PROGRESS_COLUMNS)} FROM folded"
 
@@ -50,7 +50,16 @@ def progress_fold(spark, sf):
 def progress_stream(spark, sf):
     """The same state, folded by a stream."""
     schema = table(spark, sf, "events").schema
-    stream = follow_progress(log_lines(table_stream(spark, sf, "events", schema)))
+    folder = new_folder(spark, "progress")
+    fold_stream(log_lines(table_stream(spark, sf, "events", schema)), folder, new_folder(spark, "progress-checkpoint"))
+    return folded_progress(spark, folder).select(*PROGRESS_COLUMNS)
+
+
+@query(FINAL_SQL)
+def progress_live(spark, sf):
+    """The same state, kept in a state store."""
+    schema = table(spark, sf, "events").schema
+    stream = follow_progress(log_lines(table_stream(spark, sf, "events", schema, STATE_BATCH_BYTES)))
     sink = new_folder(spark, "progress")
     run_available(stream, sink, new_folder(spark, "progress-checkpoint"))
     return last_progress(spark.read.parquet(sink)).select(*PROGRESS_COLUMNS)
@@ -228,9 +237,22 @@ def lifecycle_fold(spark, sf):
 
 @query(FOLLOW_SQL)
 def lifecycle_stream(spark, sf):
+    schema = table(spark, sf, "events").schema
+    folder = new_folder(spark, "moves")
+    follow_stream(
+        table_stream(spark, sf, "events", schema), "user_id", "event_id", "event_type",
+        folder, new_folder(spark, "moves-checkpoint"), EVENT_START, EVENT_MOVES,
+    )
+    return spark.read.parquet(f"{folder}/moves").drop("batch")
+
+
+@query(FOLLOW_SQL)
+def lifecycle_live(spark, sf):
+    """The same verdicts with the states kept in a state store."""
     schema = table(spark, sf, "events").schema
     stream = track_moves(
-        table_stream(spark, sf, "events", schema), "user_id", "event_id", "event_type", EVENT_START, EVENT_MOVES
+        table_stream(spark, sf, "events", schema, STATE_BATCH_BYTES),
+        "user_id", "event_id", "event_type", EVENT_START, EVENT_MOVES,
     )
     sink = new_folder(spark, "moves")
     run_available(stream, sink, new_folder(spark, "moves-checkpoint"))

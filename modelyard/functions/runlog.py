@@ -17,7 +17,7 @@ CRITICAL_MARK = "critical error"
 BAR_WIDTH = 30
 
 LINE_FIELDS = (
-    "current_epoch", "total_epochs", "train_loss", "train_acc", "val_loss", "val_acc",
+    "current_epoch", "total_epochs", "train_loss", "train_acc", "val_loss", "val_acc", "best_acc",
     "status", "finished", "failed", "error_message", "last_batch_info",
 )
 
@@ -64,6 +64,7 @@ def fields_of() -> dict[str, Column]:
         "train_acc": number("trained", 2).try_cast("double"),
         "val_loss": number("validated", 1).try_cast("double"),
         "val_acc": number("validated", 2).try_cast("double"),
+        "best_acc": number("validated", 2).try_cast("double"),
         "status": F.when(F.col("failed"), F.lit("Training failed"))
         .when(F.col("finished"), F.lit("Training complete!"))
         .when(validated.isNotNull(), F.concat(F.lit("Epoch "), validated, F.lit(" complete")))

@@ -163,20 +163,27 @@ def transition_audit(
 
 
 def _walk(
-    batches: Iterator[pd.DataFrame], project: str, state: str, allowed: dict, start: str, carried: dict
+    batches: Iterator[pd.DataFrame], project: str, state: str, begin: str, allowed: dict, carried: dict
 ) -> Iterator[pd.DataFrame]:
-    """Follow sorted rows project by project; `carried` holds states reached in earlier blocks."""
-    at, who = start, object()
+    """Follow sorted rows project by project.
+
+    A project starts in the state of its column `begin`, or in the one that `carried` holds
+    from earlier blocks.
+    """
+    at, who = None, object()
     for rows in batches:
         accepted, reached = [], []
-        for key, wanted in zip(rows[project].tolist(), rows[state].tolist()):
+        for key, wanted, first in zip(rows[project].tolist(), rows[state].tolist(), rows[begin].tolist()):
             if key != who:
-                who, at = key, carried.get(key, start)
-            ok = wanted in allowed[at]
+                who, at = key, carried.get(key, first)
+            ok = wanted in allowed.get(at, ())
             at = wanted if ok else at
             accepted.append(ok)
             reached.append(at)
-        yield rows.assign(accepted=accepted, state_after=reached)
+        yield rows.drop(columns=begin).assign(accepted=accepted, state_after=reached)
+
+
+BEGIN = "_begin"
 
 
 def follow_moves(
@@ -184,67 +191,80 @@ def follow_moves(
     project: str,
     order: Sequence[str],
     state: str,
-    start: str = "INIT",
+    start: str | Column = "INIT",
     moves: Sequence[tuple[str, str]] = MOVES,
     max_rows_per_key: int | None = None,
 ) -> DataFrame:
     """Accept valid moves and reject others without changing the state.
 
+    `start` is the state every project begins in, or a column that holds the one of its own.
     Rows stream through in order, so no project is ever held whole. When a project is too
     large for one task its rows are spread over blocks: each block first works out where it
     would end from every possible start, those small maps are chained, and then every block
     is followed from its true start.
     """
     cap = max_rows_per_key or limit_setting(df.sparkSession, ROWS_PER_KEY, 2_000_000)
-    names = sorted({s for pair in moves for s in pair} | {start})
-    allowed = {a: {b for x, b in moves if x == a} for a in names}
+    begin = start if isinstance(start, Column) else F.lit(start)
+    begun = df.withColumn(BEGIN, begin)
+    allowed = {a: {b for x, b in moves if x == a} for a, _ in moves}
     schema = T.StructType(
-        [*df.schema.fields, T.StructField("accepted", T.BooleanType()), T.StructField("state_after", T.StringType())]
+        [
+            *df.schema.fields,
+            T.StructField("accepted", T.BooleanType()),
+            T.StructField("state_after", T.StringType()),
+        ]
     )
-    cold, hot, hot_rows = split_hot(df, [project], cap)
+    cold, hot, hot_rows = split_hot(begun, [project], cap)
     parts = []
     if cold is not None:
         parts.append(
             cold.repartition(project)
             .sortWithinPartitions(project, *order)
-            .mapInPandas(lambda it: _walk(it, project, state, allowed, start, {}), schema)
+            .mapInPandas(lambda it: _walk(it, project, state, BEGIN, allowed, {}), schema)
         )
     if hot is not None:
-        parts.append(_follow_blocked(hot, project, order, state, start, names, allowed, schema, -(-hot_rows // cap)))
+        parts.append(_follow_blocked(hot, project, order, state, allowed, schema, -(-hot_rows // cap)))
     return reduce(DataFrame.unionByName, parts)
 
 
-def _follow_blocked(df, project, order, state, start, names, allowed, schema, wanted) -> DataFrame:
-    cut = pinned(blocks(df, [project], order, wanted).sortWithinPartitions(project, *order))
+def _follow_blocked(df, project, order, state, allowed, schema, wanted_blocks) -> DataFrame:
+    cut = pinned(blocks(df, [project], order, wanted_blocks).sortWithinPartitions(project, *order))
     key_type = df.schema[project].dataType.simpleString()
+    ends_schema = f"{project} {key_type}, {BLOCK} int, first string, ends map<string,string>"
+    names = sorted({*allowed, *(b for reachable in allowed.values() for b in reachable)})
 
     def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        who, block, maps = object(), 0, {}
+        who, block, first, maps = object(), 0, None, {}
         for rows in batches:
-            for key, number, wanted in zip(rows[project].tolist(), rows[BLOCK].tolist(), rows[state].tolist()):
+            columns = (rows[c].tolist() for c in (project, BLOCK, state, BEGIN))
+            for key, number, wanted, begin in zip(*columns):
                 if key != who:
                     if maps:
-                        yield pd.DataFrame({project: [who], BLOCK: [block], "ends": [list(maps.values())]})
-                    who, block, maps = key, number, {n: n for n in names}
-                maps = {n: wanted if wanted in allowed[at] else at for n, at in maps.items()}
+                        yield pd.DataFrame({project: [who], BLOCK: [block], "first": [first], "ends": [maps]})
+                    who, block, first = key, number, begin
+                    maps = {n: n for n in {*names, begin}}
+                maps = {n: wanted if wanted in allowed.get(at, ()) else at for n, at in maps.items()}
         if maps:
-            yield pd.DataFrame({project: [who], BLOCK: [block], "ends": [list(maps.values())]})
+            yield pd.DataFrame({project: [who], BLOCK: [block], "first": [first], "ends": [maps]})
 
-    summaries = cut.select(project, BLOCK, state).mapInPandas(ends, f"{project} {key_type}, {BLOCK} int, ends array<string>")
-    several = summaries.groupBy(project).agg(F.sort_array(F.collect_list(F.struct(BLOCK, "ends"))).alias("path"))
+    summaries = cut.select(project, BLOCK, state, BEGIN).mapInPandas(ends, ends_schema)
+    several = summaries.groupBy(project).agg(
+        F.collect_list(F.struct(BLOCK, "first", "ends")).alias("path")
+    )
     # One entry per block boundary that falls inside a project: fewer than there are blocks.
     starts: dict[int, dict] = {}
     for row in several.filter(F.size("path") > 1).toLocalIterator():
-        at = start
-        for step, following in zip(row["path"], row["path"][1:]):
-            at = step["ends"][names.index(at)]
+        path = sorted(row["path"], key=lambda step: step[BLOCK])
+        at = path[0]["first"]
+        for step, following in zip(path, path[1:]):
+            at = step["ends"][at]
             starts.setdefault(following[BLOCK], {})[row[project]] = at
 
     def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first = next((rows for rows in batches if len(rows)), None)
         if first is not None:
             carried = starts.get(int(first[BLOCK].iloc[0]), {})
-            for rows in _walk(chain([first], batches), project, state, allowed, start, carried):
+            for rows in _walk(chain([first], batches), project, state, BEGIN, allowed, carried):
                 yield rows.drop(columns=BLOCK)
 
     return cut.mapInPandas(follow, schema)

@@ -59,27 +59,41 @@ def until_terminal(lines: DataFrame) -> DataFrame:
     )
 
 
-def fold_progress(parsed: DataFrame, total_epochs: Column | None = None) -> DataFrame:
-    """State of each run after its last line.
+def condense(parsed: DataFrame) -> DataFrame:
+    """One row per run that says what all its lines said: the newest of each field, the best accuracy.
 
-    Every field is an aggregate that combines before the shuffle, so a run of any length
+    It has the columns of a parsed line, so condensed rows of later lines can be condensed
+    again. Every field is an aggregate that combines before the shuffle: a run of any length
     reaches the reducer as one partial row per task.
     """
-    start = total_epochs if total_epochs is not None else F.lit(0)
 
     def latest(name: str) -> Column:
-        return F.max_by(F.col(name), F.when(F.col(name).isNotNull(), F.col("seq")))
+        return F.max_by(F.col(name), F.when(F.col(name).isNotNull(), F.col("seq"))).alias(name)
 
+    last = [n for n in runlog.LINE_FIELDS if n not in ("best_acc", "finished", "failed")]
     return parsed.groupBy("run_id").agg(
-        F.coalesce(latest("current_epoch"), F.lit(0)).cast("bigint").alias("current_epoch"),
-        F.coalesce(latest("total_epochs"), start).cast("bigint").alias("total_epochs"),
-        *[F.coalesce(latest(n), F.lit(0.0)).alias(n) for n in ("train_loss", "train_acc", "val_loss", "val_acc")],
-        F.greatest(F.coalesce(F.max("val_acc"), F.lit(0.0)), F.lit(0.0)).alias("best_acc"),
-        F.coalesce(latest("status"), F.lit("Starting...")).alias("status"),
+        F.max("seq").alias("seq"),
+        F.max("best_acc").alias("best_acc"),
         F.bool_or("finished").alias("finished"),
         F.bool_or("failed").alias("failed"),
-        F.coalesce(latest("error_message"), F.lit("")).alias("error_message"),
-        F.coalesce(latest("last_batch_info"), F.lit("")).alias("last_batch_info"),
+        *[latest(n) for n in last],
+    )
+
+
+def fold_progress(parsed: DataFrame, total_epochs: Column | None = None) -> DataFrame:
+    """State of each run after its last line, with a start value for what was never said."""
+    start = {
+        "total_epochs": F.lit(0) if total_epochs is None else total_epochs,
+        "status": F.lit("Starting..."), "error_message": F.lit(""), "last_batch_info": F.lit(""),
+    }
+    counts = ("current_epoch", "total_epochs")
+
+    def said(name: str) -> Column:
+        value = F.coalesce(F.col(name), start.get(name, F.lit(0)))
+        return value.cast("bigint") if name in counts else value
+
+    return condense(parsed).select(
+        "run_id", *[said(n).alias(n) for n in runlog.LINE_FIELDS if n not in ("finished", "failed")], "finished", "failed"
     )
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 LINE_SCHEMA = "run_id string, seq bigint, line string"
 
 
-# What one micro-batch may take in; it bounds the rows of a key that a task holds at once.
-BATCH_BYTES = 256 << 20
+# What one micro-batch may take in where state functions hold the rows of a key, and elsewhere.
+STATE_BATCH_BYTES = 256 << 20
+BATCH_BYTES = 1 << 40
 
 
 def table_stream(
@@ -23,7 +24,7 @@ def table_stream(
     )
 
 
-def line_stream(spark: SparkSession, folder: str, max_bytes_per_trigger: int = BATCH_BYTES) -> DataFrame:
+def line_stream(spark: SparkSession, folder: str, max_bytes_per_trigger: int = STATE_BATCH_BYTES) -> DataFrame:
     """Log lines followed as files arrive."""
     return (
         spark.readStream.schema(LINE_SCHEMA).option("maxBytesPerTrigger", max_bytes_per_trigger).json(folder)

@@ -1,4 +1,9 @@
-"""Lifecycle of projects on a stream: valid moves are accepted, others change nothing."""
+"""Lifecycle of projects on a stream: valid moves are accepted, others change nothing.
+
+`follow_stream` follows each micro-batch with the batch operator, which spreads a large
+project over tasks, and keeps the states reached per batch. `track_moves` keeps them in the
+state store and answers sooner, for batches whose projects each fit a task.
+"""
 
 from __future__ import annotations
 
@@ -6,9 +11,10 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from modelyard.operators.lifecycle import MOVES
+from modelyard.operators.lifecycle import MOVES, follow_moves
 
 
 def track_moves(
@@ -47,3 +53,49 @@ def track_moves(
             follow, output, "at string, last bigint", "append", GroupStateTimeout.NoTimeout
         )
     )
+
+
+def follow_stream(
+    events: DataFrame,
+    project: str,
+    seq: str,
+    state: str,
+    folder: str,
+    checkpoint: str,
+    start: str = "INIT",
+    moves: Sequence[tuple[str, str]] = MOVES,
+) -> None:
+    """Follow the events that have arrived and stop; verdicts go to `folder`/moves.
+
+    `folder`/states holds one row per project and batch. A batch that is run again replaces
+    its own rows.
+    """
+    types = {c: events.schema[c].dataType.simpleString() for c in (project, seq)}
+    reached_schema = f"{project} {types[project]}, last {types[seq]}, reached string, batch bigint"
+
+    def take_in(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows, begin = batch.select(project, seq, state), F.lit(start)
+        if batch_id > 0:
+            reached = (
+                spark.read.schema(reached_schema).parquet(f"{folder}/states")
+                .filter(F.col("batch") < batch_id)
+                .groupBy(project)
+                .agg(F.max_by("reached", "batch").alias("_reached"))
+            )
+            rows = rows.join(reached, project, "left")
+            begin = F.coalesce("_reached", F.lit(start))
+        moved = f"{folder}/moves/batch={batch_id}"
+        followed = follow_moves(rows, project, [seq], state, begin, moves)
+        followed.select(project, seq, state, "accepted", "state_after").write.mode("overwrite").parquet(moved)
+        spark.read.parquet(moved).groupBy(project).agg(
+            F.max(seq).alias("last"), F.max_by("state_after", seq).alias("reached")
+        ).write.mode("overwrite").parquet(f"{folder}/states/batch={batch_id}")
+
+    (
+        events.writeStream.foreachBatch(take_in)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )

@@ -1,15 +1,21 @@
-"""Live progress of training runs from a stream of log lines."""
+"""Live progress of training runs from a stream of log lines.
+
+`fold_stream` folds each micro-batch with the batch aggregates, which combine before the
+shuffle, and keeps one condensed row per run and batch; a run may fill a whole batch of any
+size. `follow_progress` keeps the state in the state store and answers sooner, for batches
+whose runs each fit a task.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from modelyard.operators.runs import informative, parse_lines
+from modelyard.operators.runs import condense, fold_progress, informative, parse_lines, until_terminal
 
 COUNTS = ("current_epoch", "total_epochs")
 NUMBERS = ("train_loss", "train_acc", "val_loss", "val_acc")
@@ -80,3 +86,45 @@ def last_progress(emitted: DataFrame) -> DataFrame:
         .agg(F.max_by(F.struct(*FIELDS), "last_seq").alias("_last"))
         .select("run_id", "_last.*")
     )
+
+
+# ---- folding micro-batches with the batch aggregates
+
+CONDENSED_SCHEMA = (
+    "run_id string, seq bigint, best_acc double, finished boolean, failed boolean, current_epoch bigint, "
+    "total_epochs bigint, train_loss double, train_acc double, val_loss double, val_acc double, status string, "
+    "error_message string, last_batch_info string, batch bigint"
+)
+
+
+def condensed_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(CONDENSED_SCHEMA).parquet(folder)
+
+
+def fold_stream(lines: DataFrame, folder: str, checkpoint: str) -> None:
+    """Fold the lines that have arrived into `folder` and stop.
+
+    A batch that is run again replaces its own rows, so nothing counts twice. Lines of runs
+    that an earlier batch saw the end of are left out.
+    """
+
+    def take_in(batch: DataFrame, batch_id: int) -> None:
+        if batch_id > 0:
+            earlier = condensed_rows(batch.sparkSession, folder).filter(F.col("batch") < batch_id)
+            over = earlier.filter("finished or failed").select("run_id").distinct()
+            batch = batch.join(over, "run_id", "left_anti")
+        folded = condense(parse_lines(until_terminal(batch)))
+        folded.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+    (
+        lines.writeStream.foreachBatch(take_in)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )
+
+
+def folded_progress(spark: SparkSession, folder: str, total_epochs: Column | None = None) -> DataFrame:
+    """Progress of every run as far as the stream has come."""
+    return fold_progress(condensed_rows(spark, folder), total_epochs)

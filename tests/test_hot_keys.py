@@ -11,12 +11,12 @@ import __spark_entry__ as driver
 from modelyard.session import ROWS_PER_KEY
 
 ORDERED = (
-    "running_best", "run_eta", "progress_by_line", "transition_audit", "lifecycle_fold", "conversation_text",
+    "running_best", "run_eta", "progress_by_line", "transition_audit", "lifecycle_fold", "lifecycle_stream", "conversation_text",
     "ordered_batches",
 )
 OTHERS = (
-    "progress_fold", "progress_stream", "tail_replay", "tail_rows", "failure_tail", "run_outcome", "retry_outcome",
-    "current_state", "best_checkpoint", "lifecycle_stream", "run_elapsed", "context_assembly",
+    "progress_fold", "progress_stream", "progress_live", "tail_replay", "tail_rows", "failure_tail", "run_outcome", "retry_outcome",
+    "current_state", "best_checkpoint", "lifecycle_live", "run_elapsed", "context_assembly",
 )
 
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from modelyard.functions import runlog
 from modelyard.operators import metrics, runs
-from modelyard.session import new_folder
+from modelyard.operators.lifecycle import follow_moves
+from modelyard.session import ROWS_PER_KEY, new_folder
 from modelyard.streaming.common import line_stream, run_available
-from modelyard.streaming.lifecycle import track_moves
-from modelyard.streaming.progress import FIELDS, follow_progress, last_progress
+from modelyard.streaming.lifecycle import follow_stream, track_moves
+from modelyard.streaming.progress import FIELDS, condensed_rows, fold_stream, folded_progress, follow_progress, last_progress
 
 GOOD = [
     "--- Epoch 1/3 ---",
@@ -154,6 +157,51 @@ def test_stream_in_two_instalments_equals_batch(spark, lines):
     assert spark.read.parquet(sink).filter("run_id = 'good'").count() == 2
 
 
+def forget_last_commit(checkpoint):
+    """As if the driver had gone after the work and before the commit of the last batch."""
+    commits = Path(checkpoint) / "commits"
+    last = max(int(f.name) for f in commits.iterdir() if f.name.isdigit())
+    (commits / str(last)).unlink()
+    for crc in commits.glob(f".{last}.crc"):
+        crc.unlink()
+
+
+def test_folded_batches_equal_batch(spark, lines):
+    folder, sink, checkpoint = (new_folder(spark, n) for n in ("lines", "progress", "checkpoint"))
+    for part in ("seq < 2", "seq >= 2 and seq < 6", "seq >= 6"):
+        lines.filter(part).coalesce(1).write.mode("append").json(folder)
+        fold_stream(line_stream(spark, folder), sink, checkpoint)
+    want = by_run(runs.final_progress(lines, F.lit(7)))
+    assert by_run(folded_progress(spark, sink, F.lit(7))) == want
+    forget_last_commit(checkpoint)
+    fold_stream(line_stream(spark, folder), sink, checkpoint)
+    assert by_run(folded_progress(spark, sink, F.lit(7))) == want
+    # The failed run ended in the first batch, so the next ones have no row of it.
+    assert condensed_rows(spark, sink).filter("run_id = 'failed'").count() == 1
+
+
+@pytest.mark.parametrize("cap", [1000, 2])
+def test_followed_batches_keep_their_state(spark, cap):
+    spark.conf.set(ROWS_PER_KEY, cap)
+    moves = ["SCOPING", "DONE", "SPEC_CONFIRMED", "SCOPING", "DATA_REQUIRED", "DATA_VALIDATED", "ENV_BUILDING"]
+    rows = [("p", i, s) for i, s in enumerate(moves)] + [("q", 0, "DATA_REQUIRED"), ("q", 5, "SCOPING")]
+    df = spark.createDataFrame(rows, "p string, i bigint, s string")
+    folder, sink, checkpoint = (new_folder(spark, n) for n in ("events", "moves", "checkpoint"))
+    try:
+        for part in ("i < 3", "i >= 3"):
+            df.filter(part).coalesce(1).write.mode("append").json(folder)
+            follow_stream(spark.readStream.schema(df.schema).json(folder), "p", "i", "s", sink, checkpoint)
+        forget_last_commit(checkpoint)
+        follow_stream(spark.readStream.schema(df.schema).json(folder), "p", "i", "s", sink, checkpoint)
+        got = {(r["p"], r["i"]): (r["accepted"], r["state_after"]) for r in spark.read.parquet(f"{sink}/moves").collect()}
+        batch = follow_moves(df, "p", ["i"], "s")
+        assert got == {(r["p"], r["i"]): (r["accepted"], r["state_after"]) for r in batch.collect()}
+        assert got[("p", 6)] == (True, "ENV_BUILDING") and got[("q", 5)] == (True, "SCOPING")
+        assert len(got) == spark.read.parquet(f"{sink}/moves").count() == len(rows)
+    finally:
+        spark.conf.unset(ROWS_PER_KEY)
+
+
 def test_lifecycle_stream_keeps_its_state(spark):
     moves = ["SCOPING", "DONE", "SPEC_CONFIRMED", "SCOPING", "DATA_REQUIRED", "DATA_VALIDATED"]
     rows = [("p", i, s) for i, s in enumerate(moves)] + [("q", 0, "DATA_REQUIRED")]
