@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from modelyard.llm import chat, mixing, tokens
+from modelyard.llm import chat, decontaminate, jaccard, mixing, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -68,3 +68,58 @@ def op4_mix_sources(spark, sf_dir):
 def op6_token_counts(spark, sf_dir):
     path = public_tokenizers.path("word_bpe_49k.json")
     return tokens.token_counts(_table(spark, sf_dir, "documents"), path, limit=2048)
+
+
+@_query(r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM words
+), elements AS (SELECT doc_id, len(s) AS n, unnest(s) AS e FROM sets),
+classes AS (SELECT min(doc_id) AS doc_id, list_sort(s) AS s FROM sets WHERE len(s) > 0 GROUP BY list_sort(s)),
+parts AS (SELECT doc_id, n, e FROM elements SEMI JOIN classes USING (doc_id)),
+pairs AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM parts a JOIN parts b ON a.e = b.e AND a.doc_id <> b.doc_id
+    AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id AS node, doc_id AS seen FROM classes UNION SELECT r.node, p.v FROM reach r JOIN pairs p ON r.seen = p.u
+), component AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node),
+named AS (SELECT s, component_id FROM classes JOIN component ON doc_id = node)
+SELECT x.doc_id, len(x.s) AS n_shingles, coalesce(component_id, x.doc_id) AS component_id
+FROM sets x LEFT JOIN named ON list_sort(x.s) = named.s
+""")
+def op7_ngram_jaccard_join(spark, sf_dir):
+    return jaccard.linked(_table(spark, sf_dir, "documents"), jaccard.JaccardSettings(words=3, percent=90))
+
+
+@_query(r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), item_words AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), items AS (
+  SELECT item_id, least(10, len(w)) AS n, unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2),
+    lambda i: array_to_string(w[i : i + least(10, len(w)) - 1], ' '))) AS win FROM item_words WHERE len(w) > 0
+), sizes AS (SELECT DISTINCT n FROM items),
+starts AS (
+  SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS pos FROM docs, sizes WHERE len(w) >= n
+), hits AS (
+  SELECT doc_id, pos, s.n, item_id FROM starts s JOIN items i ON s.n = i.n AND array_to_string(w[pos : pos + s.n - 1], ' ') = i.win
+), per_doc AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS p FROM hits) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN per_doc USING (doc_id) LEFT JOIN named USING (doc_id)
+""")
+def op10_decontamination(spark, sf_dir):
+    documents, benchmark = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return decontaminate.digests(decontaminate.contamination(documents, benchmark))
