@@ -62,10 +62,13 @@ def pieces(offsets: np.ndarray, limit: int = PIECE) -> Iterator[tuple[int, int]]
 
 
 class WordHasher:
-    """Hashes the words of texts, A-Z lower-cased; made once per task."""
+    """Hashes the words of texts, A-Z lower-cased; made once per task.
 
-    def __init__(self, word_bytes: np.ndarray, limit: int = PIECE):
-        self.word_bytes, self.limit = word_bytes, limit
+    With `prefixes`, rows of hashes follow for the first so many bytes of each word (shorter words: the word itself).
+    """
+
+    def __init__(self, word_bytes: np.ndarray, limit: int = PIECE, prefixes: tuple[int, ...] = ()):
+        self.word_bytes, self.limit, self.prefixes = word_bytes, limit, prefixes
         fold = np.arange(256)
         fold[0x41:0x5B] += 0x20
         self.values = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[fold]
@@ -95,6 +98,9 @@ class WordHasher:
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(self.values[data] * self.up[:n], out=total[1:])
         words = mixed((total[closes] - total[opens]) * self.down[opens])
+        if self.prefixes:
+            cut = [mixed((total[np.minimum(closes, opens + n)] - total[opens]) * self.down[opens] + np.uint64(n)) for n in self.prefixes]
+            words = np.stack([words, *cut])
         return words, np.searchsorted(opens, offsets)
 
     def _long(self, data: np.ndarray) -> np.ndarray:
@@ -110,7 +116,7 @@ class WordHasher:
                 end = min(end + self.limit, len(data))  # a word longer than a piece
             found.append(self._piece(data[at:end], np.array([0, end - at]))[0])
             at = end
-        return np.concatenate(found) if found else np.zeros(0, np.uint64)
+        return np.concatenate(found, -1) if found else np.zeros(0, np.uint64)
 
     def runs(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Per run of rows: its first row, the word hashes, and where each row's words begin (one more at the end)."""
@@ -119,7 +125,7 @@ class WordHasher:
             own = data[offsets[first] : offsets[end]]
             if end == first + 1 and len(own) > self.limit:
                 words = self._long(own)
-                yield first, words, np.array([0, len(words)])
+                yield first, words, np.array([0, words.shape[-1]])
             else:
                 yield first, *self._piece(own, offsets[first : end + 1] - offsets[first])
 

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from modelyard.llm import chat, decontaminate, jaccard, mixing, tokens
+from modelyard.llm import chat, decontaminate, jaccard, language, mixing, quality, tokens, toxicity
+from modelyard.llm.learning import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -123,3 +125,27 @@ FROM docs d LEFT JOIN per_doc USING (doc_id) LEFT JOIN named USING (doc_id)
 def op10_decontamination(spark, sf_dir):
     documents, benchmark = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
     return decontaminate.digests(decontaminate.contamination(documents, benchmark))
+
+
+@_query()
+def op3_quality_classifier(spark, sf_dir):
+    documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    test = held_out(F.col("doc_id"), 5, 0)
+    scored = quality.scored(documents.select("doc_id", "text"), quality.learned(documents, labels, ~test))
+    return scored.select("doc_id", test.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@_query()
+def op5_toxicity(spark, sf_dir):
+    documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    test = held_out(F.col("doc_id"), 5, 0)
+    scored = toxicity.scored(documents, toxicity.learned(documents, labels, ~test), ["doc_id"])
+    return scored.select("doc_id", test.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@_query()
+def op9_language_id(spark, sf_dir):
+    documents, test = _table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 4, 2)
+    network = language.learned(documents, ~test)
+    found = language.identified(documents.select("doc_id", "text"), network)
+    return found.select("doc_id", test.alias("held_out"), "lang_pred", "score")
