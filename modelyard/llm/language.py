@@ -201,17 +201,19 @@ def learned(docs: DataFrame, learn: Column, settings: LanguageSettings | None =
     return trained(excerpts(docs, settings, named["doc_id"], named["text"], named["lang"], learn), settings)
 
 
-def identified(docs: DataFrame, network: ByteNetwork | None, text: str = "text") -> DataFrame:
-    """The rows with lang_pred and score added (columns of these names are replaced)."""
-    schema = docs.drop("lang_pred", "score").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
-    kept = [name for name in docs.columns if name not in ("lang_pred", "score")]
+def identified(
+    docs: DataFrame, network: ByteNetwork | None, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """The rows with the predicted language and its share added under `names`; columns of these names are replaced."""
+    kept = [name for name in docs.columns if name not in names]
+    schema = docs.select(*kept, F.lit("").alias(names[0]), F.lit(0.0).alias(names[1])).schema
 
     def score(batches):
         scorer = Scorer(network) if network else None
         for batch in batches:
-            at = batch.schema.get_field_index(text)
-            found = list(scorer.texts(batch.column(at))) if scorer else [(UNKNOWN, 0.0)] * len(batch)
-            columns = [*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+            texts = batch.column(kept.index(text))
+            found = list(scorer.texts(texts)) if scorer else [(UNKNOWN, 0.0)] * len(batch)
+            added = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=schema.names)
 
     return docs.select(*kept).mapInArrow(score, schema)

@@ -241,16 +241,16 @@ def learned(
     return fitted(features, (found.column("label").to_numpy()[order] > 0).astype(float), settings)
 
 
-def scored(docs: DataFrame, model: AdditiveModel, text: str = "text") -> DataFrame:
-    """The rows with `score` added (a column of this name is replaced)."""
-    kept = [name for name in docs.columns if name != "score"]
-    schema = docs.select(*kept, F.lit(0.0).alias("score")).schema
+def scored(docs: DataFrame, model: AdditiveModel, text: str = "text", name: str = "score") -> DataFrame:
+    """The rows with the score added under `name`; a column of this name is replaced."""
+    kept = [column for column in docs.columns if column != name]
+    schema = docs.select(*kept, F.lit(0.0).alias(name)).schema
 
     def score(batches):
         own = Measure()
         for batch in batches:
-            at = batch.schema.get_field_index(text)
-            found = model.score(own.column(batch.column(at))) if model.tables else np.full(len(batch), 0.5)
+            texts = batch.column(kept.index(text))
+            found = model.score(own.column(texts)) if model.tables else np.full(len(batch), model.score(np.zeros((1, 0)))[0])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=schema.names)
 
     return docs.select(*kept).mapInArrow(score, schema)

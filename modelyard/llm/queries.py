@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelyard.llm import chat, decontaminate, jaccard, language, mixing, quality, tokens, toxicity
+from modelyard.llm import chat, decontaminate, jaccard, language, mixing, neighbours, quality, tokens, toxicity, warc
 from modelyard.llm.learning import held_out
+from modelyard.session import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -149,3 +150,29 @@ def op9_language_id(spark, sf_dir):
     network = language.learned(documents, ~test)
     found = language.identified(documents.select("doc_id", "text"), network)
     return found.select("doc_id", test.alias("held_out"), "lang_pred", "score")
+
+
+@_query("""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first_id FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, n AS payload_bytes, p.d AS payload_digest,
+  CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+FROM p LEFT JOIN f ON p.d = f.d AND n >= 100
+""")
+def op2_warc(spark, sf_dir):
+    archives = warc.written(_table(spark, sf_dir, "pages"), new_folder(spark, "warc"))
+    return warc.digests(warc.read(archives))
+
+
+@_query("""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_distance(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM pairs QUALIFY rank <= 10
+""")
+def op8_nearest_neighbours(spark, sf_dir):
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
