@@ -84,8 +84,9 @@ class ProjectedTree:
         projected = (outside * outside).sum(1)
         cells = np.argsort(projected, kind="stable")
         ids, squares, k = np.zeros(0, np.int64), np.zeros(0), self.settings.k
+        rounding = 1e-12 * (at @ at)  # equal vectors may be projected apart by as much
         for i in range(0, len(cells), 8):
-            if len(ids) == k and projected[cells[i]] > self.limit * squares[-1]:
+            if len(ids) == k and projected[cells[i]] > self.limit * squares[-1] + rounding:
                 break
             rows = np.concatenate([np.arange(self.bounds[c], self.bounds[c + 1]) for c in cells[i : i + 8]])
             rows = rows[self.ids[rows] != own_id]

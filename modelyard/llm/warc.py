@@ -97,7 +97,7 @@ class _Archive:
     """One open archive file; records are gzip members."""
 
     def __init__(self, files: pafs.FileSystem, path: str, level: int):
-        self.path, self.sink, self.level, self.records, self.packer = path, files.open_output_stream(path), level, 0, None
+        self.path, self.sink, self.level, self.records, self.packer = path, files.open_output_stream(path, compression=None), level, 0, None
 
     def begin(self, fields: list[tuple[str, str]], length: int) -> None:
         self.packer = zlib.compressobj(self.level, zlib.DEFLATED, 31)
@@ -271,7 +271,7 @@ def read(archives: DataFrame, id_type: str = "bigint", settings: ArchiveSettings
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 files, own = _open_shared(path)
-                with files.open_input_stream(own) as source:
+                with files.open_input_stream(own, compression=None) as source:
                     rows, held = [], 0
                     for headers, chunk, data, last in _records(source, settings.chunk):
                         if chunk == 1:
