@@ -72,7 +72,7 @@ def score_stream(spark, sf):
     stream = score(table_stream(spark, sf, "embeddings", schema), fixed_parameters(), "embedding", keep=["vec_id"])
     sink = new_folder(spark, "scores")
     run_available(stream, sink, new_folder(spark, "scores-checkpoint"))
-    return spark.read.parquet(sink).select("vec_id", "prediction", F.round("confidence", 4).alias("confidence"))
+    return spark.read.schema(stream.schema).parquet(sink).select("vec_id", "prediction", F.round("confidence", 4).alias("confidence"))
 
 
 @query(

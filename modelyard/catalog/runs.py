@@ -15,8 +15,8 @@ from modelyard.operators import lifecycle, runs
 from modelyard.session import new_folder
 from modelyard.sources.tables import append_states, read_states, table
 from modelyard.streaming.common import STATE_BATCH_BYTES, run_available, table_stream
-from modelyard.streaming.lifecycle import follow_stream, track_moves
-from modelyard.streaming.progress import FIELDS, fold_stream, folded_progress, follow_progress, last_progress
+from modelyard.streaming.lifecycle import follow_stream, moves_schema, track_moves
+from modelyard.streaming.progress import FIELDS, STATE_SCHEMA, fold_stream, folded_progress, follow_progress, last_progress
 
 FIELD_SQL = ", ".join("val_acc AS best_acc" if n == "best_acc" else n for n in LINE_FIELDS)
 PROGRESS_COLUMNS = ("run_id", *FIELDS)
@@ -62,7 +62,7 @@ def progress_live(spark, sf):
     stream = follow_progress(log_lines(table_stream(spark, sf, "events", schema, STATE_BATCH_BYTES)))
     sink = new_folder(spark, "progress")
     run_available(stream, sink, new_folder(spark, "progress-checkpoint"))
-    return last_progress(spark.read.parquet(sink)).select(*PROGRESS_COLUMNS)
+    return last_progress(spark.read.schema(f"run_id string, {STATE_SCHEMA}").parquet(sink)).select(*PROGRESS_COLUMNS)
 
 
 def _now(column: str, start: str) -> str:
@@ -243,7 +243,8 @@ def lifecycle_stream(spark, sf):
         table_stream(spark, sf, "events", schema), "user_id", "event_id", "event_type",
         folder, new_folder(spark, "moves-checkpoint"), EVENT_START, EVENT_MOVES,
     )
-    return spark.read.parquet(f"{folder}/moves").drop("batch")
+    written = moves_schema(table(spark, sf, "events"), "user_id", "event_id", "event_type")
+    return spark.read.schema(written).parquet(f"{folder}/moves").drop("late")
 
 
 @query(FOLLOW_SQL)
@@ -256,7 +257,7 @@ def lifecycle_live(spark, sf):
     )
     sink = new_folder(spark, "moves")
     run_available(stream, sink, new_folder(spark, "moves-checkpoint"))
-    return spark.read.parquet(sink)
+    return spark.read.schema(stream.schema).parquet(sink).drop("late")
 
 
 ACTIONS_SQL = " ".join(f"WHEN '{s}' THEN '{a}'" for s, a in EVENT_ACTIONS.items())

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from functools import reduce
-from itertools import chain
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -161,29 +163,53 @@ def transition_audit(
 
 # ---- accept or reject each move against the state reached so far
 
+BEGIN, BEGIN_CODE, WANTED_CODE, AFTER_CODE = "_begin", "_begin_code", "_wanted_code", "_after_code"
 
-def _walk(
-    batches: Iterator[pd.DataFrame], project: str, state: str, begin: str, allowed: dict, carried: dict
-) -> Iterator[pd.DataFrame]:
-    """Follow sorted rows project by project.
 
-    A project starts in the state of its column `begin`, or in the one that `carried` holds
-    from earlier blocks.
-    """
-    at, who = None, object()
-    for rows in batches:
-        accepted, reached = [], []
-        for key, wanted, first in zip(rows[project].tolist(), rows[state].tolist(), rows[begin].tolist()):
-            if key != who:
-                who, at = key, carried.get(key, first)
-            ok = wanted in allowed.get(at, ())
-            at = wanted if ok else at
-            accepted.append(ok)
-            reached.append(at)
-        yield rows.drop(columns=begin).assign(accepted=accepted, state_after=reached)
+@dataclass(frozen=True)
+class MoveTable:
+    """Moves as a table of state numbers; the last number stands for any state that the moves do not name."""
+
+    names: tuple[str, ...]
+    allowed: np.ndarray  # [state, wanted]
+    after: np.ndarray  # [state, wanted]: the state after it
+
+    @classmethod
+    def of(cls, moves: Sequence[tuple[str, str]]) -> MoveTable:
+        names = tuple(sorted({n for move in moves for n in move}))
+        number = {n: i for i, n in enumerate(names)}
+        allowed = np.zeros((len(names) + 1, len(names) + 1), bool)
+        for a, b in moves:
+            allowed[number[a], number[b]] = True
+        states = np.arange(len(names) + 1, dtype=np.int16)
+        return cls(names, allowed, np.where(allowed, states[None, :], states[:, None]))
+
+    def code(self, state: Column) -> Column:
+        lookup = F.create_map(*[F.lit(x) for i, n in enumerate(self.names) for x in (n, i)])
+        return F.coalesce(F.try_element_at(lookup, state), F.lit(len(self.names))).cast("smallint")
 
 
-BEGIN = "_begin"
+def _starts_group(column: pa.Array, before: pa.Scalar | None) -> np.ndarray:
+    """Where a value differs from the one before it; values are compared as Arrow has them, null equals null."""
+    earlier = pa.concat_arrays([pa.array([None if before is None else before.as_py()], column.type), column.slice(0, len(column) - 1)])
+    same = pc.fill_null(pc.equal(column, earlier), False)
+    same = pc.or_(same, pc.and_(pc.is_null(column), pc.is_null(earlier)))
+    first = ~same.to_numpy(zero_copy_only=False)
+    if before is None and len(first):
+        first[0] = True
+    return first
+
+
+def _chained(first: np.ndarray, wanted: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Per row, where each state would be after all rows of its group up to it; the steps double."""
+    maps, closed, step = after.T[wanted], first.copy(), 1
+    closed[:1] = True
+    while not closed.all():
+        open_ = np.flatnonzero(~closed)
+        earlier = open_ - step
+        maps[open_], closed[open_] = np.take_along_axis(maps[open_], maps[earlier].astype(np.intp), 1), closed[earlier]
+        step *= 2
+    return maps
 
 
 def follow_moves(
@@ -197,74 +223,104 @@ def follow_moves(
 ) -> DataFrame:
     """Accept valid moves and reject others without changing the state.
 
-    `start` is the state every project begins in, or a column that holds the one of its own.
-    Rows stream through in order, so no project is ever held whole. When a project is too
-    large for one task its rows are spread over blocks: each block first works out where it
-    would end from every possible start, those small maps are chained, and then every block
-    is followed from its true start.
+    `start` is the state every project begins in, or a column that holds the one of its own. Rows without a project
+    are one project. Rows stream through in order as Arrow batches: states are small numbers, a batch is followed by
+    composing the rows' maps from state to state, and all other columns are handed on as they are. When a project
+    is too large for one task its rows are spread over blocks: each block first works out where it would end from
+    every possible start, those small maps are chained, and then every block is followed from its true start.
     """
     cap = max_rows_per_key or limit_setting(df.sparkSession, ROWS_PER_KEY, 2_000_000)
+    table = MoveTable.of(moves)
     begin = start if isinstance(start, Column) else F.lit(start)
-    begun = df.withColumn(BEGIN, begin)
-    allowed = {a: {b for x, b in moves if x == a} for a, _ in moves}
-    schema = T.StructType(
-        [
-            *df.schema.fields,
-            T.StructField("accepted", T.BooleanType()),
-            T.StructField("state_after", T.StringType()),
-        ]
-    )
-    cold, hot, hot_rows = split_hot(begun, [project], cap)
+    coded = df.withColumn(BEGIN, begin).withColumns({BEGIN_CODE: table.code(F.col(BEGIN)), WANTED_CODE: table.code(F.col(state))})
+    cold, hot, hot_rows = split_hot(coded, [project], cap)
     parts = []
     if cold is not None:
-        parts.append(
-            cold.repartition(project)
-            .sortWithinPartitions(project, *order)
-            .mapInPandas(lambda it: _walk(it, project, state, BEGIN, allowed, {}), schema)
-        )
+        parts.append(_followed(cold.repartition(project).sortWithinPartitions(project, *order), project, table, {}))
     if hot is not None:
-        parts.append(_follow_blocked(hot, project, order, state, allowed, schema, -(-hot_rows // cap)))
-    return reduce(DataFrame.unionByName, parts)
+        parts.append(_follow_blocked(hot, project, order, table, -(-hot_rows // cap)))
+    names = F.array(*[F.lit(n) for n in table.names])
+    reached = F.coalesce(F.get(names, F.col(AFTER_CODE)), F.col(BEGIN)).alias("state_after")
+    return reduce(DataFrame.unionByName, parts).select(*df.columns, "accepted", reached)
 
 
-def _follow_blocked(df, project, order, state, allowed, schema, wanted_blocks) -> DataFrame:
+def _followed(rows: DataFrame, project: str, table: MoveTable, carried: dict[int, int]) -> DataFrame:
+    """Add `accepted` and the number of the state after each row; rows are sorted by project and order.
+
+    `carried` holds the state in which the first project of a block goes on from the block before.
+    """
+    schema = T.StructType(
+        [*rows.schema.fields, T.StructField("accepted", T.BooleanType()), T.StructField(AFTER_CODE, T.ShortType())]
+    )
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, at = None, None
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys, wanted = batch.column(project), batch.column(WANTED_CODE).to_numpy()
+            begins = batch.column(BEGIN_CODE).to_numpy().copy()
+            first = _starts_group(keys, last)
+            if last is None and carried:
+                begins[0] = carried.get(batch.column(BLOCK)[0].as_py(), begins[0])
+            if not first[0]:
+                begins[0] = at
+            opens = first.copy()
+            opens[0] = True
+            group_begin = begins[opens][np.cumsum(opens) - 1]
+            reached = np.take_along_axis(_chained(first, wanted, table.after), group_begin[:, None].astype(np.intp), 1)[:, 0]
+            before = np.concatenate([group_begin[:1], reached[:-1]])
+            before[opens] = group_begin[opens]
+            last, at = keys[len(keys) - 1], reached[-1]
+            added = [pa.array(table.allowed[before, wanted]), pa.array(reached.astype(np.int16))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=schema.names)
+
+    return rows.mapInArrow(follow, schema)
+
+
+def _follow_blocked(df: DataFrame, project: str, order: Sequence[str], table: MoveTable, wanted_blocks: int) -> DataFrame:
     cut = pinned(blocks(df, [project], order, wanted_blocks).sortWithinPartitions(project, *order))
     key_type = df.schema[project].dataType.simpleString()
-    ends_schema = f"{project} {key_type}, {BLOCK} int, first string, ends map<string,string>"
-    names = sorted({*allowed, *(b for reachable in allowed.values() for b in reachable)})
-
-    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        who, block, first, maps = object(), 0, None, {}
-        for rows in batches:
-            columns = (rows[c].tolist() for c in (project, BLOCK, state, BEGIN))
-            for key, number, wanted, begin in zip(*columns):
-                if key != who:
-                    if maps:
-                        yield pd.DataFrame({project: [who], BLOCK: [block], "first": [first], "ends": [maps]})
-                    who, block, first = key, number, begin
-                    maps = {n: n for n in {*names, begin}}
-                maps = {n: wanted if wanted in allowed.get(at, ()) else at for n, at in maps.items()}
-        if maps:
-            yield pd.DataFrame({project: [who], BLOCK: [block], "first": [first], "ends": [maps]})
-
-    summaries = cut.select(project, BLOCK, state, BEGIN).mapInPandas(ends, ends_schema)
-    several = summaries.groupBy(project).agg(
-        F.collect_list(F.struct(BLOCK, "first", "ends")).alias("path")
-    )
+    ends_schema = f"{project} {key_type}, {BLOCK} int, first smallint, ends array<smallint>"
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, block, begin, so_far = None, 0, 0, None
+
+        def told(keys, blocks, begins, maps):
+            lists = pa.array([m.tolist() for m in maps], pa.list_(pa.int16()))
+            arrays = [keys, pa.array(blocks, pa.int32()), pa.array(begins, pa.int16()), lists]
+            return pa.RecordBatch.from_arrays(arrays, names=[project, BLOCK, "first", "ends"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys, wanted = batch.column(project), batch.column(WANTED_CODE).to_numpy()
+            first = _starts_group(keys, last)
+            maps = _chained(first, wanted, table.after)
+            if not first[0]:  # the group goes on from the batch before
+                end = int(np.append(np.flatnonzero(first), len(first))[0])
+                maps[:end] = np.take_along_axis(maps[:end], np.broadcast_to(so_far, maps[:end].shape).astype(np.intp), 1)
+            elif last is not None:
+                yield told(pa.array([last.as_py()], keys.type), [block], [begin], [so_far])
+            starts = np.flatnonzero(first)
+            ending = starts[1:] - 1 if first[0] else starts - 1
+            begins = batch.column(BEGIN_CODE).to_numpy()
+            numbers = batch.column(BLOCK).to_numpy()
+            group_begin = begins[starts] if first[0] else np.concatenate([[begin], begins[starts]])
+            if len(ending):
+                yield told(keys.take(pa.array(ending)), numbers[ending], group_begin[:-1], maps[ending])
+            last, block, begin, so_far = keys[len(keys) - 1], int(numbers[-1]), int(group_begin[-1]), maps[-1]
+        if last is not None:
+            yield told(pa.array([last.as_py()], last.type), [block], [begin], [so_far])
+
+    summaries = cut.select(project, BLOCK, WANTED_CODE, BEGIN_CODE).mapInArrow(ends, ends_schema)
+    several = summaries.groupBy(project).agg(F.collect_list(F.struct(BLOCK, "first", "ends")).alias("path"))
     # One entry per block boundary that falls inside a project: fewer than there are blocks.
-    starts: dict[int, dict] = {}
+    starts: dict[int, int] = {}
     for row in several.filter(F.size("path") > 1).toLocalIterator():
         path = sorted(row["path"], key=lambda step: step[BLOCK])
         at = path[0]["first"]
         for step, following in zip(path, path[1:]):
             at = step["ends"][at]
-            starts.setdefault(following[BLOCK], {})[row[project]] = at
-
-    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first = next((rows for rows in batches if len(rows)), None)
-        if first is not None:
-            carried = starts.get(int(first[BLOCK].iloc[0]), {})
-            for rows in _walk(chain([first], batches), project, state, BEGIN, allowed, carried):
-                yield rows.drop(columns=BLOCK)
-
-    return cut.mapInPandas(follow, schema)
+            starts[following[BLOCK]] = at
+    return _followed(cut, project, table, starts).drop(BLOCK)

@@ -38,6 +38,8 @@ def shared_root(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         named = tempfile.mkdtemp(prefix="modelyard-")
+    if not named.strip():
+        raise RuntimeError("spark.checkpoint.dir is empty")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named
@@ -48,6 +50,12 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/modelyard/{purpose}-{uuid.uuid4().hex}"
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(target) and files.getFileStatus(target).isDirectory()
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a folder made by `new_folder`."""
     if "/modelyard/" not in path:

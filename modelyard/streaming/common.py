@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from modelyard.session import is_folder
+
 LINE_SCHEMA = "run_id string, seq bigint, line string"
 
 
@@ -15,13 +17,12 @@ BATCH_BYTES = 1 << 40
 def table_stream(
     spark: SparkSession, folder: str, name: str, schema, max_bytes_per_trigger: int = BATCH_BYTES
 ) -> DataFrame:
-    """The Parquet files of one table as a stream."""
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .option("maxBytesPerTrigger", max_bytes_per_trigger)
-        .parquet(folder)
-    )
+    """One Parquet table as a stream: the part files of its folder, or its single file among its neighbours."""
+    reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", max_bytes_per_trigger)
+    path = f"{folder}/{name}.parquet"
+    if is_folder(spark, path):
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def line_stream(spark: SparkSession, folder: str, max_bytes_per_trigger: int = STATE_BATCH_BYTES) -> DataFrame:

@@ -25,36 +25,44 @@ def track_moves(
     start: str = "INIT",
     moves: Sequence[tuple[str, str]] = MOVES,
 ) -> DataFrame:
-    """Every event with its verdict and the state after it: `(project, seq, state, accepted, state_after)`."""
+    """Every event with its verdict and the state after it: `(project, seq, state, accepted, state_after, late)`.
+
+    An event that comes after a later one of its project is told as late, without a verdict, and changes nothing. Ids
+    travel as text, so that none is rounded; rows without a project are one project.
+    """
     allowed = set(moves)
     types = {c: events.schema[c].dataType.simpleString() for c in (project, seq, state)}
-    output = ", ".join(f"{c} {t}" for c, t in types.items()) + ", accepted boolean, state_after string"
+    output = f"_key string, {seq} {types[seq]}, {state} string, accepted boolean, state_after string, late boolean"
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         at, last = held.get if held.exists else (start, None)
         rows = pd.concat(list(batches)).sort_values(seq, ignore_index=True)
-        if last is not None:
-            rows = rows[rows[seq] > last]
-        if len(rows) == 0:
-            return
+        late = rows[seq] <= last if last is not None else pd.Series(False, index=rows.index)
         accepted, reached = [], []
-        for wanted in rows[state].tolist():
-            ok = (at, wanted) in allowed
+        for wanted, behind in zip(rows[state].tolist(), late.tolist(), strict=True):
+            ok = None if behind else (at, wanted) in allowed
             at = wanted if ok else at
             accepted.append(ok)
-            reached.append(at)
-        held.update((at, int(rows[seq].iloc[-1])))
-        yield rows[[project, seq, state]].assign(accepted=accepted, state_after=reached)
+            reached.append(None if behind else at)
+        if not late.all():
+            held.update((at, int(rows[seq].iloc[-1])))
+        yield rows[["_key", seq, state]].assign(accepted=accepted, state_after=reached, late=late)
 
     return (
-        events.select(project, seq, state)
-        .groupBy(project)
-        .applyInPandasWithState(
-            follow, output, "at string, last bigint", "append", GroupStateTimeout.NoTimeout
-        )
+        events.select(F.col(project).cast("string").alias("_key"), seq, state)
+        .groupBy("_key")
+        .applyInPandasWithState(follow, output, "at string, last bigint", "append", GroupStateTimeout.NoTimeout)
+        .withColumn(project, F.col("_key").cast(types[project]))
+        .select(project, seq, state, "accepted", "state_after", "late")
     )
 
 
+def moves_schema(events: DataFrame, project: str, seq: str, state: str) -> str:
+    """What the sinks of `track_moves` and `follow_stream` hold."""
+    types = {c: events.schema[c].dataType.simpleString() for c in (project, seq, state)}
+    return ", ".join(f"{c} {t}" for c, t in types.items()) + ", accepted boolean, state_after string, late boolean"
+
+
 def follow_stream(
     events: DataFrame,
     project: str,
@@ -67,30 +75,38 @@ def follow_stream(
 ) -> None:
     """Follow the events that have arrived and stop; verdicts go to `folder`/moves.
 
-    `folder`/states holds one row per project and batch. A batch that is run again replaces
-    its own rows.
+    Each micro-batch is judged from the states that the batches before it reached, so an event that comes a batch
+    late is judged where it comes in, and told as late. `folder`/states holds all states after each batch; a batch
+    reads those of the one before. A batch that is run again replaces its own rows.
     """
     types = {c: events.schema[c].dataType.simpleString() for c in (project, seq)}
-    reached_schema = f"{project} {types[project]}, last {types[seq]}, reached string, batch bigint"
+    reached_schema = f"{project} {types[project]}, last {types[seq]}, reached string"
 
     def take_in(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows, begin = batch.select(project, seq, state), F.lit(start)
+        rows, begin, late = batch.select(project, seq, state), F.lit(start), F.lit(False)
+        before = None
         if batch_id > 0:
-            reached = (
-                spark.read.schema(reached_schema).parquet(f"{folder}/states")
-                .filter(F.col("batch") < batch_id)
-                .groupBy(project)
-                .agg(F.max_by("reached", "batch").alias("_reached"))
-            )
-            rows = rows.join(reached, project, "left")
-            begin = F.coalesce("_reached", F.lit(start))
+            before = spark.read.schema(reached_schema).parquet(f"{folder}/states/batch={batch_id - 1}")
+            known = before.select(F.col(project).alias("_project"), F.col("last").alias("_last"), F.col("reached").alias("_reached"))
+            rows = rows.join(known, F.col(project).eqNullSafe(F.col("_project")), "left")
+            begin, late = F.coalesce("_reached", F.lit(start)), F.coalesce(F.col(seq) <= F.col("_last"), F.lit(False))
         moved = f"{folder}/moves/batch={batch_id}"
         followed = follow_moves(rows, project, [seq], state, begin, moves)
-        followed.select(project, seq, state, "accepted", "state_after").write.mode("overwrite").parquet(moved)
-        spark.read.parquet(moved).groupBy(project).agg(
+        verdicts = followed.select(project, seq, state, "accepted", "state_after", late.alias("late"))
+        verdicts.write.mode("overwrite").parquet(moved)
+        reached = spark.read.schema(verdicts.schema).parquet(moved).groupBy(project).agg(
             F.max(seq).alias("last"), F.max_by("state_after", seq).alias("reached")
-        ).write.mode("overwrite").parquet(f"{folder}/states/batch={batch_id}")
+        )
+        if before is not None:
+            now = F.col(project).eqNullSafe(F.col("_project"))
+            named = reached.select(F.col(project).alias("_project"), F.col("last").alias("_now"), F.col("reached").alias("_reached"))
+            reached = before.join(named, now, "full_outer").select(
+                F.coalesce(project, "_project").alias(project),
+                F.greatest("last", "_now").alias("last"),
+                F.coalesce("_reached", "reached").alias("reached"),
+            )
+        reached.write.mode("overwrite").parquet(f"{folder}/states/batch={batch_id}")
 
     (
         events.writeStream.foreachBatch(take_in)

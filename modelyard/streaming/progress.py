@@ -1,8 +1,8 @@
 """Live progress of training runs from a stream of log lines.
 
-`fold_stream` folds each micro-batch with the batch aggregates, which combine before the
-shuffle, and keeps one condensed row per run and batch; a run may fill a whole batch of any
-size. `follow_progress` keeps the state in the state store and answers sooner, for batches
+`fold_stream` folds each micro-batch with aggregates that combine before the shuffle, and keeps
+one row per run with the place of every value, so that late lines fall into place; a run may fill
+a whole batch of any size. `follow_progress` keeps the state in the state store and answers sooner, for batches
 whose runs each fit a task.
 """
 
@@ -15,7 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from modelyard.operators.runs import condense, fold_progress, informative, parse_lines, until_terminal
+from modelyard.functions.runlog import LINE_FIELDS
+from modelyard.functions.text import strip
+from modelyard.operators.runs import fold_progress, informative, parse_lines
+from modelyard.session import is_folder
 
 COUNTS = ("current_epoch", "total_epochs")
 NUMBERS = ("train_loss", "train_acc", "val_loss", "val_acc")
@@ -24,7 +27,7 @@ FIELDS = (*COUNTS, *NUMBERS, "best_acc", *TEXTS, "finished", "failed")
 STATE_SCHEMA = (
     "last_seq bigint, current_epoch bigint, total_epochs bigint, train_loss double, train_acc double, "
     "val_loss double, val_acc double, best_acc double, status string, error_message string, "
-    "last_batch_info string, finished boolean, failed boolean"
+    "last_batch_info string, finished boolean, failed boolean, late bigint"
 )
 
 
@@ -49,24 +52,28 @@ def follow_progress(lines: DataFrame, total_epochs: int = 0) -> DataFrame:
     """One row per run and micro-batch with the progress reached.
 
     Lines are parsed and thinned out before the shuffle; what a run sends in one micro-batch
-    is bounded by the byte limit of the source. Lines at or before the last one seen are
-    dropped, and so is everything after a terminal line.
+    is bounded by the byte limit of the source. What follows a terminal line is left out. Lines
+    at or before the last one seen come too late for the state store: they change nothing, and
+    `late` counts them for every run (`fold_stream` takes them in).
     """
     start = {
         "last_seq": -(1 << 62), "current_epoch": 0, "total_epochs": total_epochs,
         "train_loss": 0.0, "train_acc": 0.0, "val_loss": 0.0, "val_acc": 0.0, "best_acc": 0.0,
         "status": "Starting...", "error_message": "", "last_batch_info": "", "finished": False, "failed": False,
+        "late": 0,
     }
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = dict(zip(start, state.get)) if state.exists else dict(start)
-        parts = [b[b["seq"] > now["last_seq"]] for b in batches]
+        came = pd.concat(list(batches))
+        rows = came[came["seq"] > now["last_seq"]].sort_values("seq", ignore_index=True)
+        late = len(came) - len(rows)
         if now["finished"] or now["failed"]:
+            rows = rows.iloc[:0]
+        if len(rows) == 0 and late == 0:
             return
-        rows = pd.concat(parts).sort_values("seq", ignore_index=True) if parts else pd.DataFrame()
-        if len(rows) == 0:
-            return
-        now = _take_in(now, rows)
+        now = _take_in(now, rows) if len(rows) else dict(now)
+        now["late"] += late
         state.update(tuple(now[k] for k in start))
         yield pd.DataFrame([{"run_id": key[0], **now}])
 
@@ -83,39 +90,83 @@ def last_progress(emitted: DataFrame) -> DataFrame:
     """The newest row of every run out of what the stream has written."""
     return (
         emitted.groupBy("run_id")
-        .agg(F.max_by(F.struct(*FIELDS), "last_seq").alias("_last"))
+        .agg(F.max_by(F.struct(*FIELDS), F.struct("last_seq", "late")).alias("_last"))
         .select("run_id", "_last.*")
     )
 
 
 # ---- folding micro-batches with the batch aggregates
 
-CONDENSED_SCHEMA = (
-    "run_id string, seq bigint, best_acc double, finished boolean, failed boolean, current_epoch bigint, "
-    "total_epochs bigint, train_loss double, train_acc double, val_loss double, val_acc double, status string, "
-    "error_message string, last_batch_info string, batch bigint"
+PARSED_SCHEMA = (
+    "run_id string, seq bigint, current_epoch bigint, total_epochs bigint, train_loss double, train_acc double, val_loss double, "
+    "val_acc double, best_acc double, status string, finished boolean, failed boolean, error_message string, "
+    "last_batch_info string"
 )
+LATEST = tuple(n for n in LINE_FIELDS if n not in ("best_acc", "finished", "failed"))
+
+
+def _placed(parsed: DataFrame) -> DataFrame:
+    """Parsed lines with the place of every field that they say something about."""
+    return parsed.withColumns({f"{n}_at": F.when(F.col(n).isNotNull(), F.col("seq")) for n in LATEST})
+
+
+def _merged(placed: DataFrame) -> DataFrame:
+    """One row per run: each field as its latest line has it, and where that line is."""
+    return placed.groupBy("run_id").agg(
+        F.max("seq").alias("seq"),
+        F.max("best_acc").alias("best_acc"),
+        F.bool_or("finished").alias("finished"),
+        F.bool_or("failed").alias("failed"),
+        *[F.max_by(n, f"{n}_at").alias(n) for n in LATEST],
+        *[F.max(f"{n}_at").alias(f"{n}_at") for n in LATEST],
+    )
+
+
+def _state_schema() -> str:
+    return PARSED_SCHEMA + "".join(f", {n}_at bigint" for n in LATEST)
 
 
 def condensed_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(CONDENSED_SCHEMA).parquet(folder)
+    """The state of every run after the last batch."""
+    states = spark.read.schema(_state_schema() + ", batch bigint").parquet(f"{folder}/states")
+    newest = states.agg(F.max("batch")).first()[0]
+    return states.filter(F.col("batch") == newest).drop("batch")
 
 
 def fold_stream(lines: DataFrame, folder: str, checkpoint: str) -> None:
-    """Fold the lines that have arrived into `folder` and stop.
+    """Fold the lines that have arrived into `folder` and stop; lines may come late and in any order.
 
-    A batch that is run again replaces its own rows, so nothing counts twice. Lines of runs
-    that an earlier batch saw the end of are left out.
+    A run ends at its first terminal line. `folder`/states holds one row per run after each batch, and a batch reads
+    that of the batch before; `folder`/lines keeps the lines that say something, which are read again only for runs
+    whose end turns out to be earlier than lines already folded. A batch that is run again replaces its own rows.
     """
 
     def take_in(batch: DataFrame, batch_id: int) -> None:
-        if batch_id > 0:
-            earlier = condensed_rows(batch.sparkSession, folder).filter(F.col("batch") < batch_id)
-            over = earlier.filter("finished or failed").select("run_id").distinct()
-            batch = batch.join(over, "run_id", "left_anti")
-        folded = condense(parse_lines(until_terminal(batch)))
-        folded.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
-
+        spark = batch.sparkSession
+        own = f"{folder}/lines/batch={batch_id}"
+        # A run that says nothing of note is known by its last line.
+        silent = batch.filter(strip(F.col("line")) != "").groupBy("run_id").agg(F.max("seq").alias("seq"))
+        silent = silent.withColumns({"finished": F.lit(False), "failed": F.lit(False)})
+        said = informative(parse_lines(batch)).unionByName(silent, allowMissingColumns=True)
+        said.select("run_id", "seq", *LINE_FIELDS).write.mode("overwrite").parquet(own)
+        mine = spark.read.schema(PARSED_SCHEMA).parquet(own)
+        before = spark.read.schema(_state_schema()).parquet(f"{folder}/states/batch={batch_id - 1}")
+        last = F.when(F.col("finished") | F.col("failed"), F.col("seq"))
+        ends = before.select("run_id", last.alias("end"), F.col("seq").alias("seen")).unionByName(
+            mine.select("run_id", last.alias("end"), F.lit(None).cast("bigint").alias("seen"))
+        )
+        ends = ends.groupBy("run_id").agg(F.min("end").alias("end"), F.max("seen").alias("seen"))
+        ends = ends.withColumn("cut", F.coalesce(F.col("seen") > F.col("end"), F.lit(False)))
+        every = spark.read.schema(PARSED_SCHEMA + ", batch bigint").parquet(f"{folder}/lines")
+        again = every.filter(F.col("batch") < batch_id).drop("batch").join(ends.filter("cut").select("run_id"), "run_id", "left_semi")
+        kept = before.join(ends.filter("cut").select("run_id"), "run_id", "left_anti")
+        rows = kept.unionByName(_placed(mine.unionByName(again)))
+        within = rows.join(ends.select("run_id", "end"), "run_id").filter(F.col("end").isNull() | (F.col("seq") <= F.col("end")))
+        _merged(within.drop("end")).write.mode("overwrite").parquet(f"{folder}/states/batch={batch_id}")
+
+    spark = lines.sparkSession
+    if not is_folder(spark, f"{folder}/states"):
+        spark.createDataFrame([], _state_schema()).write.mode("overwrite").parquet(f"{folder}/states/batch=-1")
     (
         lines.writeStream.foreachBatch(take_in)
         .option("checkpointLocation", checkpoint)
@@ -127,4 +178,4 @@ def fold_stream(lines: DataFrame, folder: str, checkpoint: str) -> None:
 
 def folded_progress(spark: SparkSession, folder: str, total_epochs: Column | None = None) -> DataFrame:
     """Progress of every run as far as the stream has come."""
-    return fold_progress(condensed_rows(spark, folder), total_epochs)
+    return fold_progress(condensed_rows(spark, folder).select("run_id", "seq", *LINE_FIELDS), total_epochs)

@@ -211,7 +211,7 @@ def test_lifecycle_stream_keeps_its_state(spark):
         df.filter(part).coalesce(1).write.mode("append").json(folder)
         stream = spark.readStream.schema(df.schema).json(folder)
         run_available(track_moves(stream, "p", "i", "s"), sink, checkpoint)
-    got = [tuple(r) for r in spark.read.parquet(sink).orderBy("p", "i").collect()]
+    got = [tuple(r)[:5] for r in spark.read.parquet(sink).orderBy("p", "i").collect()]
     assert got == [
         ("p", 0, "SCOPING", True, "SCOPING"), ("p", 1, "DONE", False, "SCOPING"),
         ("p", 2, "SPEC_CONFIRMED", True, "SPEC_CONFIRMED"), ("p", 3, "SCOPING", False, "SPEC_CONFIRMED"),
