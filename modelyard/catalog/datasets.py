@@ -233,7 +233,7 @@ def spec_checks(spark, sf):
 @query(
     """SELECT p_partkey, lower(p_type) AS project_type, lower(p_brand) AS framework,
            CASE WHEN p_size % 4 = 0 THEN 'custom' ELSE p_name END AS dataset_source, p_size % 3 = 1 AS pretrained,
-           'medium' AS compute_budget, 'balanced' AS latency_priority
+           'medium' AS compute_budget, 'balanced' AS latency_priority, CASE WHEN p_size % 7 = 0 THEN 1 ELSE 0 END AS requirements
     FROM part"""
 )
 def spec_defaults(spark, sf):
@@ -246,8 +246,9 @@ def spec_defaults(spark, sf):
         F.when(F.col("p_size") % 3 == 1, F.lit(True)).alias("pretrained"),
         F.lit(None).cast("string").alias("compute_budget"),
         F.lit(None).cast("string").alias("latency_priority"),
+        F.when(F.col("p_size") % 7 == 0, F.create_map(F.lit("metric"), F.col("p_type"))).alias(checks.OPEN_MAP),
     )
-    return checks.clean_specs(specs)
+    return checks.clean_specs(specs).withColumn("requirements", F.size(checks.OPEN_MAP)).drop(checks.OPEN_MAP)
 
 
 @query(
@@ -259,10 +260,48 @@ def source_gate(spark, sf):
     return counts.withColumn("needs_validation", ~checks.known_source(F.col("source"), ("src0", "src3")))
 
 
-@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def missing_items(spark, sf):
-    found = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("p_partkey"))
-    return checks.missing_items(table(spark, sf, "part").select("p_partkey"), found, "p_partkey")
+    """Documents that nobody has labelled."""
+    return checks.missing_items(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels"), "doc_id")
+
+
+@query(
+    """SELECT quality, count(DISTINCT d.doc_id) > 0 AS "found"
+    FROM (VALUES (0), (1), (2)) q(quality) LEFT JOIN labels l USING (quality) LEFT JOIN documents d ON d.doc_id = l.doc_id
+    GROUP BY quality"""
+)
+def any_found(spark, sf):
+    """Has any document a label of each kind; there is no kind 2."""
+    expected, labels = table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels")
+    return checks.union_all(
+        [
+            checks.any_found(expected, labels.filter(F.col("quality") == kind), "doc_id").select(F.lit(kind).alias("quality"), "found")
+            for kind in (0, 1, 2)
+        ]
+    )
+
+
+@query(
+    """SELECT 'severity allowed' AS rule, count(*) FILTER (p_size % 3 = 2) AS violations FROM part
+    UNION ALL SELECT 'message required', count(*) FILTER (p_size % 4 = 0) FROM part
+    UNION ALL SELECT 'fix required', count(*) FILTER (p_type IS NULL) FROM part
+    UNION ALL SELECT 'status allowed', count(*) FILTER (o_orderstatus <> 'F') FROM orders"""
+)
+def issue_checks(spark, sf):
+    """Parts read as issues, and orders as results, where only one status is written as it should be."""
+    severity = F.when(F.col("p_size") % 3 == 0, "error").when(F.col("p_size") % 3 == 1, "warning").otherwise("Error")
+    issues = table(spark, sf, "part").select(
+        severity.alias("severity"), F.when(F.col("p_size") % 4 != 0, F.col("p_name")).alias("message"), F.col("p_type").alias("fix")
+    )
+    status = F.when(F.col("o_orderstatus") == "F", "pass").when(F.col("o_orderstatus") == "O", "PASS")
+    results = table(spark, sf, "orders").select(status.alias("status"))
+    return checks.union_all(
+        [
+            checks.count_violations(issues, "issues", checks.ISSUE_RULES),
+            checks.count_violations(results, "results", checks.RESULT_RULES),
+        ]
+    ).select("rule", "violations")
 
 
 @query(
@@ -320,13 +359,30 @@ def batches_per_epoch(spark, sf):
     return counts.withColumn("batches", profile.batch_count(F.col("n")))
 
 
-@query(PROFILE_SQL)
+@query(
+    f"""WITH {PAGE_PATH_SQL.strip()}, {FINDINGS_SQL.strip()}
+    SELECT 'total' AS kind, '' AS key, count(*) AS n FROM parts
+    UNION ALL SELECT 'ext', ext, count(*) FROM parts GROUP BY ext
+    UNION ALL SELECT 'dir', dir, count(*) FROM parts GROUP BY dir
+    UNION ALL SELECT 'class', CAST(label AS VARCHAR), count(*) FROM embeddings GROUP BY label
+    UNION ALL SELECT 'path', 'pages', 1
+    UNION ALL SELECT 'status', CASE max(CASE status WHEN 'fail' THEN 2 WHEN 'warn' THEN 1 ELSE 0 END)
+                               WHEN 2 THEN 'fail' WHEN 1 THEN 'warn' ELSE 'pass' END, 1 FROM rolled
+    UNION ALL (SELECT 'sample', path, 1 FROM paths ORDER BY md5('42:' || page_id), page_id LIMIT 10)
+    UNION ALL SELECT 'issue ' || severity, rule || ': ' || violations || ' rows', 1 FROM findings WHERE violations > 0"""
+)
 def manifest_roundtrip(spark, sf):
-    """The profile as read back from the manifest it was written to."""
+    """Profile and issues as read back from the manifest they were written to."""
     path = new_folder(spark, "manifest")
-    found = profile.dataset_profile(page_paths(spark, sf), F.col("path"))
-    tables.write_manifest(found, checks.as_issues(all_findings(spark, sf)), path)
-    return tables.read_profile(spark, path)
+    findings = all_findings(spark, sf)
+    status = findings.agg(checks.status_of(F.when(F.col("violations") > 0, F.col("severity")))).first()[0]
+    classes = profile.class_distribution(table(spark, sf, "embeddings"), "label")
+    whole = profile.described(page_paths(spark, sf), F.col("path"), "page_id", classes, "pages", status)
+    tables.write_manifest(whole, checks.as_issues(findings), path)
+    issues = tables.read_issues(spark, path).select(
+        F.concat(F.lit("issue "), "severity").alias("kind"), F.col("message").alias("key"), F.lit(1).cast("bigint").alias("n")
+    )
+    return tables.read_profile(spark, path).unionByName(issues)
 
 
 @query(
@@ -351,7 +407,17 @@ def data_context(spark, sf):
     return known.select("project_id", F.md5("context").alias("context"))
 
 
-@query()
+KNOWN_TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
+    "benchmark", "labels", "conversations",
+)
+
+
+@query(
+    f"""SELECT name || '.parquet' AS relative, name || '.parquet' AS name, '.parquet' AS ext, '.' AS dir, true AS filled, regions
+    FROM (VALUES {", ".join(f"('{t}')" for t in KNOWN_TABLES)}) t(name), (SELECT count(*) AS regions FROM region)"""
+)
 def visible_files(spark, sf):
-    """Files of the dataset folder itself."""
-    return files.visible(files.list_files(spark, sf)).select("relative", "name", "ext", "dir", "length")
+    """Files of the dataset folder itself, with the rows that one of them holds."""
+    found = files.visible(files.list_files(spark, sf)).select("relative", "name", "ext", "dir", (F.col("length") > 0).alias("filled"))
+    return found.withColumn("regions", F.lit(table(spark, sf, "region").count()))

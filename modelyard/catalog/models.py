@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from modelyard.catalog.fixtures import CLASSES, HIDDEN, SCORED_SQL, fixed_parameters
@@ -195,40 +197,86 @@ def training_step(spark, sf):
 NETWORK = Network(64, 48, 10)
 
 
-@query()
+SPLIT_SQL = """
+  SELECT CASE WHEN CAST('0x' || substr(md5(CAST(vec_id AS VARCHAR)), 1, 8) AS BIGINT) % 10 < 8
+              THEN 'training' ELSE 'validation' END AS phase, count(*) AS n FROM embeddings GROUP BY phase
+"""
+
+
+@query(
+    f"""SELECT 'run' AS run_id, CAST(epoch AS INT) AS epoch, phase, n, true AS plausible, true AS learned, true AS found_best
+    FROM ({SPLIT_SQL}), (SELECT unnest(range(1, 6)) AS epoch)"""
+)
 def train_run(spark, sf):
-    """Loss and accuracy per epoch, with checkpoints written and the best one found again."""
+    """Epochs of a run and the rows each phase saw: are losses and accuracies plausible, did the training loss fall, and
+    do the checkpoints that were read back name the epoch with the best validation accuracy."""
     path = new_folder(spark, "checkpoints")
     settings = TrainingSettings(epochs=5, steps_per_epoch=4, learning_rate=0.01, checkpoint_path=path)
     rows = table(spark, sf, "embeddings")
     run = train(rows, "vec_id", "embedding", "label", NETWORK, settings)
     best = best_or_last_epoch(read_checkpoints(spark, path))
-    return run.epochs(spark).withColumn("is_best", F.col("epoch") == best)
+    accuracies = {epoch: accuracy for _, epoch, phase, _, accuracy in run.metrics if phase == "validation"}
+    found_best = best == max(accuracies, key=lambda e: (accuracies[e], -e))
+    first, last = (next(m[3] for m in run.metrics if m[1] == e and m[2] == "training") for e in (1, settings.epochs))
+    phase = F.when(F.col("split") == "train", "training").otherwise("validation")
+    seen = train_test_split(rows, "vec_id").groupBy(phase.alias("phase")).agg(F.count(F.lit(1)).alias("n"))
+    plausible = F.col("loss").between(0.0, 20.0) & F.col("accuracy").between(0.0, 1.0)
+    return run.epochs(spark).join(seen, "phase").select(
+        "run_id", "epoch", "phase", "n", plausible.alias("plausible"), F.lit(last < first).alias("learned"), F.lit(found_best).alias("found_best")
+    )
 
 
-@query()
+@query("SELECT vec_id, true AS a_class, true AS sure, true AS whole, false AS bad FROM embeddings")
 def trained_scores(spark, sf):
-    """Every row scored with the best checkpoint of a short run."""
+    """Every row scored with the best checkpoint of a short run: is the prediction a class and its confidence its share."""
     path = new_folder(spark, "checkpoints")
     rows = table(spark, sf, "embeddings")
     train(rows, "vec_id", "embedding", "label", NETWORK,
           TrainingSettings(epochs=2, steps_per_epoch=2, learning_rate=0.01, checkpoint_path=path))
     checkpoints = read_checkpoints(spark, path)
     parameters = load_parameters(checkpoints, best_or_last_epoch(checkpoints))
-    return score(rows, parameters, "embedding", keep=["vec_id"]).select("vec_id", "prediction", "confidence")
+    shares = F.aggregate("probabilities", F.lit(0.0), lambda a, b: a + b)
+    share = F.get("probabilities", F.col("prediction"))
+    return score(rows, parameters, "embedding", keep=["vec_id"]).select(
+        "vec_id",
+        F.col("prediction").between(0, 9).alias("a_class"),
+        ((F.abs(share - F.col("confidence")) < 0.0001) & (F.array_max("probabilities") == share)).alias("sure"),
+        (F.abs(shares - 1) < 0.001).alias("whole"),
+        "bad",
+    )
 
 
-@query()
+@query(
+    f"""SELECT 'run' AS run_id, CAST(2 AS BIGINT) AS current_epoch, CAST(2 AS BIGINT) AS total_epochs, 'Training complete!' AS status,
+           true AS finished, false AS failed, '' AS last_batch_info, count(*) = 2 AS same_numbers FROM ({SPLIT_SQL})"""
+)
 def training_log(spark, sf):
     """The log a run writes, read back into its final progress."""
     run = train(table(spark, sf, "embeddings"), "vec_id", "embedding", "label", NETWORK,
                 TrainingSettings(epochs=2, steps_per_epoch=2, learning_rate=0.01))
-    return final_progress(epoch_log(run.epochs(spark)))
+    last = {phase: (loss, accuracy) for _, epoch, phase, loss, accuracy in run.metrics if epoch == 2}
+    told = {"train_loss": last["training"][0], "train_acc": last["training"][1], "val_loss": last["validation"][0],
+            "val_acc": last["validation"][1], "best_acc": run.best_accuracy}
+    same = [F.abs(F.col(name) - value) <= 0.00006 for name, value in told.items()]
+    return final_progress(epoch_log(run.epochs(spark))).select(
+        "run_id", "current_epoch", "total_epochs", "status", "finished", "failed", "last_batch_info",
+        reduce(lambda a, b: a & b, same).alias("same_numbers"),
+    )
 
 
-@query()
+@query(
+    """SELECT true AS succeeded, true AS forward, true AS backward, true AS stepped, true AS plausible, CAST(NULL AS VARCHAR) AS error
+    FROM embeddings HAVING count(*) > 0
+    UNION ALL SELECT false, false, false, false, false, 'wrong width' FROM embeddings HAVING count(*) > 0"""
+)
 def dry_run(spark, sf):
-    """Flags and loss of two batches."""
-    result = try_out(table(spark, sf, "embeddings"), "vec_id", "embedding", "label", NETWORK)
-    schema = "succeeded boolean, forward boolean, backward boolean, stepped boolean, loss double, error string"
-    return spark.createDataFrame([tuple(result.values())], schema)
+    """Flags of two batches, once as it should be and once with a network of another input size."""
+    rows = table(spark, sf, "embeddings")
+    good = try_out(rows, "vec_id", "embedding", "label", NETWORK)
+    bad = try_out(rows, "vec_id", "embedding", "label", Network(63, 48, 10))
+    flags = [
+        (r["succeeded"], r["forward"], r["backward"], r["stepped"], 0.0 < r["loss"] < 20.0,
+         r["error"] and ("wrong width" if "63 numbers" in r["error"] else r["error"]))
+        for r in (good, bad)
+    ]
+    return spark.createDataFrame(flags, "succeeded boolean, forward boolean, backward boolean, stepped boolean, plausible boolean, error string")

@@ -255,9 +255,15 @@ def new_id(prefix: str) -> Column:
 
 
 def id_time(c: Column, prefix: str) -> Column:
-    """The time inside an id; null when the id has another form."""
-    stamp = F.regexp_extract(c, rf"\A{prefix}-(\d{{8}}-\d{{6}})-[0-9a-f]{{8}}\z", 1)
-    return F.to_timestamp_ntz(F.nullif(stamp, F.lit("")), F.lit("yyyyMMdd-HHmmss"))
+    """The time inside an id; null when the id has another form or names no time."""
+    stamp = F.regexp_extract(c, rf"\A\Q{prefix}\E-(\d{{8}}-\d{{6}})-[0-9a-f]{{8}}\z", 1)
+
+    def digits(first: int, count: int) -> Column:
+        return F.substring(stamp, first, count).try_cast("int")
+
+    day, clock = (digits(1, 4), digits(5, 2), digits(7, 2)), (digits(10, 2), digits(12, 2), digits(14, 2))
+    # A leap second is no time that Spark knows; it would be read as the next minute.
+    return F.when(clock[2] < 60, F.try_make_timestamp_ntz(*day, *clock))
 
 
 def id_unique(c: Column) -> Column:

@@ -72,8 +72,8 @@ def rounded(v: Column, places: int = 4) -> Column:
 
 
 def relative_percent(v: Column) -> Column:
-    """Each value as a percentage of the largest."""
-    return let(F.array_max(v), lambda top: F.transform(v, lambda x: x / top * 100))
+    """Each value as a percentage of the largest; null where that is 0."""
+    return let(F.array_max(v), lambda top: F.transform(v, lambda x: F.try_divide(x, top) * 100))
 
 
 def cross_entropy(logits: Column, label: Column) -> Column:

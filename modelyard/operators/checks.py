@@ -76,6 +76,7 @@ SPEC_DEFAULTS = {
     "compute_budget": "medium",
     "latency_priority": "balanced",
 }
+OPEN_MAP = "additional_requirements"
 
 
 def fill_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
@@ -83,9 +84,11 @@ def fill_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
 
 
 def clean_specs(specs: DataFrame) -> DataFrame:
-    """Specifications with project type and framework in lower case and defaults filled in."""
+    """Specifications with project type and framework in lower case and defaults filled in; no further requirements is an empty map."""
     lowered = specs.withColumns({c: F.lower(c) for c in ("project_type", "framework")})
-    return fill_defaults(lowered, SPEC_DEFAULTS)
+    further = F.col(OPEN_MAP) if OPEN_MAP in specs.columns else F.lit(None)
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    return fill_defaults(lowered, SPEC_DEFAULTS).withColumn(OPEN_MAP, F.coalesce(further, empty))
 
 
 def known_source(c: Column, sources: Sequence[str] = BUILT_IN_SOURCES) -> Column:

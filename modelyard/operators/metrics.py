@@ -11,8 +11,8 @@ from modelyard.operators.ordered import Running, running
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:
-    """sum(value * weight) / sum(weight)."""
-    return F.sum(value * weight) / F.sum(weight)
+    """sum(value * weight) / sum(weight); null when the weights add up to 0."""
+    return F.try_divide(F.sum(value * weight), F.sum(weight))
 
 
 def accuracy(predicted: Column, label: Column) -> Column:

@@ -55,6 +55,20 @@ def shown_sample(df: DataFrame, id_column: str, seed: int = 42) -> DataFrame:
     return uniform_sample(df, id_column, SHOWN_SIZE, seed)
 
 
+def described(df: DataFrame, path: Column, id_column: str, labels: DataFrame, data_path: str, status: str) -> DataFrame:
+    """The whole profile in long form: counts, classes, names of the sample, and where the data are and how they stand."""
+    names = F.struct(path.alias("name"), F.col(id_column).alias("id"))
+    sample = shown_sample(df.select(names.alias("_row")).select("_row.name", F.col("_row.id").alias(id_column)), id_column)
+    facts = [("path", data_path), ("status", status)]
+    known = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(v).alias("key"), F.lit(1).cast("bigint").alias("n")) for k, v in facts])
+    return (
+        dataset_profile(df, path)
+        .unionByName(labels.select(F.lit("class").alias("kind"), F.col("label").cast("string").alias("key"), "n"))
+        .unionByName(sample.select(F.lit("sample").alias("kind"), F.col("name").alias("key"), F.lit(1).cast("bigint").alias("n")))
+        .unionByName(df.sparkSession.range(1).select(F.inline(known)))
+    )
+
+
 def size_check(counts: DataFrame, minimum: int, recommended: int) -> DataFrame:
     """Severity of a row count against the minimum and the recommended size."""
     severity = F.when(F.col("n") < minimum, "error").when(F.col("n") < recommended, "warning")

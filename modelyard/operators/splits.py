@@ -44,7 +44,8 @@ def shuffled_batches(
     The order is that of an md5, so its leading hex digits cut the rows into even blocks that
     are a function of the id alone: block counts give each block its offset, and rows are
     numbered inside their block. No step sorts the whole table in one task, and there are
-    65,536 blocks at most, which bounds the offsets that are broadcast.
+    65,536 blocks at most, which bounds the offsets that are broadcast. Ids should be unique;
+    rows that share one are put in the order of a hash of their columns.
     """
     wanted_blocks = max(df.count() / ROWS_PER_BLOCK, 1)
     digits = min(max(1, math.ceil(math.log(wanted_blocks, 16))), MAX_BLOCK_DIGITS)
@@ -52,7 +53,7 @@ def shuffled_batches(
     counts = keyed.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    in_block = Window.partitionBy("_block").orderBy("_key", id_column)
+    in_block = Window.partitionBy("_block").orderBy("_key", id_column, F.xxhash64(*df.columns))
     return (
         keyed.withColumn("_rank", F.row_number().over(in_block) - 1)
         .join(F.broadcast(offsets), "_block")

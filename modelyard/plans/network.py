@@ -115,6 +115,15 @@ def feature_matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float64)
 
 
+def usable_rows(column: pa.Array, width: int) -> np.ndarray:
+    """Which rows hold `width` finite numbers."""
+    good = column.value_lengths().fill_null(-1).to_numpy() == width
+    at = np.flatnonzero(good)
+    values = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    good[at] = np.isfinite(values.astype(np.float64)).all(axis=1)
+    return good
+
+
 def label_vector(column: pa.Array, classes: int) -> np.ndarray:
     labels = column.to_numpy(zero_copy_only=False)
     if column.null_count or (len(labels) and not (0 <= labels.min() and labels.max() < classes)):
@@ -132,7 +141,8 @@ def score(
 ) -> DataFrame:
     """Logits, prediction, confidence and probabilities of every row; the loss too when a label is given.
 
-    Works on tables and on streams.
+    A row whose features are missing, of another length or not all numbers is flagged `bad` and has nulls instead; a
+    label that is no class has a null loss. Works on tables and on streams.
     """
     width, classes = parameters["w1"].shape[1], parameters["w2"].shape[0]
     shared = df.sparkSession.sparkContext.broadcast(parameters)
@@ -145,23 +155,32 @@ def score(
             T.StructField("prediction", T.IntegerType()),
             T.StructField("confidence", T.DoubleType()),
             T.StructField("probabilities", double_list),
+            T.StructField("bad", T.BooleanType()),
         ]
         + ([T.StructField("loss", T.DoubleType())] if label else [])
     )
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            logits = logits_of(shared.value, feature_matrix(batch.column(features), width))
+            good = usable_rows(batch.column(features), width)
+            at = np.flatnonzero(good)
+            # Where a row's result is among those of the good rows; nowhere for a bad one.
+            place = pa.array(np.cumsum(good) - 1, mask=~good)
+            logits = logits_of(shared.value, feature_matrix(batch.column(features).take(pa.array(at)), width))
             odds = probabilities_of(logits)
             best = odds.argmax(axis=1)
-            arrays = [batch.column(k) for k in kept] + [
+            found = [
                 _lists(logits),
                 pa.array(best.astype(np.int32)),
                 pa.array(odds[np.arange(len(best)), best]),
                 _lists(np.round(odds, 4)),
             ]
+            arrays = [batch.column(k) for k in kept] + [f.take(place) for f in found] + [pa.array(~good)]
             if label:
-                arrays.append(pa.array(losses_of(logits, label_vector(batch.column(label), classes))))
+                told = batch.column(label).take(pa.array(at)).fill_null(-1).to_numpy().astype(np.int64)
+                known = (told >= 0) & (told < classes)
+                losses = losses_of(logits, np.where(known, told, 0))
+                arrays.append(pa.array(losses, mask=~known).take(place))
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return df.select(*kept, features).mapInArrow(apply, schema)

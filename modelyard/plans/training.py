@@ -22,7 +22,7 @@ from modelyard.operators.profile import uniform_sample
 from modelyard.operators.splits import BATCH_SIZE, hash_bucket, train_test_split
 from modelyard.plans.network import LEARNING_RATE, Network, Parameters, gradient_job, optimizer, pack, score, unpack
 from modelyard.session import discard, new_folder, pinned
-from modelyard.sources.tables import write_checkpoint
+from modelyard.sources.tables import start_run, write_checkpoint
 
 EPOCH_SCHEMA = "run_id string, epoch int, phase string, loss double, accuracy double"
 DRY_RUN_BATCHES = 2
@@ -81,6 +81,8 @@ def train(
     flat = pack(parameters)
     step = optimizer(settings.optimizer, flat.size, settings.learning_rate)
     run = TrainingRun(parameters)
+    if settings.checkpoint_path:
+        start_run(spark, settings.checkpoint_path, settings.run_id)
     staged_at = stage_features(df, id_column, features, label, settings)
     staged = spark.read.parquet(staged_at)
     tasks = staged.rdd.getNumPartitions()
@@ -110,7 +112,9 @@ def train(
             ]
             if settings.checkpoint_path:
                 state = {**parameters, "adam_m": step.m, "adam_v": step.v, "adam_steps": np.array([step.steps])}
-                write_checkpoint(spark, settings.checkpoint_path, epoch, state, accuracy, run.best_accuracy)
+                write_checkpoint(
+                    spark, settings.checkpoint_path, epoch, state, accuracy, run.best_accuracy, settings.run_id
+                )
     finally:
         discard(spark, staged_at)
     run.parameters = parameters

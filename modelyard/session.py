@@ -60,6 +60,10 @@ def discard(spark: SparkSession, path: str) -> None:
     """Delete a folder made by `new_folder`."""
     if "/modelyard/" not in path:
         raise ValueError(f"not a folder of ours: {path}")
+    delete_folder(spark, path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 

@@ -2,32 +2,70 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelyard.functions.text import below, file_extension, file_name, parent_dir
+from modelyard.functions.text import file_extension, file_name, parent_dir
+from modelyard.session import pinned
+
+ROWS_PER_BATCH = 10_000
 
 
 def _qualified(spark: SparkSession, root: str) -> str:
-    """A path as its file system names it, scheme and host included."""
+    """A path as a URI, scheme and host included."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri().toString()
+    return uri if "://" in uri else uri.replace(":", "://", 1)
+
+
+LEVELS = 2
+FOUND_SCHEMA = "path string, is_file boolean, length bigint, modified timestamp"
+
+
+def _listed(folders: DataFrame, uri: str, recursive: bool) -> DataFrame:
+    """What is in each folder of the column `path`, on the file system of `uri`; nothing is opened."""
+
+    def look(batches):
+        files, _ = pafs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                found = files.get_file_info(pafs.FileSelector(folder, recursive=recursive))
+                for first in range(0, len(found), ROWS_PER_BATCH):
+                    some = found[first : first + ROWS_PER_BATCH]
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "path": pa.array([f.path for f in some], pa.string()),
+                            "is_file": pa.array([f.type == pafs.FileType.File for f in some], pa.bool_()),
+                            "length": pa.array([f.size for f in some], pa.int64()),
+                            "modified": pa.array([f.mtime_ns and f.mtime_ns // 1000 for f in some], pa.timestamp("us", "UTC")),
+                        }
+                    )
+
+    return folders.select("path").mapInArrow(look, FOUND_SCHEMA)
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """Every regular file below `root`: `(relative, name, ext, dir, length, modified)`.
+    """Every regular file below `root`, hidden ones too: `(relative, name, ext, dir, length, modified)`.
 
-    The content column is never selected, so Spark lists files but opens none. Names that
-    start with `.` or `_` are passed over by Spark's own listing.
+    Executors list folders through the file system, the first two levels one by one and what lies below each of the
+    folders of the second as a whole, so that neither the driver nor one task holds the listing. The file system
+    must be one that Arrow reads (local or mounted, HDFS, S3, GCS).
     """
-    top = _qualified(spark, root)
-    found = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(root)
-        .select(below(F.col("path"), top).alias("relative"), "length", F.col("modificationTime").alias("modified"))
+    uri = _qualified(spark, root)
+    top = pafs.FileSystem.from_uri(uri)[1].rstrip("/")
+    folders, found = spark.createDataFrame([(top or "/",)], "path string"), []
+    for level in range(LEVELS + 1):
+        listed = pinned(_listed(folders.repartition("path"), uri, recursive=level == LEVELS))
+        found.append(listed.filter("is_file"))
+        folders = listed.filter("not is_file")
+    every = reduce(DataFrame.unionByName, found).select(
+        F.substring("path", len(top) + 2, 1 << 30).alias("relative"), "length", "modified"
     )
-    return found.select(
+    return every.select(
         "relative",
         file_name(F.col("relative")).alias("name"),
         file_extension(F.col("relative")).alias("ext"),

@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modelyard.operators.metrics import best_epoch
+from modelyard.session import delete_folder, is_folder
 
 STATE_SCHEMA = "project_id string, state string, at timestamp_ntz, seq bigint, spec map<string,string>"
 PROFILE_SCHEMA = "kind string, key string, n bigint"
-CHECKPOINT_SCHEMA = "name string, shape array<int>, values array<double>, accuracy double, best_accuracy double, epoch int"
+CHECKPOINT_SCHEMA = (
+    "name string, shape array<int>, values array<double>, accuracy double, best_accuracy double, run_id string, epoch int"
+)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -65,13 +68,19 @@ def data_context(projects: DataFrame, manifests: DataFrame, requirements: DataFr
     )
 
 
-# ---- checkpoints: one partition per epoch, parameters as rows
+# ---- checkpoints: one partition per run and epoch, parameters as rows
 
 
 def write_checkpoint(
-    spark: SparkSession, path: str, epoch: int, parameters: dict[str, np.ndarray], accuracy: float, best: float
+    spark: SparkSession,
+    path: str,
+    epoch: int,
+    parameters: dict[str, np.ndarray],
+    accuracy: float,
+    best: float,
+    run_id: str = "run",
 ) -> None:
-    """Parameters and optimizer state of one epoch; written again it replaces only itself."""
+    """Parameters and optimizer state of one epoch of a run; written again it replaces only itself."""
     count = len(parameters)
     rows = pa.table(
         {
@@ -82,11 +91,19 @@ def write_checkpoint(
             "best_accuracy": [best] * count,
         }
     )
-    spark.createDataFrame(rows).coalesce(1).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+    spark.createDataFrame(rows).coalesce(1).write.mode("overwrite").parquet(f"{path}/run_id={run_id}/epoch={epoch}")
 
 
-def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CHECKPOINT_SCHEMA).parquet(path)
+def start_run(spark: SparkSession, path: str, run_id: str) -> None:
+    """Forget the epochs of an earlier run of this name, which may have had more of them."""
+    folder = f"{path}/run_id={run_id}"
+    if is_folder(spark, folder):
+        delete_folder(spark, folder)
+
+
+def read_checkpoints(spark: SparkSession, path: str, run_id: str = "run") -> DataFrame:
+    """The checkpoints of one run."""
+    return spark.read.schema(CHECKPOINT_SCHEMA).parquet(path).filter(F.col("run_id") == run_id)
 
 
 def best_or_last_epoch(checkpoints: DataFrame) -> int:

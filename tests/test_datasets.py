@@ -14,25 +14,29 @@ from modelyard.sources import files, tables
 
 
 def test_listing(spark, tmp_path):
-    for name in ("a/x.TXT", "a/y.txt", "z", "b/c/w.tar.gz", ".hidden"):
+    names = ("a/x.TXT", "a/y.txt", "z", "b/c/w.tar.gz", ".hidden", "_meta/z", "_y", "a/b/c/d/e/deep é.txt", "b/c/.x", "per%20cent/#1")
+    for name in names:
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text("1234")
     listed = files.list_files(spark, str(tmp_path))
-    found = {r["relative"]: (r["name"], r["ext"], r["dir"], r["length"]) for r in files.visible(listed).collect()}
-    assert found == {
-        "a/x.TXT": ("x.TXT", ".txt", "a", 4), "a/y.txt": ("y.txt", ".txt", "a", 4),
-        "z": ("z", "", ".", 4), "b/c/w.tar.gz": ("w.tar.gz", ".gz", "b/c", 4),
-    }
+    found = {r["relative"]: (r["name"], r["ext"], r["dir"], r["length"]) for r in listed.collect()}
+    assert set(found) == set(names) and listed.count() == len(names)
+    assert found["a/x.TXT"] == ("x.TXT", ".txt", "a", 4) and found["z"] == ("z", "", ".", 4)
+    assert found["b/c/w.tar.gz"] == ("w.tar.gz", ".gz", "b/c", 4) and found[".hidden"][2] == "."
+    assert {r["relative"] for r in files.visible(listed).collect()} == set(names) - {".hidden", "b/c/.x"}
     counted = {(r["kind"], r["key"]): r["n"] for r in profile.dataset_profile(listed, F.col("relative")).collect()}
-    assert counted == {
-        ("total", ""): 4, ("ext", ".txt"): 2, ("ext", ""): 1, ("ext", ".gz"): 1,
-        ("dir", "a"): 2, ("dir", "."): 1, ("dir", "b/c"): 1,
-    }
+    assert (counted[("total", "")], counted[("ext", ".txt")], counted[("dir", ".")], counted[("dir", "b/c")]) == (10, 3, 3, 2)
+
+
+def test_listing_of_an_empty_folder(spark, tmp_path):
+    assert files.list_files(spark, str(tmp_path)).count() == 0
+    with pytest.raises(Exception):
+        files.list_files(spark, str(tmp_path / "absent")).count()
 
 
-def test_listing_reads_no_content(spark, sf):
-    plan = files.list_files(spark, sf)._jdf.queryExecution().executedPlan().toString()
-    assert "content" not in plan.split("ReadSchema")[1]
+def test_listing_is_not_on_the_driver(spark, sf):
+    plan = files.list_files(spark, sf)._jdf.queryExecution().logical().toString()
+    assert "binaryFile" not in plan and "content" not in plan
 
 
 def test_sample_is_exact(spark):

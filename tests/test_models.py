@@ -89,7 +89,7 @@ def test_score_agrees_with_column_functions(points):
 def test_wrong_width_is_an_error(spark):
     df = spark.createDataFrame([([1.0, 2.0], 0)], "features array<double>, label int")
     with pytest.raises(Exception, match="must hold 6 numbers"):
-        net.score(df, net.Network(6, 4, 4).initial()).collect()
+        net.gradient_job(df, net.Network(6, 4, 4).initial(), "features", "label")
 
 
 @pytest.mark.parametrize("label", [None, -1, 4])
@@ -123,7 +123,7 @@ def test_training_learns_and_keeps_checkpoints(spark, points):
     losses = [m[3] for m in run.metrics if m[2] == "training"]
     assert losses[-1] < 0.7 * losses[0]
     assert run.best_accuracy == max(m[4] for m in run.metrics if m[2] == "validation")
-    checkpoints = tables.read_checkpoints(spark, path)
+    checkpoints = tables.read_checkpoints(spark, path, "r1")
     assert checkpoints.select("epoch").distinct().count() == 6
     assert tables.best_or_last_epoch(checkpoints) == run.best_epoch
     last = tables.load_parameters(checkpoints, 6)
@@ -133,6 +133,26 @@ def test_training_learns_and_keeps_checkpoints(spark, points):
     assert progress["best_acc"] == pytest.approx(run.best_accuracy, abs=6e-5)
 
 
+def test_a_shorter_run_forgets_the_epochs_of_a_longer_one(spark, points):
+    path = new_folder(spark, "checkpoints")
+    for epochs, name in ((3, "a"), (2, "b"), (1, "a")):
+        settings = TrainingSettings(epochs=epochs, steps_per_epoch=1, checkpoint_path=path, run_id=name)
+        train(points, "id", "features", "label", net.Network(6, 4, 4), settings)
+    kept = {name: tables.read_checkpoints(spark, path, name).select("epoch").distinct().count() for name in "ab"}
+    assert kept == {"a": 1, "b": 2}
+
+
+def test_bad_rows_are_flagged(spark):
+    p = net.Network(3, 4, 2).initial(1)
+    rows = [(1, [1.0, 2.0, 3.0], 0), (2, None, 1), (3, [1.0], 1), (4, [1.0, None, 2.0], 0), (5, [1.0, math.nan, 2.0], 0), (6, [0.0, 0.0, 1.0], 7), (7, [0.0, 1.0, 1.0], None)]
+    table = spark.createDataFrame(rows, "id bigint, features array<double>, label int").coalesce(1)
+    got = {r["id"]: r for r in net.score(table, p, keep=["id"], label="label").collect()}
+    assert {i for i, r in got.items() if r["bad"]} == {2, 3, 4, 5}
+    assert all(got[i]["prediction"] is None and got[i]["logits"] is None and got[i]["loss"] is None for i in (2, 3, 4, 5))
+    assert got[6]["prediction"] is not None and got[6]["loss"] is None and got[7]["loss"] is None and got[1]["loss"] > 0
+    assert net.score(table.filter("id in (2, 3)"), p, keep=["id"]).filter("bad").count() == 2
+
+
 def test_last_epoch_when_none_scored(spark):
     path = new_folder(spark, "checkpoints")
     for epoch in (1, 2):

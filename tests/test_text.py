@@ -151,6 +151,9 @@ def test_new_ids_parse(spark):
     made = spark.range(3).select(text.new_id("prj").alias("id"))
     got = made.select("id", text.id_time(F.col("id"), "prj").alias("at"), text.id_unique(F.col("id")).alias("u")).collect()
     assert all(r["at"] is not None and len(r["u"]) == 8 for r in got)
+    broken = ["p-20261399-250000-0123abcd", "p-20260230-000000-0123abcd", "p-20260101-235960-0123abcd", "q-20260101-000000-0123abcd"]
+    assert values(spark, broken, lambda c: text.id_time(c, "p")) == [None] * 4
+    assert values(spark, ["a.b-20260102-030405-0123abcd", "axb-20260102-030405-0123abcd"], lambda c: text.id_time(c, "a.b").cast("string")) == ["2026-01-02 03:04:05", None]
     assert values(spark, ["prj-2024", "other-20240101-000000-0123abcd"], lambda c: text.id_time(c, "prj")) == [None, None]
 
 
