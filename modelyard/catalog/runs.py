@@ -303,10 +303,11 @@ def state_roundtrip(spark, sf):
 def stage_gate(spark, sf):
     """What each user may do next; one who has bought before may check out from a view."""
     events = table(spark, sf, "events")
-    states = lifecycle.current_state(events, "user_id", ["ts", "event_id"], "event_type")
-    bought = events.filter("event_type = 'purchase'").select("user_id", F.lit(True).alias("known")).distinct()
-    joined = states.join(bought, "user_id", "left")
-    return lifecycle.allowed_actions(joined, EVENT_GATES, "known", (("checkout", "view"),)).drop("known")
+    states = events.groupBy("user_id").agg(
+        F.max_by("event_type", F.struct("ts", "event_id")).alias("state"),
+        F.bool_or(F.col("event_type") == "purchase").alias("known"),
+    )
+    return lifecycle.allowed_actions(states, EVENT_GATES, "known", (("checkout", "view"),)).drop("known")
 
 
 @query("SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 1")

@@ -137,12 +137,12 @@ def allowed_actions(
 
     The flagged gates count only for projects whose flag column is true.
     """
-    spark = states.sparkSession
-    open_to_all = states.join(F.broadcast(pairs_table(spark, gates, "action", "state")), "state")
-    if flag is None:
-        return open_to_all
-    more = states.filter(F.col(flag)).join(F.broadcast(pairs_table(spark, flagged_gates, "action", "state")), "state")
-    return open_to_all.unionByName(more)
+    rows = [(a, s, False) for a, s in gates] + [(a, s, True) for a, s in flagged_gates if flag is not None]
+    table = states.sparkSession.createDataFrame(rows, "action string, state string, _needs boolean")
+    joined = states.join(F.broadcast(table), "state")
+    if flag is not None:
+        joined = joined.filter(~F.col("_needs") | F.coalesce(F.col(flag), F.lit(False)))
+    return joined.drop("_needs")
 
 
 def transition_audit(

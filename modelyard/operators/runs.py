@@ -49,9 +49,13 @@ def run_ends(lines: DataFrame) -> DataFrame:
     )
 
 
+def _ends_a_run() -> Column:
+    return runlog.is_finished(F.col("line")) | runlog.is_failed(F.col("line"))
+
+
 def until_terminal(lines: DataFrame) -> DataFrame:
-    """Drop what follows the first line that ends a run."""
-    ends = run_ends(lines).filter("end is not null").select("run_id", "end")
+    """Drop what follows the first line that ends a run; only lines that end one are aggregated."""
+    ends = lines.filter(_ends_a_run()).groupBy("run_id").agg(F.min("seq").alias("end"))
     return (
         lines.join(ends, "run_id", "left")
         .filter(F.col("end").isNull() | (F.col("seq") <= F.col("end")))
@@ -150,7 +154,10 @@ def failure_tail(lines: DataFrame, outcomes: DataFrame, n: int = FAILURE_LINES)
 def replayed_progress(lines: DataFrame, n: int = REPLAY_LINES) -> DataFrame:
     """Progress rebuilt from the last n lines of each run."""
     recent = tail(lines, "run_id", "seq", n)
-    return fold_progress(parse_lines(until_terminal(recent)))
+    # A run has n rows here at most, so its end is found in the same order that the tail was cut in.
+    end = F.min(F.when(_ends_a_run(), F.col("seq"))).over(Window.partitionBy("run_id"))
+    within = recent.withColumn("_end", end).filter(F.col("_end").isNull() | (F.col("seq") <= F.col("_end")))
+    return fold_progress(parse_lines(within.drop("_end")))
 
 
 def _seconds_between(df: DataFrame, at: str, later: Column, earlier: Column) -> Column:
