@@ -6,9 +6,13 @@ difference of the sets. Sets of a size band that are similar enough have a symme
 than D segments at least one is equal: an equi-join on (band, segment, XOR) finds every pair that may be similar, and the pairs
 are verified on the shingles themselves. Bands are such that similar sets lie in the same band or in neighbouring ones.
 
-Equal sets are one class throughout. Groups of classes that share a segment are not expanded: all members are verified
-against one of them, links are closed to components, and only members of a group that are then in different components are
-compared with each other. So components are exact, and a group of copies costs as many pairs as it has members.
+Equal sets are one class throughout. Groups of classes that share a segment are not expanded into pairs: the member that
+shares most segments with others is their center, and all members are compared with it. Let E(u) be the symmetric
+difference of u and its center. Then that of u and v is the symmetric difference of E(u) and E(v); if it is no larger than
+the largest that links u and v although E(u) and E(v) have nothing in common, then both u and v link with the center (the
+bound grows by less than the size does). So members that are in different components after the comparison with the
+center link only if they share elements of E, and a prefix-filtered join on the rarest elements of E finds those pairs.
+Components are exact, and a group of copies costs about as many comparisons as it has members.
 
 Defined cases: null and empty texts, and texts without words, have no shingles and link with nothing; fewer words than a shingle
 has are one shingle; rows that share an id are one document, whatever their texts; a null id gets the component of its
@@ -22,20 +26,22 @@ from math import exp, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from modelyard.llm.bytewords import WordHasher, between_spaces, mixed, shingled
 from modelyard.llm.components import components
+from modelyard.llm.removal import small_side
 from modelyard.session import pinned, stored
 
 
 @dataclass(frozen=True)
 class JaccardSettings:
-    """words: per shingle. percent: documents link when 100 * intersection >= percent * union."""
+    """words: per shingle. percent: documents link when 100 * intersection >= percent * union. bits: places of the bitmap."""
 
     words: int = 5
     percent: int = 80
+    bits: int = 1 << 24
 
 
 class Bands:
@@ -132,11 +138,85 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, settings: JaccardSettings,
 
     kind = docs.schema[doc_id].dataType.simpleString()
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    # The ids are the small side: hashed, so that the texts need not be sorted.
-    kept = chosen.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")
+    kept = chosen.join(small_side(wanted), "doc_id", "left_semi")
     return kept.mapInArrow(build, f"doc_id {kind}, elements array<long>")
 
 
+def may_be_shared(segments: DataFrame, keys: DataFrame, bits: int) -> DataFrame:
+    """key, node: the keys of `segments` (doc_id, keys) that fall on a place of a key in `keys`.
+
+    The bitmap has `bits` places whatever the number of keys; it only spares rows that could never join.
+    """
+    held = keys.select(F.expr(f"key & {bits - 1}L").cast("int").alias("place")).distinct().toArrow()
+    places = np.zeros(bits, bool)
+    places[held.column("place").to_numpy()] = True
+    marks = segments.sparkSession.sparkContext.broadcast(np.packbits(places))
+
+    def pick(batches):
+        for batch in batches:
+            lists = batch.column("keys")
+            own = lists.flatten().to_numpy()
+            row = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
+            place = own & (bits - 1)
+            at = np.flatnonzero((marks.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own[at]), batch.column("doc_id").take(pa.array(row[at]))], names=["key", "node"]
+            )
+
+    kind = segments.schema["doc_id"].dataType.simpleString()
+    return segments.select("doc_id", "keys").mapInArrow(pick, f"key long, node {kind}")
+
+
+def centered(groups: DataFrame) -> DataFrame:
+    """center, node: the distinct pairs of a group's center and its other members; `groups` has key, node, members.
+
+    The center is the member that shares most segments with others, which the original of edited copies does.
+    """
+    popular = groups.groupBy("node").agg(F.sum("members").alias("shares"))
+    ranked = groups.join(popular, "node").groupBy("key").agg(F.max(F.struct("shares", "node")).alias("best"))
+    chosen = groups.join(ranked.select("key", F.col("best.node").alias("center")), "key")
+    return chosen.filter("node <> center").select("center", "node").distinct()
+
+
+def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """center, node, edits (the symmetric difference), n (the node's size) and of_center."""
+    nodes = sets.select(F.col("doc_id").alias("node"), F.col("elements").alias("own"))
+    centers = sets.select(F.col("doc_id").alias("center"), F.col("elements").alias("its"))
+    edits = F.concat(F.array_except("own", "its"), F.array_except("its", "own"))
+    both = pairs.join(nodes, "node").join(centers, "center")
+    return both.select("center", "node", edits.alias("edits"), F.size("own").alias("n"), F.size("its").alias("of_center"))
+
+
+def apart(stars: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """u, v, difference, sizes: pairs of members of a star in different components that share rare elements of their edits.
+
+    A pair links only if it shares t >= (|E(u)| + |E(v)| - D) / 2 elements, D being the largest difference that links. With
+    elements in the order of rarity, the member with fewer edits then has a shared element among its first D / 2 + 1,
+    the other among its first D + 1.
+    """
+    placed = (
+        stars.join(known.select("node", "component"), "node", "left")
+        .withColumn("component", F.coalesce("component", "node"))
+        .withColumn("e", F.size("edits"))
+        .withColumn("most", F.floor((F.col("n") + F.floor(F.col("n") * 100 / percent)) * (100 - percent) / (100 + percent)).cast("int"))
+    )
+    split = placed.groupBy("center").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b")
+    open_ = placed.join(split.select("center"), "center", "left_semi").drop("of_center")
+    elements = stored(open_.select("center", "node", "component", "e", "n", "most", F.explode("edits").alias("element")), "edits")
+    seen = elements.groupBy("center", "element").agg(F.count(F.lit(1)).alias("times"))
+    nth = F.row_number().over(Window.partitionBy("center", "node").orderBy("times", "element"))
+    ordered = elements.join(seen, ["center", "element"]).withColumn("nth", nth).filter("times > 1 and nth <= most + 1")
+
+    def side(rows, letter):
+        return rows.select("center", "element", *[F.col(c).alias(c + letter) for c in ("node", "component", "e", "n")])
+
+    few, many = side(ordered.filter(F.col("nth") <= F.floor(F.col("most") / 2) + 1), "_u"), side(ordered, "_v")
+    alike = (F.col("component_u") != F.col("component_v")) & (F.col("e_u") <= F.col("e_v"))
+    alike &= (100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v"))
+    pairs = few.join(many, ["center", "element"]).filter(alike)
+    return pairs.select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v")).distinct()
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the distinct pairs (u, v) that are similar enough."""
     first = sets.select(F.col("doc_id").alias("u"), F.col("elements").alias("of_u"))
@@ -151,41 +231,40 @@ def linked(
 ) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable by links); one row per document."""
     settings = settings or JaccardSettings()
+    percent = settings.percent
     rows = stored(sketched(docs, settings, doc_id, text), "sketches")
     equal = ["s1", "s2", "n_shingles"]
     full = rows.filter("n_shingles > 0")
     classes = pinned(full.groupBy(*equal).agg(F.min("doc_id").alias("node")))
 
-    of_classes = full.filter("size(keys) > 0").join(
-        classes.select(*equal, F.col("node").alias("doc_id")), ["doc_id", *equal], "left_semi"
-    )
+    named = full.select("doc_id", *equal).join(classes, equal)
+    copies = pinned(named.filter("doc_id <> node or doc_id is null").select("doc_id", *equal).distinct())
+    of_classes = full.filter("size(keys) > 0").join(small_side(copies), ["doc_id", *equal], "left_anti").filter("doc_id is not null")
     segments = of_classes.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))
-    shared = segments.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("other")).filter("center < other")
-    groups = stored(segments.join(shared.select("key", "center"), "key"), "groups")
+    shared = stored(
+        segments.groupBy("key")
+        .agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("members"))
+        .filter("a < b")
+        .select("key", "members"),
+        "keys",
+    )
+    groups = stored(may_be_shared(of_classes, shared, settings.bits).join(shared, "key"), "groups")
+    members = pinned(groups.select(F.col("node").alias("doc_id")).distinct())
+    sets = stored(shingle_sets(docs, members, settings, doc_id, text), "sets")
 
-    sets = stored(shingle_sets(docs, groups.select(F.col("node").alias("doc_id")).distinct(), settings, doc_id, text), "sets")
-    stars = groups.filter("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct()
-    repeated = full.join(classes, equal).select("doc_id", "node").distinct()
+    repeated = named.select("doc_id", "node").distinct()
     first_class = repeated.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v"))
     same_id = repeated.join(first_class.filter("u < v").select("doc_id", "u"), "doc_id").select("u", F.col("node").alias("v"))
-    links = pinned(verified(stars, sets, settings.percent).unionByName(same_id))
-
-    known = components(links)
-    placed = groups.join(known, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    split = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b")
-    apart = pinned(placed.join(split.select("key"), "key", "left_semi"))
-    across = (
-        apart.select("key", F.col("node").alias("u"), F.col("component").alias("cu"))
-        .join(apart.select("key", F.col("node").alias("v"), F.col("component").alias("cv")), "key")
-        .filter("cu < cv")
-        .select("u", "v")
-        .distinct()
-    )
-    final = components(links.unionByName(verified(across, sets, settings.percent)))
 
-    named = classes.join(final, "node", "left").select(*equal, F.coalesce("component", "node").alias("component_id"))
+    stars = stored(differences(centered(groups), sets), "stars")
+    close = F.size("edits") * (100 + percent) <= (F.col("n") + F.col("of_center")) * (100 - percent)
+    links = pinned(stars.filter(close).select(F.col("center").alias("u"), F.col("node").alias("v")).unionByName(same_id))
+    more = verified(apart(stars, components(links), percent), sets, percent)
+    final = components(links.unionByName(more))
+
+    placed = classes.join(final, "node", "left").select(*equal, F.coalesce("component", "node").alias("component_id"))
     return (
         rows.select("doc_id", *equal)
-        .join(named, equal, "left")
+        .join(placed, equal, "left")
         .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     )

@@ -10,14 +10,18 @@ from modelyard.session import pinned
 MOST_BROADCAST = 200_000
 
 
-def without(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The rows whose id is not among `ids` (one column); rows without an id stay.
+def small_side(rows: DataFrame) -> DataFrame:
+    """Narrow rows as the side of a join with texts: up to 200,000 are sent to the tasks, more are shuffled and hashed.
 
-    Up to 200,000 ids are sent to the tasks, so that texts are not shuffled; more of them meet the texts in a shuffle join.
+    Either way the texts need not be sorted. `rows` are counted, so they should be pinned.
     """
+    return F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows.hint("shuffle_hash")
+
+
+def without(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The rows whose id is not among `ids` (one column); rows without an id stay."""
     gone = pinned(ids.toDF("_gone").filter("_gone is not null").distinct())
-    side = F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone.hint("shuffle_hash")
-    return docs.join(side, F.col(doc_id) == F.col("_gone"), "left_anti")
+    return docs.join(small_side(gone), F.col(doc_id) == F.col("_gone"), "left_anti")
 
 
 def first_of_each(docs: DataFrame, repeated: DataFrame, doc_id: str = "doc_id") -> DataFrame:

@@ -115,3 +115,37 @@ def test_components(spark):
 
 def test_empty(empty):
     assert jaccard.linked(empty).count() == 0
+
+
+@pytest.mark.parametrize("percent,size,edits", [(90, 3, (1, 4)), (80, 5, (2, 6)), (90, 1, (4, 16))])
+def test_copies_that_mostly_do_not_link(spark, percent, size, edits):
+    """Copies edited about as much as links allow: some link with the original, some only with copies of their own."""
+    rng = random.Random(percent + size)
+    base = [f"w{rng.randint(0, 9000)}" for _ in range(150)]
+    rows = []
+
+    def copy(text, n):
+        text = list(text)
+        for _ in range(n):
+            kind, at = rng.choice("ride"), rng.randrange(len(text))
+            if kind == "d":
+                del text[at]
+            elif kind == "i":
+                text.insert(at, f"n{rng.randint(0, 9000)}")
+            else:
+                text[at] = f"n{rng.randint(0, 9000)}"
+        rows.append((len(rows), " ".join(text)))
+        return text
+
+    for _ in range(90):
+        first = copy(base, rng.randint(*edits))
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            copy(first, rng.randint(1, edits[0]))
+    if percent == 90:
+        rows.append((len(rows), " ".join(base)))
+    rng.shuffle(rows)
+    rows = [(i, text) for i, (_, text) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute(rows, size, percent)
+    assert linked(docs, JaccardSettings(size, percent)) == want
+    assert 10 < len({c for _, _, c in want}) < len(rows)
