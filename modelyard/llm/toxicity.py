@@ -90,14 +90,19 @@ def without_copies(docs: list[np.ndarray]) -> list[np.ndarray]:
     return [docs[i] for i in kept]
 
 
+def candidates(positive: list[np.ndarray], settings: ToxicitySettings) -> tuple[np.ndarray, np.ndarray]:
+    """Features that enough toxic documents hold, and how many do."""
+    names, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *positive]), return_counts=True)
+    enough = n >= max(settings.least, settings.least_share * len(positive))
+    return names[enough], n[enough]
+
+
 def fitted(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, settings: ToxicitySettings) -> ToxicityModel:
     """The non-negative risk: prior * loss(toxic as toxic) + max(0, loss(unlabelled as clean) - prior * loss(toxic as clean))."""
     positive = without_copies(positive)
     if not positive or not unlabelled:
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), -30.0)
-    names, n = np.unique(np.concatenate(positive), return_counts=True)
-    enough = n >= max(settings.least, settings.least_share * len(positive))
-    names, n = names[enough], n[enough]
+    names, n = candidates(positive, settings)
     every = np.concatenate(unlabelled)
     every = every[names[np.minimum(np.searchsorted(names, every), len(names) - 1)] == every] if len(names) else every[:0]
     common = np.bincount(np.searchsorted(names, every), minlength=len(names))
@@ -165,28 +170,32 @@ def learned(
     prior = known.agg(F.avg((F.col(label) > 0).cast("double"))).first()[0] or 0.0
     toxic = chosen_labels(known.filter(F.col(label) > 0), F.lit(True), doc_id, label, settings.positive, settings.seed)
     texts = docs.filter(learn & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    positive = without_copies(_collected(texts, toxic))
+    names = docs.sparkSession.sparkContext.broadcast(candidates(positive, settings)[0])
     order = F.xxhash64("doc_id", F.lit(settings.seed + 1))
-    some = texts.select("doc_id").distinct().orderBy(order, "doc_id").limit(settings.unlabelled).withColumn("label", F.lit(0))
-    sample = toxic.unionByName(some)
-    rows = texts.join(F.broadcast(sample), "doc_id")
+    some = texts.select("doc_id").distinct().orderBy(order, "doc_id").limit(settings.unlabelled)
+    return fitted(positive, _collected(texts, some, names), prior, settings)
+
+
+def _collected(texts: DataFrame, sample: DataFrame, names=None) -> list[np.ndarray]:
+    """What the sampled documents hold, in the order of their ids; of broadcast `names` only, if given."""
 
     def hashes(batches):
         hasher = WordHasher(letters_and_digits(), prefixes=PREFIXES)
         for batch in batches:
             own = list(held(hasher, batch.column("text")))
+            if names is not None:
+                own = [np.intersect1d(d, names.value, assume_unique=True) for d in own]
             ends = pa.array(np.cumsum([0, *map(len, own)], dtype=np.int32))
             flat = np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)
-            lists = pa.ListArray.from_arrays(ends, pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), lists], names=["doc_id", "label", "held"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(ends, pa.array(flat))], names=["doc_id", "held"])
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    found = rows.mapInArrow(hashes, f"doc_id {kind}, label int, held array<long>").orderBy("label", "doc_id").toArrow()
-    kinds = found.column("label").to_numpy()
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    rows = texts.join(F.broadcast(sample.select("doc_id")), "doc_id")
+    found = rows.mapInArrow(hashes, f"doc_id {kind}, held array<long>").orderBy("doc_id").toArrow()
     lists = found.column("held").combine_chunks()
     ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
-    own = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    toxic_texts = [d for d, k in zip(own, kinds, strict=True) if k > 0]
-    return fitted(toxic_texts, [d for d, k in zip(own, kinds, strict=True) if k == 0], prior, settings)
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def scored(docs: DataFrame, model: ToxicityModel, keep: list[str], text: str = "text") -> DataFrame:
