@@ -62,7 +62,64 @@ def op1_chat_formatting(spark, sf_dir):
     return chat.digests(chat.formatted(rows.unionByName(extra)))
 
 
-@_query()
+def _sql_mixed(x: str, salt: str) -> str:
+    return f"((((({x}) % {mixing.PRIME}) * 48271 + ({salt}) * 40692 + 12345) % {mixing.PRIME}) * 1103515245 + 69621) % {mixing.PRIME}"
+
+
+def _sql_step(x: str, add: str) -> str:
+    first, second = mixing.STEPS
+    return f"(({x}) * ((CASE WHEN \"full\" % {first} = 0 THEN {second} ELSE {first} END) % \"full\") + {add}) % \"full\""
+
+
+#: Whole passes take every document once; of the last pass, the blocks that the permutation puts first.
+MIX_SQL = rf"""
+WITH sized AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    coalesce(md5(text), '') AS digest,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % {mixing.BUCKETS} AS bucket
+  FROM documents
+), sources AS (
+  SELECT source, source_size, sid, (sid - 1) % 3 + 1 AS weight, 3 * source_size AS cap FROM (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM sized GROUP BY source)
+), filled AS (
+  SELECT *, row_number() OVER fill AS place,
+    (sum(source_size) OVER () - coalesce(sum(cap) OVER (fill ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / (sum(weight) OVER () - coalesce(sum(weight) OVER (fill ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
+  FROM sources WINDOW fill AS (ORDER BY cap / weight, sid)
+), last_level AS (SELECT place AS last_place, level AS last_level FROM filled WHERE cap / weight >= level ORDER BY place LIMIT 1),
+quota AS (
+  SELECT *, wanted - passes * source_size AS rest, source_size // 2048 AS "full" FROM (
+    SELECT *, CAST(floor(target) AS BIGINT) AS wanted,
+      CASE WHEN source_size > 0 THEN CAST(floor(target) AS BIGINT) // source_size ELSE 0 END AS passes FROM (
+      SELECT sid, source, source_size, CASE WHEN place < last_place THEN CAST(cap AS DOUBLE)
+        ELSE least(CAST(cap AS DOUBLE), weight * last_level) END AS target FROM filled, last_level))
+), slots AS (
+  SELECT *, unnest(range(0, (rest + 2047) // 2048)) AS j, sid * 31 + passes * 17 + 7 AS salt,
+    CAST(floor(sqrt("full")) AS BIGINT) AS r FROM quota
+), firsts AS (
+  SELECT *, "full" // nullif(r, 0) AS c, CASE WHEN j < "full" THEN {_sql_step("j", _sql_mixed("salt", "1"))} END AS f FROM slots
+), lefts AS (SELECT *, (f // c + {_sql_mixed("f % c", "salt + 1")}) % r AS l FROM firsts),
+seconds AS (
+  SELECT *, CASE WHEN f < r * c THEN l * c + (f % c + {_sql_mixed("l", "salt + 2")}) % c ELSE f END AS s FROM lefts
+), taken_blocks AS (
+  SELECT sid, CASE WHEN j < "full" THEN {_sql_step("s", _sql_mixed("salt", "3"))} ELSE j END AS block,
+    least(CASE WHEN j < "full" THEN 2048 ELSE source_size % 2048 END, rest - j * 2048) AS words
+  FROM seconds
+), placed AS (
+  SELECT d.*, sid, source_size, target, passes, CAST(sum(size) OVER (
+    PARTITION BY sid ORDER BY bucket, doc_id NULLS FIRST, size, digest ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS first
+  FROM sized d JOIN quota q ON d.source IS NOT DISTINCT FROM q.source
+), pieces AS (SELECT *, unnest(range(first // 2048, (first + size - 1) // 2048 + 1)) AS block FROM placed WHERE size > 0),
+partial AS (
+  SELECT rid, sum(greatest(0, least(first + size - block * 2048, 2048, words) - greatest(first - block * 2048, 0))) AS words
+  FROM pieces JOIN taken_blocks USING (sid, block) GROUP BY rid
+)
+SELECT doc_id, size, source_size, target, CAST(passes * size + coalesce(words, 0) AS BIGINT) AS taken
+FROM placed LEFT JOIN partial USING (rid)
+"""
+
+
+@_query(MIX_SQL)
 def op4_mix_sources(spark, sf_dir):
     return mixing.mix(_table(spark, sf_dir, "documents")).taken()
 
