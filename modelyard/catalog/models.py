@@ -175,23 +175,41 @@ def nonblank_inputs(spark, sf):
       SELECT 'b1', i, avg(CASE WHEN h[i + 1] > 0 THEN list_sum(list_transform(range({CLASSES}), lambda c:
                (p[c + 1] - (r.label = c)::INT) * (((31 * c + 17 * i) % 13 - 6) / 4.0))) ELSE 0 END),
              (7 * i % 5 - 2) / 64.0
-      FROM rows_scored r JOIN hidden USING (vec_id), (SELECT unnest(range({HIDDEN})) AS i) GROUP BY i)
-    SELECT name, "index", round(g, 6) AS gradient,
-           round(bias - 0.001::DOUBLE * g / (abs(g) + 0.00000001::DOUBLE), 6) AS after FROM gradients"""
+      FROM rows_scored r JOIN hidden USING (vec_id), (SELECT unnest(range({HIDDEN})) AS i) GROUP BY i
+      UNION ALL
+      SELECT 'w2', i, avg((p[i + 1] - (r.label = i)::INT) * list_sum(h)), NULL
+      FROM rows_scored r JOIN hidden USING (vec_id), (SELECT unnest(range({CLASSES})) AS i) GROUP BY i
+      UNION ALL
+      SELECT 'w1', i, avg(CASE WHEN h[i + 1] > 0 THEN list_sum(list_transform(range({CLASSES}), lambda c:
+               (p[c + 1] - (r.label = c)::INT) * (((31 * c + 17 * i) % 13 - 6) / 4.0))) ELSE 0 END * inputs), NULL
+      FROM rows_scored r JOIN hidden USING (vec_id)
+      JOIN (SELECT vec_id, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) AS inputs FROM embeddings) USING (vec_id),
+           (SELECT unnest(range({HIDDEN})) AS i) GROUP BY i),
+    once AS (SELECT *, bias - 0.001::DOUBLE * g / (abs(g) + 0.00000001::DOUBLE) AS one FROM gradients)
+    SELECT name, "index", round(g, 6) AS gradient, round(one, 6) AS after,
+           round(one - 0.001::DOUBLE * (0.9 * 0.1 * g - 0.1 * g / 2) / (1 - 0.9 * 0.9)
+             / (sqrt((0.999 * 0.001 * g * g + 0.001 * g * g / 4) / (1 - 0.999 * 0.999)) + 0.00000001::DOUBLE), 6) AS after_two
+    FROM once"""
 )
 def training_step(spark, sf):
-    """Mean gradient of both bias vectors over the whole table, and the biases after one update."""
+    """Mean gradient over the whole table, of the weights as sums by row, and the biases after two updates.
+
+    The second update takes half the gradient back, so that the decay and the correction of both moments count.
+    """
     parameters = fixed_parameters()
     n, _, _, total = gradient_job(table(spark, sf, "embeddings"), parameters, "embedding", "label")
     flat = pack(parameters)
     gradient = unpack(total / n, parameters)
-    after = unpack(optimizer("Adam", flat.size).step(flat, total / n), parameters)
+    adam = optimizer("Adam", flat.size)
+    first = adam.step(flat, total / n)
+    after, after_two = unpack(first, parameters), unpack(adam.step(first, -total / n / 2), parameters)
     rows = [
-        (name, i, round(float(gradient[name][i]), 6), round(float(after[name][i]), 6))
+        (name, i, round(float(gradient[name][i]), 6), round(float(after[name][i]), 6), round(float(after_two[name][i]), 6))
         for name in ("b1", "b2")
         for i in range(len(gradient[name]))
     ]
-    return spark.createDataFrame(rows, "name string, index bigint, gradient double, after double")
+    rows += [(name, i, round(float(row.sum()), 6), None, None) for name in ("w1", "w2") for i, row in enumerate(gradient[name])]
+    return spark.createDataFrame(rows, "name string, index bigint, gradient double, after double, after_two double")
 
 
 NETWORK = Network(64, 48, 10)
