@@ -82,16 +82,15 @@ def strip_fences(c: Column) -> Column:
 
 
 def _last_of_each(files: Column) -> Column:
-    """Of files with the same name keep the last."""
-    return let(
-        files,
-        lambda all_files: F.filter(
-            all_files,
-            lambda f, i: ~F.exists(
-                F.slice(all_files, i + 2, F.size(all_files)), lambda later: later["name"] == f["name"]
-            ),
-        ),
-    )
+    """Of files with the same name keep the last, in the order of the files; sorted by name to find it."""
+
+    def ends_its_name(by_name: Column) -> Column:
+        return F.filter(by_name, lambda f, i: ~F.coalesce(F.get(by_name, i + 1)["name"] == f["name"], F.lit(False)))
+
+    numbered = F.transform(files, lambda f, i: F.struct(f["name"].alias("name"), i.alias("at"), f["content"].alias("content")))
+    last = let(F.array_sort(numbered), ends_its_name)
+    in_order = F.array_sort(F.transform(last, lambda f: F.struct(f["at"].alias("at"), f["name"].alias("name"), f["content"].alias("content"))))
+    return F.transform(in_order, lambda f: F.struct(f["name"].alias("name"), f["content"].alias("content")))
 
 
 def _sections(raw: Column) -> Column:
