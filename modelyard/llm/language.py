@@ -29,7 +29,7 @@ PAD = 4
 class LanguageSettings:
     """sample: excerpts per language to learn from, at most; excerpt: their characters; languages: the most frequent ones learned."""
 
-    sample: int = 1500
+    sample: int = 1000
     excerpt: int = 300
     languages: int = 200
     window: int = 256
