@@ -11,7 +11,7 @@ from modelyard.catalog.registry import query
 from modelyard.functions import vectors
 from modelyard.operators import metrics
 from modelyard.operators.splits import train_test_split
-from modelyard.plans.network import Network, gradient_job, optimizer, pack, score, unpack
+from modelyard.plans.network import Network, evaluated, gradient_job, optimizer, pack, score, unpack
 from modelyard.plans.training import TrainingSettings, dry_run as try_out, epoch_log, train
 from modelyard.operators.runs import final_progress
 from modelyard.session import new_folder
@@ -121,8 +121,8 @@ def cross_entropy(spark, sf):
     FROM rows_scored GROUP BY split"""
 )
 def eval_metrics(spark, sf):
-    split = train_test_split(scored_embeddings(spark, sf), "vec_id")
-    return metrics.evaluate(split, "split").select(
+    split = train_test_split(table(spark, sf, "embeddings"), "vec_id")
+    return evaluated(split, fixed_parameters(), "embedding", "label", "split").select(
         "split", "n", F.round("loss", 6).alias("loss"), F.round("accuracy", 6).alias("accuracy")
     )
 

@@ -144,6 +144,18 @@ def conversation_text(spark, sf):
     return documents.descriptions(turns, "conv_id", "turn", "content")
 
 
+@query("SELECT DISTINCT conv_id FROM conversations WHERE role = 'user' AND conv_id % 4 = 0")
+def rejected_conversations(spark, sf):
+    """Conversations in which every fourth user says nothing before two blank lines."""
+    silent = F.when(F.col("turn") == 0, F.lit("\n \nlater")).otherwise(F.lit(" "))
+    turns = (
+        table(spark, sf, "conversations")
+        .filter("role = 'user'")
+        .select("conv_id", "turn", F.when(F.col("conv_id") % 4 == 0, silent).otherwise(F.col("text")).alias("content"))
+    )
+    return documents.rejected(turns, documents.descriptions(turns, "conv_id", "turn", "content"), "conv_id")
+
+
 @query(
     """SELECT p_partkey, '- name: ' || p_name || chr(10) || '- brand: ' || p_brand || chr(10) || '- size: ' || p_size
            || chr(10) || '- export: None' AS spec,

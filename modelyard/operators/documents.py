@@ -106,6 +106,11 @@ def descriptions(
     )
 
 
+def rejected(turns: DataFrame, described: DataFrame, conversation: str) -> DataFrame:
+    """Conversations with rows but without a description, one row each."""
+    return turns.select(conversation).distinct().join(described.select(conversation), conversation, "left_anti")
+
+
 def stage_documents(stage: Column) -> Column:
     """Names of the documents a stage reads; an unknown stage reads the default list."""
     names = F.array(*[F.lit(n) for n in DEFAULT_DOCUMENTS])

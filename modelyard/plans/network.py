@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 Parameters = dict[str, np.ndarray]
@@ -186,6 +187,42 @@ def score(
     return df.select(*kept, features).mapInArrow(apply, schema)
 
 
+def evaluated(
+    df: DataFrame, parameters: Parameters, features: str = "features", label: str = "label", by: str | None = None
+) -> DataFrame:
+    """Rows, mean loss and accuracy of a table, by the values of a column if one is given.
+
+    Losses and hits are added up inside each Arrow batch, so that only sums leave a task, not scores.
+    """
+    width, classes = parameters["w1"].shape[1], parameters["w2"].shape[0]
+    shared = df.sparkSession.sparkContext.broadcast(parameters)
+    key = [T.StructField(by, df.schema[by].dataType)] if by else []
+    sums = [T.StructField("n", T.LongType()), T.StructField("loss", T.DoubleType()), T.StructField("correct", T.LongType())]
+    schema = T.StructType(key + sums)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            y = label_vector(batch.column(label), classes)
+            logits = logits_of(shared.value, feature_matrix(batch.column(features), width))
+            groups = batch.column(by).dictionary_encode(null_encoding="encode") if by else None
+            codes = groups.indices.to_numpy() if by else np.zeros(len(y), np.int64)
+            n = np.bincount(codes)
+            hits = np.bincount(codes, logits.argmax(axis=1) == y).astype(np.int64)
+            added = [pa.array(n.astype(np.int64)), pa.array(np.bincount(codes, losses_of(logits, y))), pa.array(hits)]
+            yield pa.RecordBatch.from_arrays(([groups.dictionary] if by else []) + added, names=schema.names)
+
+    columns = list(dict.fromkeys([*([by] if by else []), features, label]))
+    partial = df.select(*columns).mapInArrow(add_up, schema)
+    grouped = partial.groupBy(by) if by else partial.groupBy()
+    return grouped.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+        F.try_divide(F.sum("loss"), F.sum("n")).alias("loss"),
+        F.try_divide(F.sum("correct"), F.sum("n")).alias("accuracy"),
+    )
+
+
 PARTIAL_SCHEMA = "n bigint, loss double, correct bigint, gradient binary"
 
 

@@ -17,10 +17,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modelyard.operators.metrics import evaluate
 from modelyard.operators.profile import uniform_sample
 from modelyard.operators.splits import BATCH_SIZE, hash_bucket, train_test_split
-from modelyard.plans.network import LEARNING_RATE, Network, Parameters, gradient_job, optimizer, pack, score, unpack
+from modelyard.plans.network import LEARNING_RATE, Network, Parameters, evaluated, gradient_job, optimizer, pack, unpack
 from modelyard.session import discard, new_folder, pinned
 from modelyard.sources.tables import start_run, write_checkpoint
 
@@ -99,10 +98,7 @@ def train(
                 seen, loss, correct = seen + n, loss + part_loss, correct + part_correct
             if seen == 0:
                 raise ValueError("no rows to train on")
-            tested = evaluate(
-                score(staged.filter("split = 'test'"), parameters, features, label=label)
-                .withColumnRenamed(label, "label")
-            ).first()
+            tested = evaluated(staged.filter("split = 'test'"), parameters, features, label).first()
             accuracy = tested["accuracy"] or 0.0
             if accuracy > run.best_accuracy:
                 run.best_accuracy, run.best_epoch = accuracy, epoch

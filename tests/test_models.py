@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from modelyard.functions import vectors
+from modelyard.operators import metrics
 from modelyard.plans import network as net
 from modelyard.plans.training import TrainingSettings, bucket_order, dry_run, epoch_log, train
 from modelyard.operators.runs import final_progress
@@ -142,6 +143,19 @@ def test_a_shorter_run_forgets_the_epochs_of_a_longer_one(spark, points):
     assert kept == {"a": 1, "b": 2}
 
 
+def test_evaluated_agrees_with_scored_rows(points):
+    p = net.Network(6, 4, 4).initial(1)
+    table = points.withColumn("part", F.when(F.col("id") % 3 > 0, F.col("id") % 3))
+    want = {r["part"]: r for r in metrics.evaluate(net.score(table, p, keep=["part"], label="label"), "part").collect()}
+    got = {r["part"]: r for r in net.evaluated(table, p, by="part").collect()}
+    assert set(got) == set(want) == {None, 1, 2}
+    for part, row in want.items():
+        assert (got[part]["n"], got[part]["accuracy"]) == (row["n"], pytest.approx(row["accuracy"]))
+        assert got[part]["loss"] == pytest.approx(row["loss"])
+    none = net.evaluated(table.filter("id < 0"), p).first()
+    assert (none["n"], none["loss"], none["accuracy"]) == (0, None, None)
+
+
 def test_bad_rows_are_flagged(spark):
     p = net.Network(3, 4, 2).initial(1)
     rows = [(1, [1.0, 2.0, 3.0], 0), (2, None, 1), (3, [1.0], 1), (4, [1.0, None, 2.0], 0), (5, [1.0, math.nan, 2.0], 0), (6, [0.0, 0.0, 1.0], 7), (7, [0.0, 1.0, 1.0], None)]
