@@ -274,3 +274,79 @@ def gradient_job(
     gradient = sum((np.frombuffer(r["gradient"]) for r in rows), np.zeros(size))
     shared.unpersist()
     return sum(r["n"] for r in rows), sum(r["loss"] for r in rows), sum(r["correct"] for r in rows), gradient
+
+
+ROUND_SCHEMA = "bucket int, n bigint, loss double, correct bigint, parameters binary, first binary, second binary, steps bigint"
+
+
+def local_round(
+    df: DataFrame, parameters: Parameters, adam: Adam, features: str, label: str, batch_size: int
+) -> tuple[int, float, int, np.ndarray]:
+    """One pass in small batches, bucket by bucket; the buckets' parameters are then averaged by their rows.
+
+    Rows of a bucket must lie together and in order, as `batch_size` of them make a batch; they stream through. Every
+    bucket starts from the same parameters and moments, and hands on one row. `adam` takes up the averaged moments.
+    """
+    width, classes = parameters["w1"].shape[1], parameters["w2"].shape[0]
+    shared = df.sparkSession.sparkContext.broadcast((parameters, adam.m, adam.v, adam.steps, adam.rate))
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held_x, held_y, held = None, [], [], 0
+
+        def begin():
+            start, m, v, steps, rate = shared.value
+            own = Adam(m.size, rate)
+            own.m, own.v, own.steps = m, v, steps
+            return start, own, [0, 0.0, 0]
+
+        def take(x, y):
+            nonlocal now
+            loss, correct, grads = gradient_sums(now, x, y)
+            now = unpack(own.step(pack(now), pack(grads) / len(y)), now)
+            sums[0], sums[1], sums[2] = sums[0] + len(y), sums[1] + loss, sums[2] + correct
+
+        def finish():
+            if held:
+                take(np.concatenate(held_x), np.concatenate(held_y))
+            values = [bucket, *sums, pack(now).tobytes(), own.m.tobytes(), own.v.tobytes(), own.steps]
+            kinds = [pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+            names = [c.split()[0] for c in ROUND_SCHEMA.split(", ")]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
+
+        now, own, sums = begin()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            numbers = batch.column("bucket").to_numpy()
+            x, y = feature_matrix(batch.column(features), width), label_vector(batch.column(label), classes)
+            cuts = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), len(numbers)]
+            for first, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if bucket is not None and numbers[first] != bucket:
+                    yield finish()
+                    held_x, held_y, held = [], [], 0
+                    now, own, sums = begin()
+                bucket = int(numbers[first])
+                at = first
+                while at < end:
+                    some = min(batch_size - held, end - at)
+                    held_x.append(x[at : at + some])
+                    held_y.append(y[at : at + some])
+                    held, at = held + some, at + some
+                    if held == batch_size:
+                        take(np.concatenate(held_x), np.concatenate(held_y))
+                        held_x, held_y, held = [], [], 0
+        if bucket is not None:
+            yield finish()
+
+    # One row per bucket; their number is a setting. Sorted, so that sums do not depend on who came first.
+    rows = sorted(df.select("bucket", features, label).mapInArrow(follow, ROUND_SCHEMA).collect(), key=lambda r: r["bucket"])
+    shared.unpersist()
+    n = sum(r["n"] for r in rows)
+
+    def mean(name: str) -> np.ndarray:
+        return sum(np.frombuffer(r[name]) * (r["n"] / n) for r in rows)
+
+    if n:
+        adam.m, adam.v, adam.steps = mean("first"), mean("second"), max(r["steps"] for r in rows)
+    flat = mean("parameters") if n else pack(parameters)
+    return n, sum(r["loss"] for r in rows), sum(r["correct"] for r in rows), flat

@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modelyard.operators.profile import uniform_sample
-from modelyard.operators.splits import BATCH_SIZE, hash_bucket, train_test_split
-from modelyard.plans.network import LEARNING_RATE, Network, Parameters, evaluated, gradient_job, optimizer, pack, unpack
+from modelyard.operators.splits import BATCH_SIZE, hash_bucket, hash_key, train_test_split
+from modelyard.plans.network import LEARNING_RATE, Network, Parameters, evaluated, gradient_job, local_round, optimizer, pack, unpack
 from modelyard.session import discard, new_folder, pinned
 from modelyard.sources.tables import start_run, write_checkpoint
 
@@ -29,6 +29,9 @@ DRY_RUN_BATCHES = 2
 
 @dataclass(frozen=True)
 class TrainingSettings:
+    """Steps on whole buckets (one exact gradient each), or with `batch_size` small batches inside every bucket at the
+    same time, whose parameters are averaged once per epoch. Buckets are as many as `steps_per_epoch`."""
+
     epochs: int = 10
     steps_per_epoch: int = 4
     learning_rate: float = LEARNING_RATE
@@ -36,6 +39,7 @@ class TrainingSettings:
     seed: int = 42
     run_id: str = "run"
     checkpoint_path: str | None = None
+    batch_size: int | None = None
 
 
 @dataclass
@@ -88,7 +92,13 @@ def train(
     try:
         for epoch in range(1, settings.epochs + 1):
             seen, loss, correct = 0, 0.0, 0
-            for bucket in bucket_order(epoch, settings.steps_per_epoch, settings.seed):
+            if settings.batch_size:
+                mixed = hash_key(F.col(id_column), f"{settings.seed}:{epoch}")
+                rows = staged.filter("split = 'train'").repartition(settings.steps_per_epoch, "bucket")
+                rows = rows.withColumn("_key", mixed).sortWithinPartitions("bucket", "_key", id_column)
+                seen, loss, correct, flat = local_round(rows, parameters, step, features, label, settings.batch_size)
+                parameters = unpack(flat, parameters)
+            for bucket in [] if settings.batch_size else bucket_order(epoch, settings.steps_per_epoch, settings.seed):
                 part = staged.filter((F.col("split") == "train") & (F.col("bucket") == bucket))
                 n, part_loss, part_correct, gradient = gradient_job(part, parameters, features, label, tasks)
                 if n == 0:

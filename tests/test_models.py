@@ -134,6 +134,35 @@ def test_training_learns_and_keeps_checkpoints(spark, points):
     assert progress["best_acc"] == pytest.approx(run.best_accuracy, abs=6e-5)
 
 
+def test_small_batches_learn_faster_and_do_not_depend_on_the_layout(spark, points):
+    shape = net.Network(6, 12, 4)
+
+    def losses(table, **more):
+        settings = TrainingSettings(epochs=5, steps_per_epoch=3, learning_rate=0.01, **more)
+        run = train(table, "id", "features", "label", shape, settings)
+        return [m[3] for m in run.metrics if m[2] == "training"], net.pack(run.parameters)
+
+    by_bucket, _ = losses(points)
+    small, parameters = losses(points, batch_size=16)
+    again, same = losses(points.repartition(2), batch_size=16)
+    assert small[-1] < by_bucket[-1] and small == again and np.array_equal(parameters, same)
+
+
+def test_one_bucket_of_small_batches_is_plain_training(spark, points):
+    shape = net.Network(6, 5, 4)
+    rows = sorted(points.collect(), key=lambda r: r["id"])
+    x, y = np.array([r["features"] for r in rows]), np.array([r["label"] for r in rows])
+    now, adam = shape.initial(1), net.Adam(net.pack(shape.initial(1)).size, 0.01)
+    for first in range(0, 400, 64):
+        part = slice(first, first + 64)
+        _, _, grads = net.gradient_sums(now, x[part], y[part])
+        now = net.unpack(adam.step(net.pack(now), net.pack(grads) / len(y[part])), now)
+    ordered = points.withColumn("bucket", F.lit(0)).coalesce(1).sortWithinPartitions("id")
+    other = net.Adam(adam.m.size, 0.01)
+    n, _, _, flat = net.local_round(ordered, shape.initial(1), other, "features", "label", 64)
+    assert n == 400 and other.steps == 7 and np.allclose(flat, net.pack(now)) and np.allclose(other.v, adam.v)
+
+
 def test_a_shorter_run_forgets_the_epochs_of_a_longer_one(spark, points):
     path = new_folder(spark, "checkpoints")
     for epochs, name in ((3, "a"), (2, "b"), (1, "a")):
