@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -81,5 +82,30 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables written to the shared folder for a while; `clear` deletes them once nothing will read them again."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stored(self, df: DataFrame, purpose: str) -> DataFrame:
+        path = new_folder(self.spark, purpose)
+        self.paths.append(path)
+        df.write.parquet(path)
+        release(self.spark)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        while self.paths:
+            discard(self.spark, self.paths.pop())
+        release(self.spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that are done: it does when the driver has collected their plans."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def limit_setting(spark: SparkSession, name: str, default: int) -> int:
     return int(spark.conf.get(name, str(default)))
