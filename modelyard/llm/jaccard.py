@@ -11,7 +11,8 @@ shares most segments with others is their center, and all members are compared w
 difference of u and its center. Then that of u and v is the symmetric difference of E(u) and E(v); if it is no larger than
 the largest that links u and v although E(u) and E(v) have nothing in common, then both u and v link with the center (the
 bound grows by less than the size does). So members that are in different components after the comparison with the
-center link only if they share elements of E, and a prefix-filtered join on the rarest elements of E finds those pairs.
+center link only if they share elements of E, and a prefix-filtered join on the rarest elements of E finds those pairs. In
+groups of up to 16 members the remaining pairs are few enough to be compared as they are.
 Components are exact, and a group of copies costs about as many comparisons as it has members.
 
 Defined cases: null and empty texts, and texts without words, have no shingles and link with nothing; fewer words than a shingle
@@ -32,7 +33,11 @@ from pyspark.sql import functions as F
 from modelyard.llm.bytewords import WordHasher, between_spaces, mixed, shingled
 from modelyard.llm.components import components
 from modelyard.llm.removal import small_side
-from modelyard.session import pinned, stored
+from modelyard.session import Scratch, pinned, stored
+
+
+#: Members of groups up to this size are compared with each other, those of larger ones by what they differ in from the center.
+SMALL = 16
 
 
 @dataclass(frozen=True)
@@ -168,41 +173,57 @@ def may_be_shared(segments: DataFrame, keys: DataFrame, bits: int) -> DataFrame:
 
 
 def centered(groups: DataFrame) -> DataFrame:
-    """center, node: the distinct pairs of a group's center and its other members; `groups` has key, node, members.
+    """key, center, node: the members of each group beside its center; `groups` has key, node, members.
 
     The center is the member that shares most segments with others, which the original of edited copies does.
     """
     popular = groups.groupBy("node").agg(F.sum("members").alias("shares"))
     ranked = groups.join(popular, "node").groupBy("key").agg(F.max(F.struct("shares", "node")).alias("best"))
-    chosen = groups.join(ranked.select("key", F.col("best.node").alias("center")), "key")
-    return chosen.filter("node <> center").select("center", "node").distinct()
+    chosen = groups.select("key", "node").join(ranked.select("key", F.col("best.node").alias("center")), "key")
+    return chosen.filter("node <> center")
 
 
 def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """center, node, edits (the symmetric difference), n (the node's size) and of_center."""
+    """center, node, n (the node's size) and edits (the symmetric difference)."""
     nodes = sets.select(F.col("doc_id").alias("node"), F.col("elements").alias("own"))
     centers = sets.select(F.col("doc_id").alias("center"), F.col("elements").alias("its"))
     edits = F.concat(F.array_except("own", "its"), F.array_except("its", "own"))
     both = pairs.join(nodes, "node").join(centers, "center")
-    return both.select("center", "node", edits.alias("edits"), F.size("own").alias("n"), F.size("its").alias("of_center"))
+    return both.select("center", "node", F.size("own").alias("n"), edits.alias("edits"))
+
+
+def undecided(stars: DataFrame, known: DataFrame) -> DataFrame:
+    """key, center, node, component, others: groups that hold, beside the center, members of different components."""
+    placed = stars.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = placed.groupBy("key").agg(
+        F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("others")
+    )
+    return placed.join(split.filter("a < b").select("key", "others"), "key")
 
 
-def apart(stars: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """u, v, difference, sizes: pairs of members of a star in different components that share rare elements of their edits.
+def in_small_groups(members: DataFrame) -> DataFrame:
+    """u, v: the pairs of different components in groups of at most SMALL members, 15 per member at most."""
+    few = members.filter(F.col("others") <= SMALL).select("key", "node", "component")
+    one = few.select("key", F.col("node").alias("u"), F.col("component").alias("cu"))
+    two = few.select("key", F.col("node").alias("v"), F.col("component").alias("cv"))
+    return one.join(two, "key").filter("u < v and cu <> cv").select("u", "v").distinct()
+
+
+def apart(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """u, v: the pairs of undecided members of a star that share rare elements of their edits.
 
     A pair links only if it shares t >= (|E(u)| + |E(v)| - D) / 2 elements, D being the largest difference that links. With
     elements in the order of rarity, the member with fewer edits then has a shared element among its first D / 2 + 1,
     the other among its first D + 1.
     """
-    placed = (
-        stars.join(known.select("node", "component"), "node", "left")
-        .withColumn("component", F.coalesce("component", "node"))
-        .withColumn("e", F.size("edits"))
-        .withColumn("most", F.floor((F.col("n") + F.floor(F.col("n") * 100 / percent)) * (100 - percent) / (100 + percent)).cast("int"))
+    largest = F.floor((F.col("n") + F.floor(F.col("n") * 100 / percent)) * (100 - percent) / (100 + percent))
+    edited = differences(members.select("center", "node"), sets).join(members, ["center", "node"])
+    elements = scratch.stored(
+        edited.select(
+            "center", "node", "component", "n", F.size("edits").alias("e"), largest.cast("int").alias("most"), F.explode("edits").alias("element")
+        ),
+        "edits",
     )
-    split = placed.groupBy("center").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b")
-    open_ = placed.join(split.select("center"), "center", "left_semi").drop("of_center")
-    elements = stored(open_.select("center", "node", "component", "e", "n", "most", F.explode("edits").alias("element")), "edits")
     seen = elements.groupBy("center", "element").agg(F.count(F.lit(1)).alias("times"))
     nth = F.row_number().over(Window.partitionBy("center", "node").orderBy("times", "element"))
     ordered = elements.join(seen, ["center", "element"]).withColumn("nth", nth).filter("times > 1 and nth <= most + 1")
@@ -212,7 +233,7 @@ def apart(stars: DataFrame, known: DataFrame, percent: int) -> DataFrame:
 
     few, many = side(ordered.filter(F.col("nth") <= F.floor(F.col("most") / 2) + 1), "_u"), side(ordered, "_v")
     alike = (F.col("component_u") != F.col("component_v")) & (F.col("e_u") <= F.col("e_v"))
-    alike &= (100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v"))
+    alike &= 100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")
     pairs = few.join(many, ["center", "element"]).filter(alike)
     return pairs.select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v")).distinct()
 
@@ -237,30 +258,33 @@ def linked(
     full = rows.filter("n_shingles > 0")
     classes = pinned(full.groupBy(*equal).agg(F.min("doc_id").alias("node")))
 
-    named = full.select("doc_id", *equal).join(classes, equal)
-    copies = pinned(named.filter("doc_id <> node or doc_id is null").select("doc_id", *equal).distinct())
+    ids = full.select("doc_id", *equal)
+    own = classes.select(F.col("node").alias("doc_id"), *equal)
+    copies = pinned(ids.join(own, ["doc_id", *equal], "left_anti").distinct())
     of_classes = full.filter("size(keys) > 0").join(small_side(copies), ["doc_id", *equal], "left_anti").filter("doc_id is not null")
     segments = of_classes.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))
-    shared = stored(
-        segments.groupBy("key")
-        .agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("members"))
-        .filter("a < b")
-        .select("key", "members"),
-        "keys",
-    )
-    groups = stored(may_be_shared(of_classes, shared, settings.bits).join(shared, "key"), "groups")
+    counted = segments.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
+    scratch = Scratch(docs.sparkSession)
+    shared = scratch.stored(counted.filter("members > 1"), "keys")
+    groups = scratch.stored(may_be_shared(of_classes, shared, settings.bits).join(shared, "key"), "groups")
     members = pinned(groups.select(F.col("node").alias("doc_id")).distinct())
-    sets = stored(shingle_sets(docs, members, settings, doc_id, text), "sets")
-
-    repeated = named.select("doc_id", "node").distinct()
-    first_class = repeated.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v"))
-    same_id = repeated.join(first_class.filter("u < v").select("doc_id", "u"), "doc_id").select("u", F.col("node").alias("v"))
-
-    stars = stored(differences(centered(groups), sets), "stars")
-    close = F.size("edits") * (100 + percent) <= (F.col("n") + F.col("of_center")) * (100 - percent)
-    links = pinned(stars.filter(close).select(F.col("center").alias("u"), F.col("node").alias("v")).unionByName(same_id))
-    more = verified(apart(stars, components(links), percent), sets, percent)
+    sets = scratch.stored(shingle_sets(docs, members, settings, doc_id, text), "sets")
+
+    # Ids that stand for several texts link the classes of these.
+    class_of = F.struct(*equal)
+    several = ids.groupBy("doc_id").agg(F.min(class_of).alias("a"), F.max(class_of).alias("b")).filter("a < b and doc_id is not null")
+    repeated = ids.join(several.select("doc_id"), "doc_id", "left_semi").join(classes, equal)
+    same_id = repeated.select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
+
+    stars = scratch.stored(centered(groups), "stars")
+    compared = verified(stars.select(F.col("center").alias("u"), F.col("node").alias("v")).distinct(), sets, percent)
+    links = pinned(compared.unionByName(same_id))
+    members = scratch.stored(undecided(stars, components(links)), "undecided")
+    crowded = members.filter(F.col("others") > SMALL).select("center", "node", "component").distinct()
+    pairs = in_small_groups(members).unionByName(apart(crowded, sets, percent, scratch)).distinct()
+    more = verified(pairs, sets, percent)
     final = components(links.unionByName(more))
+    scratch.clear()  # the components are checkpointed
 
     placed = classes.join(final, "node", "left").select(*equal, F.coalesce("component", "node").alias("component_id"))
     return (
