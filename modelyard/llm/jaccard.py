@@ -4,7 +4,8 @@ Every set is cut into segments by the leading bits of its elements' hashes, and
 that only one of two sets holds changes one segment, so the number of segments that differ never exceeds the symmetric
 difference of the sets. Sets of a size band that are similar enough have a symmetric difference of at most D, so that of more
 than D segments at least one is equal: an equi-join on (band, segment, XOR) finds every pair that may be similar, and the pairs
-are verified on the shingles themselves. Bands are such that similar sets lie in the same band or in neighbouring ones.
+are verified on the shingles themselves, after a second sketch of 2,048 parity bits, whose Hamming distance is a lower bound of
+the difference too, has ruled out most of them. Bands are such that similar sets lie in the same band or in neighbouring ones.
 
 Equal sets are one class throughout. Groups of classes that share a segment are not expanded into pairs: the member that
 shares most segments with others is their center, and all members are compared with it. Let E(u) be the symmetric
@@ -96,6 +97,16 @@ def sketch(elements: np.ndarray, space: int, most: int, segments: int) -> np.nda
     return keys
 
 
+BITS = 2048
+
+
+def parity_bits(elements: np.ndarray) -> np.ndarray:
+    """A bit sketch: every element flips one of 2,048 bits, so that the bits in which two sketches differ are at most the
+    elements in which their sets do."""
+    odd = np.bincount((elements & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(bool)).view(np.uint64)
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
     flat = np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64)
@@ -103,12 +114,12 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def sketched(docs: DataFrame, settings: JaccardSettings, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, s1 and s2 (the class: equal for equal sets), keys (the sketches)."""
+    """doc_id, n_shingles, s1 and s2 (the class: equal for equal sets), keys (the segments), bits (the bit sketch)."""
 
     def build(batches):
         hasher, bands = WordHasher(between_spaces()), Bands(settings.percent)
         for batch in batches:
-            sizes, s1, s2, keys = [], [], [], []
+            sizes, s1, s2, keys, bits = [], [], [], [], []
             for words in hasher.rows(batch.column("text")):
                 own = np.unique(shingled(words, settings.words))
                 sizes.append(len(own))
@@ -116,6 +127,7 @@ def sketched(docs: DataFrame, settings: JaccardSettings, doc_id: str, text: str)
                 s2.append(int(np.bitwise_xor.reduce(mixed(~own))) if len(own) else 0)
                 found = [sketch(own, *space) for space in bands.of(len(own))] if len(own) else []
                 keys.append(np.concatenate(found) if found else np.zeros(0, np.uint64))
+                bits.append(parity_bits(own) if found else np.zeros(0, np.uint64))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -123,13 +135,14 @@ def sketched(docs: DataFrame, settings: JaccardSettings, doc_id: str, text: str)
                     pa.array(np.array(s1, np.uint64).view(np.int64)),
                     pa.array(np.array(s2, np.uint64).view(np.int64)),
                     _lists(keys),
+                    _lists(bits),
                 ],
-                names=["doc_id", "n_shingles", "s1", "s2", "keys"],
+                names=["doc_id", "n_shingles", "s1", "s2", "keys", "bits"],
             )
 
     kind = docs.schema[doc_id].dataType.simpleString()
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return chosen.mapInArrow(build, f"doc_id {kind}, n_shingles long, s1 long, s2 long, keys array<long>")
+    return chosen.mapInArrow(build, f"doc_id {kind}, n_shingles long, s1 long, s2 long, keys array<long>, bits array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, settings: JaccardSettings, doc_id: str, text: str) -> DataFrame:
@@ -193,20 +206,17 @@ def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def undecided(stars: DataFrame, known: DataFrame) -> DataFrame:
-    """key, center, node, component, others: groups that hold, beside the center, members of different components."""
+    """center, node, component: the members of groups that hold, beside the center, members of different components."""
     placed = stars.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = placed.groupBy("key").agg(
-        F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("others")
-    )
-    return placed.join(split.filter("a < b").select("key", "others"), "key")
+    split = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b")
+    return placed.join(split.select("key"), "key", "left_semi").select("center", "node", "component").distinct()
 
 
-def in_small_groups(members: DataFrame) -> DataFrame:
-    """u, v: the pairs of different components in groups of at most SMALL members, 15 per member at most."""
-    few = members.filter(F.col("others") <= SMALL).select("key", "node", "component")
-    one = few.select("key", F.col("node").alias("u"), F.col("component").alias("cu"))
-    two = few.select("key", F.col("node").alias("v"), F.col("component").alias("cv"))
-    return one.join(two, "key").filter("u < v and cu <> cv").select("u", "v").distinct()
+def in_small_groups(groups: DataFrame) -> DataFrame:
+    """u, v: the pairs of groups of at most SMALL members, 15 per member at most."""
+    few = groups.filter(F.col("members") <= SMALL)
+    one, two = few.select("key", F.col("node").alias("u")), few.select("key", F.col("node").alias("v"))
+    return one.join(two, "key").filter("u < v").select("u", "v").distinct()
 
 
 def apart(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -238,6 +248,16 @@ def apart(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -
     return pairs.select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v")).distinct()
 
 
+def may_link(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Those of the distinct pairs (u, v) whose sizes and bit sketches allow a link; `bits` has node, n, bits."""
+    first = bits.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("bits").alias("bu"))
+    second = bits.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("bits").alias("bv"))
+    differ = F.aggregate(F.zip_with("bu", "bv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    sizes = 100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")
+    allowed = sizes & (differ * (100 + percent) <= (F.col("nu") + F.col("nv")) * (100 - percent))
+    return pairs.join(first, "u").join(second, "v").filter(allowed).select("u", "v").distinct()
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the distinct pairs (u, v) that are similar enough."""
     first = sets.select(F.col("doc_id").alias("u"), F.col("elements").alias("of_u"))
@@ -267,7 +287,16 @@ def linked(
     scratch = Scratch(docs.sparkSession)
     shared = scratch.stored(counted.filter("members > 1"), "keys")
     groups = scratch.stored(may_be_shared(of_classes, shared, settings.bits).join(shared, "key"), "groups")
-    members = pinned(groups.select(F.col("node").alias("doc_id")).distinct())
+    # Of most candidates the bit sketches say that they cannot link; only the others' shingles are fetched.
+    bits = of_classes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bits")
+    shown = scratch.stored(bits.join(groups.select("node").distinct(), "node", "left_semi").distinct(), "bits")
+    crowds = groups.filter(F.col("members") > SMALL)
+    stars = scratch.stored(centered(crowds), "stars")
+    ordered = stars.select(F.least("center", "node").alias("u"), F.greatest("center", "node").alias("v"))
+    candidates = in_small_groups(groups).unionByName(ordered).distinct()
+    near = scratch.stored(may_link(candidates, shown, percent), "near")
+    needed = near.select(F.col("u").alias("doc_id")).unionByName(near.select(F.col("v").alias("doc_id")))
+    members = pinned(needed.unionByName(crowds.select(F.col("node").alias("doc_id"))).distinct())
     sets = scratch.stored(shingle_sets(docs, members, settings, doc_id, text), "sets")
 
     # Ids that stand for several texts link the classes of these.
@@ -276,13 +305,10 @@ def linked(
     repeated = ids.join(several.select("doc_id"), "doc_id", "left_semi").join(classes, equal)
     same_id = repeated.select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
 
-    stars = scratch.stored(centered(groups), "stars")
-    compared = verified(stars.select(F.col("center").alias("u"), F.col("node").alias("v")).distinct(), sets, percent)
-    links = pinned(compared.unionByName(same_id))
+    links = pinned(verified(near, sets, percent).unionByName(same_id))
     members = scratch.stored(undecided(stars, components(links)), "undecided")
-    crowded = members.filter(F.col("others") > SMALL).select("center", "node", "component").distinct()
-    pairs = in_small_groups(members).unionByName(apart(crowded, sets, percent, scratch)).distinct()
-    more = verified(pairs, sets, percent)
+    further = may_link(apart(members, sets, percent, scratch), shown, percent)
+    more = verified(further, sets, percent)
     final = components(links.unionByName(more))
     scratch.clear()  # the components are checkpointed
 
