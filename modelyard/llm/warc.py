@@ -69,20 +69,25 @@ def with_references(pages: DataFrame, settings: ArchiveSettings, page_id: str, p
 
 
 def chunk_table(pages: DataFrame, settings: ArchiveSettings, page_id: str, url: str, payload: str) -> DataFrame:
-    """page_id, chunk, n_bytes, digest, refers_to, url, data: row 0 describes a record, rows from 1 on hold its payload."""
+    """page_id, copy, chunk, n_bytes, digest, refers_to, url, data: row 0 describes a record, rows from 1 on hold its payload.
+
+    `copy` keeps the chunks of rows apart that share id and payload. Those rows share one description, whose copy is -1.
+    It is numbered by the task that cuts a row, and no row is cut by two, so that a task that is run again mixes no chunks up.
+    """
     references = with_references(pages, settings, page_id, payload)
     empty = F.lit(None)
     heads = references.select(
-        "page_id", F.lit(0).alias("chunk"), "n_bytes", "digest", "refers_to", empty.cast("string").alias("url"), empty.cast("binary").alias("data")
+        "page_id", F.lit(-1).cast("long").alias("copy"), F.lit(0).alias("chunk"), "n_bytes", "digest", "refers_to", empty.cast("string").alias("url"), empty.cast("binary").alias("data")
     )
     whole = F.coalesce(F.col(payload), F.lit("")).cast("binary")
-    numbers = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.octet_length(whole) / settings.chunk).cast("int")))
-    cut = pages.select(
+    numbers = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.octet_length("whole") / settings.chunk).cast("int")))
+    rows = pages.select(
         F.col(page_id).alias("page_id"), F.col(url).alias("url"), payload_digest(F.col(payload)).alias("digest"), whole.alias("whole"),
-        F.explode(numbers).alias("chunk"),
+        F.monotonically_increasing_id().alias("copy"),
     )
+    cut = rows.withColumn("chunk", F.explode(numbers))
     body = cut.select(
-        "page_id", "chunk", F.octet_length("whole").cast("long").alias("n_bytes"), "digest",
+        "page_id", "copy", "chunk", F.octet_length("whole").cast("long").alias("n_bytes"), "digest",
         empty.cast(references.schema["refers_to"].dataType).alias("refers_to"), F.when(F.col("chunk") == 1, F.col("url")).alias("url"),
         F.substring("whole", (F.col("chunk") - 1) * settings.chunk + 1, F.lit(settings.chunk)).alias("data"),
     )
@@ -139,7 +144,7 @@ def written(
     settings = settings or ArchiveSettings()
     rows = chunk_table(pages, settings, page_id, url, payload)
     # The digest keeps records apart that share an id; records of a hot payload spread by their ids.
-    dealt = rows.repartition("page_id", "digest").sortWithinPartitions("page_id", "digest", "chunk")
+    dealt = rows.repartition("page_id", "digest").sortWithinPartitions("page_id", "digest", "copy", "chunk")
 
     def write(batches):
         files, root = _open_shared(folder)

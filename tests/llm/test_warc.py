@@ -76,6 +76,18 @@ def test_string_ids(spark, tmp_path):
     }
 
 
+@pytest.mark.parametrize("page", [1, None])
+def test_repeated_long_response(spark, tmp_path, page):
+    settings = ArchiveSettings(chunk=1000)
+    urls = ["http://a/1", "http://a/2", "http://a/2"]
+    table = spark.createDataFrame([(page, url, LONG) for url in urls], "page_id long, url string, html string")
+    chunks = warc.read(warc.written(table.repartition(2), str(tmp_path / "e"), settings), settings=settings, payload=True)
+    data = LONG.encode()
+    assert [tuple(r) for r in warc.digests(chunks).collect()] == [(page, len(data), hashlib.sha256(data).hexdigest(), "response", None)] * 3
+    assert sorted(r["url"] for r in chunks.filter("last").collect()) == urls
+    assert sum(len(r["data"]) for r in chunks.collect()) == 3 * len(data)
+
+
 def test_empty(spark, tmp_path):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     archives = warc.written(none, str(tmp_path / "d"))
