@@ -1,7 +1,7 @@
 """From documents to a training mix, stage by stage; every stage is written as Parquet and read again by the next.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows it is given; all but the last return the columns of documents.
-Documents without an id are kept by stages that decide by id. Text is never cut.
+Rows with a null or repeated id are decided one by one. Text is never cut.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from modelyard.llm import decontaminate, jaccard, language, mixing, quality
 from modelyard.llm.learning import held_out
-from modelyard.llm.removal import first_of_each, without
+from modelyard.llm.removal import all_but_first, told_apart, without
 from modelyard.session import pinned, stored
 
 SURE_OF_LANGUAGE = 0.5
@@ -35,16 +35,18 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that five-word shingles link at a similarity of 0.8 or more, the one with the smallest id stays."""
-    groups = pinned(jaccard.linked(docs, jaccard.JaccardSettings(words=5, percent=80)).select("doc_id", "component_id"))
-    repeated = groups.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    return first_of_each(without(docs, groups.filter("doc_id <> component_id").select("doc_id")), repeated)
+    rows, row = told_apart(docs)
+    found = jaccard.linked(rows, jaccard.JaccardSettings(words=5, percent=80), doc_id=row)
+    groups = pinned(found.select(F.col("doc_id").alias("_member"), "component_id"))
+    return without(rows, all_but_first(rows, groups, row), row).select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of ten words of a benchmark item go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.contamination(docs, benchmark)
-    return without(docs, found.filter("size(items) > 0").select("doc_id"))
+    rows, row = told_apart(docs)
+    found = decontaminate.contamination(rows, benchmark, doc_id=row)
+    return without(rows, found.filter("size(items) > 0").select("doc_id"), row).select(*docs.columns)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

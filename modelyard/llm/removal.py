@@ -1,11 +1,11 @@
-"""Taking documents out of a table by their ids."""
+"""Taking documents out of a table, by their ids or row by row."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modelyard.session import pinned
+from modelyard.session import pinned, stored
 
 MOST_BROADCAST = 200_000
 
@@ -24,12 +24,28 @@ def without(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFram
     return docs.join(small_side(gone), F.col(doc_id) == F.col("_gone"), "left_anti")
 
 
-def first_of_each(docs: DataFrame, repeated: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """One row per id for the ids in `repeated` (one column), the one with the smallest remaining columns; others untouched."""
-    many = pinned(repeated.toDF("_many").filter("_many is not null").distinct())
-    if many.isEmpty():
-        return docs
-    rest = [F.col(c) for c in docs.columns if c != doc_id]
-    nth = F.row_number().over(Window.partitionBy(doc_id).orderBy(*rest))
-    own = docs.join(many, F.col(doc_id) == F.col("_many"), "left_semi")
-    return without(docs, many, doc_id).unionByName(own.withColumn("_nth", nth).filter("_nth = 1").drop("_nth"))
+def told_apart(docs: DataFrame, doc_id: str = "doc_id") -> tuple[DataFrame, str]:
+    """The rows, and the name of a column that tells them apart: the id where no id is null or repeated, else `_row`.
+
+    Row numbers must not change between passes, so the numbered rows are written once.
+    """
+    if docs.groupBy(doc_id).count().filter(F.col(doc_id).isNull() | (F.col("count") > 1)).isEmpty():
+        return docs, doc_id
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered"), "_row"
+
+
+def all_but_first(docs: DataFrame, groups: DataFrame, row: str, doc_id: str = "doc_id") -> DataFrame:
+    """The rows that are not the first of their group; `groups` has `_member` (a value of column `row`) and `component_id`.
+
+    First is the smallest id, a null one only where there is no other; then the hash of the other columns decides, so that
+    rows that share an id do not depend on the order in which they are read.
+    """
+    if row == doc_id:
+        return groups.filter("_member <> component_id").select("_member")
+    rest = [c for c in docs.columns if c not in (row, doc_id)]
+    place = F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.xxhash64(*rest), F.col(row)).alias("_place")
+    several = groups.groupBy("component_id").count().filter("count > 1").select("component_id")
+    members = groups.join(several, "component_id", "left_semi")
+    placed = pinned(members.join(docs.select(F.col(row).alias("_member"), place), "_member"))
+    first = placed.groupBy("component_id").agg(F.min("_place").alias("_first"))
+    return placed.join(first, "component_id").filter(F.col("_place") != F.col("_first")).select("_member")

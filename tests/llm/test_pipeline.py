@@ -94,3 +94,33 @@ def test_hard_rows(hard, empty, spark, sf, name):
     if name == "n-gram Jaccard join":
         assert sorted(r["doc_id"] for r in rows if r["doc_id"] in (6, 7, 8, 9)) == [6]
     assert STAGES[name](spark, empty, sf).count() == 0
+
+
+def words(name: str, n: int = 40) -> str:
+    return " ".join(f"{name}{i}" for i in range(n))
+
+
+def decided(spark, name, rows, folder):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    return sorted(map(tuple, STAGES[name](spark, docs, folder).select("doc_id", "text").collect()), key=repr)
+
+
+def test_copies_without_or_with_shared_ids_go_row_by_row(spark, tmp_path):
+    near = words("a") + " end"
+    rows = [
+        (5, words("a")), (None, words("a")), (None, near), (7, near), (None, words("b")), (None, words("b")), (None, words("b") + " end"),
+        (3, words("c")), (3, words("d")), (3, words("d")), (8, words("c")), (None, "alone"), (9, None), (None, None), (None, None), (9, None),
+    ]
+    kept = decided(spark, "n-gram Jaccard join", rows, str(tmp_path))
+    of_b = [r for r in kept if r[1] and r[1].startswith("b0")]
+    assert len(of_b) == 1 and of_b[0][0] is None
+    want = [(5, words("a")), (3, words("c")), (3, words("d")), (None, "alone"), (9, None), (9, None), (None, None), (None, None)]
+    assert [r for r in kept if r not in of_b] == sorted(want, key=repr)
+
+
+def test_contaminated_rows_without_or_with_shared_ids_go_row_by_row(spark, tmp_path):
+    spark.createDataFrame([("i", words("q", 12))], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    held = "before " + words("q", 12) + " after"
+    clean = [(None, words("a")), (3, words("b")), (3, words("c")), (4, words("d")), (None, None)]
+    rows = [*clean, (None, held), (3, held), (5, held)]
+    assert decided(spark, "benchmark decontamination", rows, str(tmp_path)) == sorted(clean, key=repr)
