@@ -27,11 +27,12 @@ PAD = 4
 
 @dataclass(frozen=True)
 class LanguageSettings:
-    """sample: excerpts per language to learn from, at most; excerpt: their characters; languages: the most frequent ones learned."""
+    """sample: excerpts per language to learn from, at most; total: those of all languages, divided among them so that each
+    has one at least; excerpt: their characters."""
 
     sample: int = 1000
     excerpt: int = 300
-    languages: int = 200
+    total: int = 200_000
     window: int = 256
     filters: tuple[tuple[int, int], ...] = ((2, 8), (3, 12), (4, 12))
     embedding: int = 8
@@ -127,15 +128,15 @@ def trained(excerpts: list[tuple[str, bytes]], settings: LanguageSettings) -> By
 
 
 def excerpts(docs: DataFrame, settings: LanguageSettings, doc_id: str, text: str, lang: str, learn: Column) -> list:
-    """At most `sample` excerpts per language, from places and rows chosen by the hash of the id."""
+    """Excerpts of every language, at most `sample` of each, from places and rows chosen by the hash of the id."""
     chance = F.xxhash64(F.col(doc_id), F.lit(settings.seed))
     first = F.pmod(F.shiftright(chance, 7), F.greatest(F.lit(1), F.length(text) - settings.excerpt)).cast("int")
     rows = docs.filter(F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & (F.length(text) > 0) & learn).select(
         F.col(lang).alias("lang"), chance.alias("chance"), F.substring(F.col(text), first + 1, F.lit(settings.excerpt)).alias("text")
     )
-    known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.languages).select("lang")
+    share = max(1, settings.total // max(1, rows.select("lang").distinct().count()))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("chance", "text"))
-    chosen = rows.withColumn("nth", nth).filter(F.col("nth") <= settings.sample).join(F.broadcast(known), "lang")
+    chosen = rows.withColumn("nth", nth).filter(F.col("nth") <= min(settings.sample, share))
     return sorted((row["lang"], row["text"].encode()) for row in chosen.select("lang", "text").collect())
 
 

@@ -59,6 +59,17 @@ def test_language_windows_against_the_network(network):
         assert name == network.languages[int(total.argmax())] and abs(share - total.max() / n) < 1e-4
 
 
+def test_every_language_is_learned(spark):
+    rows = [(i, f"text {i} of l{i % 230}", f"l{i % 230}") for i in range(690)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names = sorted({r[2] for r in rows})
+    assert language.learned(docs, F.lit(True)).languages == names
+    for total, each in ((230 * 2 + 9, 2), (100, 1)):
+        settings = language.LanguageSettings(total=total)
+        found = [name for name, _ in language.excerpts(docs, settings, "doc_id", "text", "lang", F.lit(True))]
+        assert sorted(found) == sorted(names * each)
+
+
 def test_language_of_hard_rows(hard, hard_rows, network, empty):
     found = language.identified(hard, network).collect()
     assert len(found) == len(hard_rows)
