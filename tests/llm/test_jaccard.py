@@ -48,12 +48,12 @@ def linked(docs, settings):
     return sorted(map(tuple, jaccard.linked(docs, settings).collect()), key=repr)
 
 
-@pytest.mark.parametrize("size,percent", [(3, 90)])
+@pytest.mark.parametrize("size,percent", [(3, 90), (5, 80)])
 def test_hard_rows(hard, hard_rows, size, percent):
     assert linked(hard, JaccardSettings(size, percent)) == brute([r[:2] for r in hard_rows], size, percent)
 
 
-@pytest.mark.parametrize("seed,size,percent,small", [(1, 3, 90, 1), (2, 5, 80, 16)])
+@pytest.mark.parametrize("seed,size,percent,small", [(1, 3, 90, 1), (2, 5, 80, 16), (3, 1, 60, 16)])
 def test_chains_of_edits(spark, seed, size, percent, small, monkeypatch):
     """Long chains of small edits, copies, and pairs just above and below the threshold."""
     monkeypatch.setattr(jaccard, "SMALL", small)
