@@ -7,18 +7,24 @@ than D segments at least one is equal: an equi-join on (band, segment, XOR) find
 are verified on the shingles themselves, after a second sketch of 2,048 parity bits, whose Hamming distance is a lower bound of
 the difference too, has ruled out most of them. Bands are such that similar sets lie in the same band or in neighbouring ones.
 
-Equal sets are one class throughout. Groups of classes that share a segment are not expanded into pairs: the member that
-shares most segments with others is their center, and all members are compared with it. Let E(u) be the symmetric
+Equal sets are one class throughout, and classes are the nodes: ids enter only at the end. Keys are counted in rounds, a part
+of them at a time, together with a signature of their members; of keys that the same classes share (most keys of two near copies
+are such) one stays. Groups of classes that share a key are not expanded into pairs: the member that shares most keys with
+others is their center, and all members are compared with it. Let E(u) be the symmetric
 difference of u and its center. Then that of u and v is the symmetric difference of E(u) and E(v); if it is no larger than
 the largest that links u and v although E(u) and E(v) have nothing in common, then both u and v link with the center (the
 bound grows by less than the size does). So members that are in different components after the comparison with the
-center link only if they share elements of E, and a prefix-filtered join on the rarest elements of E finds those pairs. In
-groups of up to 16 members the remaining pairs are few enough to be compared as they are.
+center link only if they share elements of E, and a prefix-filtered join on the rarest elements of E, first of components and
+then of their members, finds those pairs. Two large components that share such elements (a page and its second edition, with
+many near copies each) are not joined member by member: their members are compared with one member of the other
+component, and only those that are near enough to it can have a link across (`border`).
+In groups of up to SMALL members the remaining pairs are few enough to be compared as they are.
 Components are exact, and a group of copies costs about as many comparisons as it has members.
 
 Defined cases: null and empty texts, and texts without words, have no shingles and link with nothing; fewer words than a shingle
-has are one shingle; rows that share an id are one document, whatever their texts; a null id gets the component of its
-equals; an empty table gives no rows; other columns are not looked at.
+has are one shingle; rows that share an id are one document, whatever their texts; a row without an id links like any other and
+gets the component of what it links with, null if none of that has an id; an empty table gives no rows; other columns
+are not looked at.
 """
 
 from __future__ import annotations
@@ -33,12 +39,18 @@ from pyspark.sql import functions as F
 
 from modelyard.llm.bytewords import WordHasher, between_spaces, mixed, shingled
 from modelyard.llm.components import components
-from modelyard.llm.removal import small_side
-from modelyard.session import Scratch, pinned, stored
+from modelyard.llm.removal import small_side, told_apart
+from modelyard.session import Scratch, pinned, release
 
 
 #: Members of groups up to this size are compared with each other, those of larger ones by what they differ in from the center.
 SMALL = 16
+#: Keys are dealt into so many parts, which are counted one after the other where there are many keys, so that the shuffle of a
+#: part, or of a few parts with so many keys together, is what lies on the disks at a time.
+ROUNDS = 8
+AT_A_TIME = 8_000_000
+#: Pairs of components are joined member by member up to so many times as many pairs as they have members.
+EVEN = 4
 
 
 @dataclass(frozen=True)
@@ -83,7 +95,8 @@ class Bands:
 def sketch(elements: np.ndarray, space: int, most: int, segments: int) -> np.ndarray:
     """Join keys of a sorted set of hashes: one per segment that holds something.
 
-    A set with so many empty segments that the rest might all differ also gives keys for its empty ones.
+    A set with so many empty segments that the rest might all differ also gives keys for its empty ones. The last bit of
+    a key tells whether the number of the space is odd.
     """
     at = ((elements >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
     starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
@@ -94,7 +107,14 @@ def sketch(elements: np.ndarray, space: int, most: int, segments: int) -> np.nda
     if len(held) <= most:
         empty = np.setdiff1d(np.arange(segments, dtype=np.uint64), held)
         keys = np.concatenate([keys, mixed(~mixed((np.uint64(space) << np.uint64(32)) + empty))])
-    return keys
+    return (keys & ~np.uint64(1)) | np.uint64(space & 1)
+
+
+def least_shared(elements: np.ndarray, most: int, segments: int) -> int:
+    """How many keys a set shares in a space with any set that it links with, at least: of the segments that hold something at most
+    `most` differ. A set that gives keys for empty segments, too, may meet one that does not."""
+    at = ((elements >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
+    return max(1, 1 + int((at[1:] != at[:-1]).sum()) - most)
 
 
 BITS = 2048
@@ -114,54 +134,87 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def sketched(docs: DataFrame, settings: JaccardSettings, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, s1 and s2 (the class: equal for equal sets), keys (the segments), bits (the bit sketch)."""
+    """doc_id, n_shingles, s1 and s2 (the class: equal for equal sets), keys (the segments, by part), need (how many it shares at
+    least, in even and odd spaces), bits (the bit sketch)."""
 
     def build(batches):
         hasher, bands = WordHasher(between_spaces()), Bands(settings.percent)
         for batch in batches:
-            sizes, s1, s2, keys, bits = [], [], [], [], []
+            sizes, s1, s2, keys, needs, bits = [], [], [], [], [], []
             for words in hasher.rows(batch.column("text")):
                 own = np.unique(shingled(words, settings.words))
                 sizes.append(len(own))
                 s1.append(int(mixed(own).sum(dtype=np.uint64)) if len(own) else 0)
                 s2.append(int(np.bitwise_xor.reduce(mixed(~own))) if len(own) else 0)
-                found = [sketch(own, *space) for space in bands.of(len(own))] if len(own) else []
-                keys.append(np.concatenate(found) if found else np.zeros(0, np.uint64))
+                spaces = bands.of(len(own)) if len(own) else []
+                found, need = [sketch(own, *space) for space in spaces], [0, 0]
+                for number, most, segments in spaces:
+                    need[number & 1] = least_shared(own, most, segments)
+                needs += need
+                held = np.concatenate(found) if found else np.zeros(0, np.uint64)
+                in_round = held % np.uint64(ROUNDS)
+                keys += [held[in_round == i] for i in range(ROUNDS)]
                 bits.append(parity_bits(own) if found else np.zeros(0, np.uint64))
+            ends = np.arange(0, len(keys) + 1, ROUNDS, dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     pa.array(sizes, pa.int64()),
                     pa.array(np.array(s1, np.uint64).view(np.int64)),
                     pa.array(np.array(s2, np.uint64).view(np.int64)),
-                    _lists(keys),
+                    pa.ListArray.from_arrays(pa.array(ends), _lists(keys)),
+                    pa.ListArray.from_arrays(pa.array(np.arange(0, len(needs) + 1, 2, dtype=np.int32)), pa.array(needs, pa.int32())),
                     _lists(bits),
                 ],
-                names=["doc_id", "n_shingles", "s1", "s2", "keys", "bits"],
+                names=["doc_id", "n_shingles", "s1", "s2", "keys", "need", "bits"],
             )
 
     kind = docs.schema[doc_id].dataType.simpleString()
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return chosen.mapInArrow(build, f"doc_id {kind}, n_shingles long, s1 long, s2 long, keys array<long>, bits array<long>")
+    result = f"doc_id {kind}, n_shingles long, s1 long, s2 long, keys array<array<long>>, need array<int>, bits array<long>"
+    return chosen.mapInArrow(build, result)
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, settings: JaccardSettings, doc_id: str, text: str) -> DataFrame:
-    """doc_id, elements: the shingles of the documents in `wanted`."""
+    """node, elements: the shingles of the documents in `wanted`."""
 
     def build(batches):
         hasher = WordHasher(between_spaces())
         for batch in batches:
             own = [np.unique(shingled(words, settings.words)) for words in hasher.rows(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(own)], names=["doc_id", "elements"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), _lists(own)], names=["node", "elements"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kept = chosen.join(small_side(wanted), "doc_id", "left_semi")
-    return kept.mapInArrow(build, f"doc_id {kind}, elements array<long>")
+    chosen = docs.select(F.col(doc_id).alias("node"), F.col(text).alias("text"))
+    kept = chosen.join(small_side(wanted), "node", "left_semi")
+    return kept.mapInArrow(build, f"node {kind}, elements array<long>")
+
+
+def one_key_per_set(segments: DataFrame, scratch: Scratch) -> DataFrame:
+    """key, members, weight: of the keys that several nodes share, one for each set of nodes and how many keys it stands for;
+    `segments` has node and keys by part. Keys of even and of odd spaces are kept apart.
+
+    The signature of a set, its size and two XORs of hashes of its members, is added up before the shuffle.
+    """
+    total = segments.agg(F.sum(F.aggregate("keys", F.lit(0).cast("long"), lambda n, own: n + F.size(own)))).first()[0] or 0
+    parts = max(1, min(ROUNDS, ROUNDS * AT_A_TIME // max(1, total)))
+    rounds = []
+    for first in range(0, ROUNDS, parts):
+        rows = segments.select("node", F.explode(F.flatten(F.slice("keys", first + 1, parts))).alias("key"))
+        marks = [F.bit_xor(F.xxhash64("node", F.lit(salt))).alias(f"mark{salt}") for salt in (1, 2)]
+        counted = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), *marks)
+        rounds.append(scratch.stored(counted.filter("members > 1"), "keys"))
+        if parts < ROUNDS:
+            release(segments.sparkSession)
+    shared = rounds[0]
+    for more in rounds[1:]:
+        shared = shared.unionByName(more)
+    sets = shared.groupBy("members", "mark1", "mark2", F.expr("key & 1L").alias("odd"))
+    return sets.agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("weight")).select("key", "members", "weight")
 
 
 def may_be_shared(segments: DataFrame, keys: DataFrame, bits: int) -> DataFrame:
-    """key, node: the keys of `segments` (doc_id, keys) that fall on a place of a key in `keys`.
+    """key, node, need: the keys of `segments` (node, keys by part, need) that fall on a place of a key in `keys`.
 
     The bitmap has `bits` places whatever the number of keys; it only spares rows that could never join.
     """
@@ -177,29 +230,44 @@ def may_be_shared(segments: DataFrame, keys: DataFrame, bits: int) -> DataFrame:
             row = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
             place = own & (bits - 1)
             at = np.flatnonzero((marks.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(own[at]), batch.column("doc_id").take(pa.array(row[at]))], names=["key", "node"]
-            )
+            need = batch.column("need").flatten().to_numpy()[2 * row[at] + (own[at] & 1)]
+            columns = [pa.array(own[at]), batch.column("node").take(pa.array(row[at])), pa.array(need)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "need"])
 
-    kind = segments.schema["doc_id"].dataType.simpleString()
-    return segments.select("doc_id", "keys").mapInArrow(pick, f"key long, node {kind}")
+    kind = segments.schema["node"].dataType.simpleString()
+    return segments.select("node", F.flatten("keys").alias("keys"), "need").mapInArrow(pick, f"key long, node {kind}, need int")
+
+
+def telling(groups: DataFrame, scratch: Scratch) -> DataFrame:
+    """key, node, members: what is left of the groups when every node keeps only its rarest keys.
+
+    A node that shares at least `need` keys of a space with each node it links with needs only so many of its rarest ones that
+    `need` - 1 are left out; keys that nobody shares come first. What shares a passage with many documents, but too few
+    keys to link with any, leaves all its groups.
+    """
+    own = Window.partitionBy("node", F.expr("key & 1L"))
+    before = F.coalesce(F.sum("weight").over(own.orderBy("members", "key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = groups.withColumn("before", before).withColumn("shared", F.sum("weight").over(own))
+    kept = scratch.stored(ranked.filter("before <= shared - need").select("key", "node"), "rarest")
+    left = pinned(kept.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"))
+    return kept.join(small_side(left), "key")
 
 
 def centered(groups: DataFrame) -> DataFrame:
     """key, center, node: the members of each group beside its center; `groups` has key, node, members.
 
-    The center is the member that shares most segments with others, which the original of edited copies does.
+    The center is the member that shares most keys with others, which the original of edited copies does.
     """
     popular = groups.groupBy("node").agg(F.sum("members").alias("shares"))
     ranked = groups.join(popular, "node").groupBy("key").agg(F.max(F.struct("shares", "node")).alias("best"))
-    chosen = groups.select("key", "node").join(ranked.select("key", F.col("best.node").alias("center")), "key")
-    return chosen.filter("node <> center")
+    chosen = pinned(ranked.select("key", F.col("best.node").alias("center")))
+    return groups.select("key", "node").join(small_side(chosen), "key").filter("node <> center")
 
 
 def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """center, node, n (the node's size) and edits (the symmetric difference)."""
-    nodes = sets.select(F.col("doc_id").alias("node"), F.col("elements").alias("own"))
-    centers = sets.select(F.col("doc_id").alias("center"), F.col("elements").alias("its"))
+    nodes = sets.select("node", F.col("elements").alias("own"))
+    centers = sets.select(F.col("node").alias("center"), F.col("elements").alias("its"))
     edits = F.concat(F.array_except("own", "its"), F.array_except("its", "own"))
     both = pairs.join(nodes, "node").join(centers, "center")
     return both.select("center", "node", F.size("own").alias("n"), edits.alias("edits"))
@@ -209,43 +277,108 @@ def undecided(stars: DataFrame, known: DataFrame) -> DataFrame:
     """center, node, component: the members of groups that hold, beside the center, members of different components."""
     placed = stars.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b")
-    return placed.join(split.select("key"), "key", "left_semi").select("center", "node", "component").distinct()
+    return placed.join(small_side(pinned(split.select("key"))), "key", "left_semi").select("center", "node", "component").distinct()
 
 
 def in_small_groups(groups: DataFrame) -> DataFrame:
-    """u, v: the pairs of groups of at most SMALL members, 15 per member at most."""
+    """u, v: the pairs of groups of at most SMALL members, SMALL - 1 per member at most."""
     few = groups.filter(F.col("members") <= SMALL)
     one, two = few.select("key", F.col("node").alias("u")), few.select("key", F.col("node").alias("v"))
     return one.join(two, "key").filter("u < v").select("u", "v").distinct()
 
 
-def apart(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """u, v: the pairs of undecided members of a star that share rare elements of their edits.
+def apart(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Where members of a star that are in different components might link, as they share rare elements of their edits.
 
+    u, v: pairs of members of components one of which is small; center, a, b: pairs of large components.
     A pair links only if it shares t >= (|E(u)| + |E(v)| - D) / 2 elements, D being the largest difference that links. With
     elements in the order of rarity, the member with fewer edits then has a shared element among its first D / 2 + 1,
-    the other among its first D + 1.
+    the other among its first D + 1. Elements that only one component holds join nothing, however many of its members hold them.
     """
     largest = F.floor((F.col("n") + F.floor(F.col("n") * 100 / percent)) * (100 - percent) / (100 + percent))
     edited = differences(members.select("center", "node"), sets).join(members, ["center", "node"])
     elements = scratch.stored(
-        edited.select(
-            "center", "node", "component", "n", F.size("edits").alias("e"), largest.cast("int").alias("most"), F.explode("edits").alias("element")
-        ),
-        "edits",
+        edited.select("center", "node", "component", largest.cast("int").alias("most"), F.explode("edits").alias("element")), "edits"
+    )
+    seen = elements.groupBy("center", "element").agg(
+        F.count(F.lit(1)).alias("times"), (F.min("component") < F.max("component")).alias("across")
     )
-    seen = elements.groupBy("center", "element").agg(F.count(F.lit(1)).alias("times"))
     nth = F.row_number().over(Window.partitionBy("center", "node").orderBy("times", "element"))
-    ordered = elements.join(seen, ["center", "element"]).withColumn("nth", nth).filter("times > 1 and nth <= most + 1")
+    placed = elements.join(seen, ["center", "element"]).withColumn("nth", nth).filter("across and nth <= most + 1")
+    ordered = scratch.stored(placed.withColumn("few", F.col("nth") <= F.floor(F.col("most") / 2) + 1), "prefixes")
+
+    held = ordered.groupBy("center", "element", "component").agg(F.bool_or("few").alias("few"))
+    one = held.filter("few").select("center", "element", F.col("component").alias("a"))
+    other = held.select("center", "element", F.col("component").alias("b"))
+    met = one.join(other, ["center", "element"]).filter("a <> b").select("center", "element", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    size = members.groupBy("center", "component").agg(F.count(F.lit(1)).alias("size"))
+    sized = (
+        met.distinct()
+        .join(size.select("center", F.col("component").alias("a"), F.col("size").alias("of_a")), ["center", "a"])
+        .join(size.select("center", F.col("component").alias("b"), F.col("size").alias("of_b")), ["center", "b"])
+        .withColumn("even", F.col("of_a") * F.col("of_b") <= EVEN * (F.col("of_a") + F.col("of_b")))
+    )
+    sized = scratch.stored(sized, "met")
+
+    def side(component, node):
+        return ordered.select("center", "element", F.col("component").alias(component), F.col("node").alias(node))
+
+    small = sized.filter("even").select("center", "element", "a", "b")
+    pairs = small.join(side("a", "u"), ["center", "element", "a"]).join(side("b", "v"), ["center", "element", "b"])
+    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    return pairs, sized.filter("not even").select("center", "a", "b").distinct()
+
 
-    def side(rows, letter):
-        return rows.select("center", "element", *[F.col(c).alias(c + letter) for c in ("node", "component", "e", "n")])
+def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """u, v, n (the size of u) and d (the size of the symmetric difference) of distinct pairs."""
+    first = sets.select(F.col("node").alias("u"), F.col("elements").alias("of_u"))
+    second = sets.select(F.col("node").alias("v"), F.col("elements").alias("of_v"))
+    shared = F.size(F.array_intersect("of_u", "of_v"))
+    d = (F.size("of_u") + F.size("of_v") - 2 * shared).cast("long")
+    return pairs.join(first, "u").join(second, "v").select("u", "v", F.size("of_u").cast("long").alias("n"), d.alias("d"))
 
-    few, many = side(ordered.filter(F.col("nth") <= F.floor(F.col("most") / 2) + 1), "_u"), side(ordered, "_v")
-    alike = (F.col("component_u") != F.col("component_v")) & (F.col("e_u") <= F.col("e_v"))
-    alike &= 100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")
-    pairs = few.join(many, ["center", "element"]).filter(alike)
-    return pairs.select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v")).distinct()
+
+def border(large: DataFrame, members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """center, a, b, side, node, reach, best0, best1: the members of two large components that might link across.
+
+    Let p and q be members of a and b. Then d(u, v) >= (d(u, q) - d(u, p) + d(v, p) - d(v, q)) / 2 for u in a and v in b, by the
+    triangle inequality. So the distances of all members to p and q, as many as members, tell which might reach the
+    other component: reach is what u adds to the bound on a link, which holds if the sum for u and v is not negative.
+    """
+    heads = members.groupBy("center", "component").agg(F.min("node").alias("head"))
+    two = large.join(heads.select("center", F.col("component").alias("a"), F.col("head").alias("p")), ["center", "a"]).join(
+        heads.select("center", F.col("component").alias("b"), F.col("head").alias("q")), ["center", "b"]
+    )
+
+    def side(number, component, own, other):
+        rows = two.join(members.select("center", F.col("component").alias(component), "node"), ["center", component])
+        return rows.select("center", "a", "b", F.lit(number).alias("side"), "node", F.col(own).alias("own"), F.col(other).alias("other"))
+
+    sides = scratch.stored(side(0, "a", "p", "q").unionByName(side(1, "b", "q", "p")), "sides")
+    wanted = [sides.select(F.col("node").alias("u"), F.col(c).alias("v")) for c in ("own", "other")]
+    known = scratch.stored(distances(wanted[0].unionByName(wanted[1]).distinct(), sets), "distances")
+    to_own = known.select(F.col("u").alias("node"), F.col("v").alias("own"), "n", F.col("d").alias("d_own"))
+    to_other = known.select(F.col("u").alias("node"), F.col("v").alias("other"), F.col("d").alias("d_other"))
+    reach = (100 + percent) * (F.col("d_own") - F.col("d_other")) + 2 * (100 - percent) * F.col("n")
+    reached = sides.join(to_own, ["node", "own"]).join(to_other, ["node", "other"]).select("center", "a", "b", "side", "node", reach.alias("reach"))
+    reached = scratch.stored(reached, "reach")
+    best = reached.groupBy("center", "a", "b").agg(
+        *[F.max(F.when(F.col("side") == i, F.struct("reach", "node"))).alias(f"best{i}") for i in (0, 1)]
+    )
+    opposite = F.when(F.col("side") == 0, F.col("best1.reach")).otherwise(F.col("best0.reach"))
+    return scratch.stored(reached.join(best, ["center", "a", "b"]).filter(F.col("reach") + opposite >= 0), "border")
+
+
+def across(borders: DataFrame, best: bool) -> DataFrame:
+    """a, b, u, v: the pairs that might link; with `best` those only of the two members that reach furthest, which are no
+    more than members."""
+    u = borders.filter("side = 0").select("center", "a", "b", F.col("node").alias("u"), F.col("reach").alias("of_u"), "best0")
+    v = borders.filter("side = 1").select("center", "a", "b", F.col("node").alias("v"), F.col("reach").alias("of_v"), "best1")
+
+    def met(u, v):
+        return u.join(v, ["center", "a", "b"]).filter("of_u + of_v >= 0").select("a", "b", "u", "v")
+
+    return met(u.filter("u = best0.node"), v).unionByName(met(u, v.filter("v = best1.node"))) if best else met(u, v)
 
 
 def may_link(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
@@ -260,61 +393,77 @@ def may_link(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the distinct pairs (u, v) that are similar enough."""
-    first = sets.select(F.col("doc_id").alias("u"), F.col("elements").alias("of_u"))
-    second = sets.select(F.col("doc_id").alias("v"), F.col("elements").alias("of_v"))
+    first = sets.select(F.col("node").alias("u"), F.col("elements").alias("of_u"))
+    second = sets.select(F.col("node").alias("v"), F.col("elements").alias("of_v"))
     shared = F.size(F.array_intersect("of_u", "of_v")).cast("long")
     union = F.size("of_u") + F.size("of_v") - shared
     return pairs.join(first, "u").join(second, "v").filter(100 * shared >= percent * union).select("u", "v").distinct()
 
 
-def linked(
-    docs: DataFrame, settings: JaccardSettings | None = None, doc_id: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id reachable by links); one row per document."""
-    settings = settings or JaccardSettings()
+def class_links(segments: DataFrame, docs: DataFrame, settings: JaccardSettings, doc_id: str, text: str, scratch: Scratch) -> DataFrame:
+    """node, component: what links between classes reach; `segments` has node, n, keys, need, bits of each class."""
     percent = settings.percent
-    rows = stored(sketched(docs, settings, doc_id, text), "sketches")
-    equal = ["s1", "s2", "n_shingles"]
-    full = rows.filter("n_shingles > 0")
-    classes = pinned(full.groupBy(*equal).agg(F.min("doc_id").alias("node")))
-
-    ids = full.select("doc_id", *equal)
-    own = classes.select(F.col("node").alias("doc_id"), *equal)
-    copies = pinned(ids.join(own, ["doc_id", *equal], "left_anti").distinct())
-    of_classes = full.filter("size(keys) > 0").join(small_side(copies), ["doc_id", *equal], "left_anti").filter("doc_id is not null")
-    segments = of_classes.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))
-    counted = segments.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
-    scratch = Scratch(docs.sparkSession)
-    shared = scratch.stored(counted.filter("members > 1"), "keys")
-    groups = scratch.stored(may_be_shared(of_classes, shared, settings.bits).join(shared, "key"), "groups")
+    kept = scratch.stored(one_key_per_set(segments, scratch), "sets-of-nodes")
+    groups = scratch.stored(telling(may_be_shared(segments, kept, settings.bits).join(kept, "key"), scratch), "groups")
+    release(docs.sparkSession)
     # Of most candidates the bit sketches say that they cannot link; only the others' shingles are fetched.
-    bits = of_classes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bits")
-    shown = scratch.stored(bits.join(groups.select("node").distinct(), "node", "left_semi").distinct(), "bits")
+    held = pinned(groups.select("node").distinct())
+    shown = scratch.stored(segments.select("node", "n", "bits").join(small_side(held), "node", "left_semi"), "bits")
     crowds = groups.filter(F.col("members") > SMALL)
     stars = scratch.stored(centered(crowds), "stars")
     ordered = stars.select(F.least("center", "node").alias("u"), F.greatest("center", "node").alias("v"))
-    candidates = in_small_groups(groups).unionByName(ordered).distinct()
+    candidates = in_small_groups(groups).unionByName(ordered.distinct()).distinct()
     near = scratch.stored(may_link(candidates, shown, percent), "near")
-    needed = near.select(F.col("u").alias("doc_id")).unionByName(near.select(F.col("v").alias("doc_id")))
-    members = pinned(needed.unionByName(crowds.select(F.col("node").alias("doc_id"))).distinct())
-    sets = scratch.stored(shingle_sets(docs, members, settings, doc_id, text), "sets")
+    ends = near.select(F.col("u").alias("node")).unionByName(near.select(F.col("v").alias("node")))
+    needed = pinned(ends.unionByName(crowds.select("node")).distinct())
+    sets = scratch.stored(shingle_sets(docs, needed, settings, doc_id, text), "shingles")
 
-    # Ids that stand for several texts link the classes of these.
-    class_of = F.struct(*equal)
-    several = ids.groupBy("doc_id").agg(F.min(class_of).alias("a"), F.max(class_of).alias("b")).filter("a < b and doc_id is not null")
-    repeated = ids.join(several.select("doc_id"), "doc_id", "left_semi").join(classes, equal)
-    same_id = repeated.select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
-
-    links = pinned(verified(near, sets, percent).unionByName(same_id))
+    links = pinned(verified(near, sets, percent))
     members = scratch.stored(undecided(stars, components(links)), "undecided")
-    further = may_link(apart(members, sets, percent, scratch), shown, percent)
-    more = verified(further, sets, percent)
-    final = components(links.unionByName(more))
-    scratch.clear()  # the components are checkpointed
-
-    placed = classes.join(final, "node", "left").select(*equal, F.coalesce("component", "node").alias("component_id"))
-    return (
-        rows.select("doc_id", *equal)
-        .join(placed, equal, "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    )
+    if members.isEmpty():
+        return components(links)
+    pairs, large = apart(members, sets, percent, scratch)
+    links = pinned(links.unionByName(verified(may_link(pairs, shown, percent), sets, percent)))
+    if large.isEmpty():
+        return components(links)
+    borders = border(large, members, sets, percent, scratch)
+    furthest = across(borders, best=True).select("u", "v").distinct()
+    links = pinned(links.unionByName(verified(may_link(furthest, shown, percent), sets, percent)))
+    found = components(links)
+    names = [found.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in ("a", "b")]
+    still = borders.join(names[0], "a", "left").join(names[1], "b", "left").filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+    rest = across(still, best=False).select("u", "v").distinct()
+    return components(links.unionByName(verified(may_link(rest, shown, percent), sets, percent)))
+
+
+def linked(
+    docs: DataFrame, settings: JaccardSettings | None = None, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest id reachable by links); one row per document."""
+    settings = settings or JaccardSettings()
+    docs, row = told_apart(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id")
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.stored(sketched(docs, settings, row, "text").withColumnRenamed("doc_id", "row"), "sketches")
+    equal = ["s1", "s2", "n_shingles"]
+    full = rows.filter("n_shingles > 0")
+    classes = pinned(full.groupBy(*equal).agg(F.min("row").alias("node")))
+    copies = pinned(full.select("row").join(classes.select(F.col("node").alias("row")), "row", "left_anti"))
+    of_classes = full.filter("size(flatten(keys)) > 0").join(small_side(copies), "row", "left_anti")
+    segments = of_classes.select(F.col("row").alias("node"), F.col("n_shingles").alias("n"), "keys", "need", "bits")
+    found = class_links(segments, docs, settings, row, "text", scratch)
+
+    named = classes.join(found, "node", "left").select(*equal, F.coalesce("component", "node").alias("component"))
+    placed = pinned(rows.select("row", *equal).join(named, equal, "left").select("row", "n_shingles", "component"))
+    scratch.clear()  # what is needed of them is checkpointed
+    if row == "doc_id":
+        return placed.select(F.col("row").alias("doc_id"), "n_shingles", F.coalesce("component", "row").alias("component_id"))
+    # Rows that share an id are one document, so that their components are one; then components take their smallest id.
+    ids = placed.join(docs.select(F.col(row).alias("row"), "doc_id"), "row")
+    least = ids.filter("component is not null and doc_id is not null").groupBy("doc_id", "component").count()
+    first = least.groupBy("doc_id").agg(F.min("component").alias("v"))
+    joined = components(least.join(first, "doc_id").select(F.col("component").alias("u"), "v"))
+    whole = joined.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    ids = ids.join(whole, "component", "left").withColumn("whole", F.coalesce("whole", "component"))
+    smallest = ids.filter("whole is not null").groupBy("whole").agg(F.min("doc_id").alias("component_id"))
+    known = ids.join(smallest, "whole", "left")
+    return known.select("doc_id", "n_shingles", F.when(F.col("whole").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -231,11 +231,14 @@ def learned(
     text: str = "text",
     label: str = "quality",
 ) -> AdditiveModel:
-    """The model of a bounded number of labelled documents; `learn` is a condition on the columns of `labels`."""
+    """The model of a bounded number of labelled documents; `learn` is a condition on the columns of `labels`.
+
+    Of rows that share an id, the one with the smallest features counts, chosen before anything is sent to the driver.
+    """
     settings = settings or AdditiveSettings()
     sample = F.broadcast(chosen_labels(labels, learn, doc_id, label, settings.sample, settings.seed))
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(sample, "doc_id")
-    found = measured(texts, ["doc_id", "label"]).toArrow()
+    found = measured(texts, ["doc_id", "label"]).groupBy("doc_id", "label").agg(F.min("features").alias("features")).toArrow()
     order = np.lexsort((found.column("label").to_numpy(), found.column("doc_id").to_numpy()))
     features = found.column("features").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))[order]
     return fitted(features, (found.column("label").to_numpy()[order] > 0).astype(float), settings)

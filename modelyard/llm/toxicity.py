@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from modelyard.llm.bytewords import WordHasher, letters_and_digits, mixed
 from modelyard.llm.learning import chosen_labels
+from modelyard.session import pinned
 
 PREFIXES = (5, 7)
 
@@ -78,16 +79,24 @@ class ToxicityModel:
         return np.concatenate(found) if found else np.zeros(0)
 
 
-def without_copies(docs: list[np.ndarray]) -> list[np.ndarray]:
-    """One of each group of near copies, by eight minima of hashes, so that a copied text does not pass for evidence."""
-    salts = mixed(np.arange(1, 9, dtype=np.uint64))
-    docs = [d for d in docs if len(d)]
-    least = np.array([[mixed(d ^ s).min() for s in salts] for d in docs], np.uint64).reshape(-1, 8)
+def minima(held: np.ndarray) -> np.ndarray:
+    """Eight minima of hashes of what a document holds."""
+    return np.array([mixed(held ^ salt).min() for salt in mixed(np.arange(1, 9, dtype=np.uint64))], np.uint64)
+
+
+def one_of_each(least: np.ndarray) -> list[int]:
+    """Which rows of minima to keep: the first of each group of near copies, so that a copied text does not pass for evidence."""
     kept = []
-    for i in range(len(docs)):
+    for i in range(len(least)):
         if not kept or (least[kept] == least[i]).sum(1).max() < 4:
             kept.append(i)
-    return [docs[i] for i in kept]
+    return kept
+
+
+def without_copies(docs: list[np.ndarray]) -> list[np.ndarray]:
+    """One of each group of near copies."""
+    docs = [d for d in docs if len(d)]
+    return [docs[i] for i in one_of_each(np.array([minima(d) for d in docs], np.uint64).reshape(-1, 8))]
 
 
 def candidates(positive: list[np.ndarray], settings: ToxicitySettings) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +108,11 @@ def candidates(positive: list[np.ndarray], settings: ToxicitySettings) -> tuple[
 
 def fitted(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, settings: ToxicitySettings) -> ToxicityModel:
     """The non-negative risk: prior * loss(toxic as toxic) + max(0, loss(unlabelled as clean) - prior * loss(toxic as clean))."""
-    positive = without_copies(positive)
+    return fitted_to(without_copies(positive), unlabelled, prior, settings)
+
+
+def fitted_to(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, settings: ToxicitySettings) -> ToxicityModel:
+    """The same from toxic documents without near copies; features that too few of them hold may have been left out."""
     if not positive or not unlabelled:
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), -30.0)
     names, n = candidates(positive, settings)
@@ -170,29 +183,66 @@ def learned(
     prior = known.agg(F.avg((F.col(label) > 0).cast("double"))).first()[0] or 0.0
     toxic = chosen_labels(known.filter(F.col(label) > 0), F.lit(True), doc_id, label, settings.positive, settings.seed)
     texts = docs.filter(learn & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    positive = without_copies(_collected(texts, toxic))
-    names = docs.sparkSession.sparkContext.broadcast(candidates(positive, settings)[0])
+    confirmed = pinned(_holding(texts, toxic).filter("size(held) > 0"))
+    least = confirmed.select("doc_id", "least").orderBy("doc_id").toArrow().combine_chunks()
+    marks = least.column("least").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, 8)
+    ids = pa.table([least.column("doc_id").take(pa.array(one_of_each(marks), pa.int64()))], names=["doc_id"])
+    if not ids.num_rows:
+        return fitted_to([], [], prior, settings)
+    kept = confirmed.join(F.broadcast(docs.sparkSession.createDataFrame(ids)), "doc_id")
+    # A feature that too few hold is no candidate: the driver gets those that a hundredth of the kept documents hold at least.
+    enough = max(settings.least, settings.least_share * ids.num_rows)
+    shared = kept.select(F.explode("held").alias("feature")).groupBy("feature").count().filter(F.col("count") >= enough)
+    names = np.sort(shared.select("feature").toArrow().column(0).to_numpy().view(np.uint64))
     order = F.xxhash64("doc_id", F.lit(settings.seed + 1))
     some = texts.select("doc_id").distinct().orderBy(order, "doc_id").limit(settings.unlabelled)
-    return fitted(positive, _collected(texts, some, names), prior, settings)
+    positive, unlabelled = _collected(kept, names), _collected(_holding(texts, some, names), names)
+    return fitted_to(positive, unlabelled, prior, settings)
 
 
-def _collected(texts: DataFrame, sample: DataFrame, names=None) -> list[np.ndarray]:
-    """What the sampled documents hold, in the order of their ids; of broadcast `names` only, if given."""
+def _holding(texts: DataFrame, sample: DataFrame, names: np.ndarray | None = None) -> DataFrame:
+    """doc_id, held (distinct hashes, of `names` only, if given), least (its minima): one row per id of the sample.
+
+    Of rows that share an id, the one that holds the smallest list counts.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(names) if names is not None else None
 
     def hashes(batches):
         hasher = WordHasher(letters_and_digits(), prefixes=PREFIXES)
         for batch in batches:
             own = list(held(hasher, batch.column("text")))
-            if names is not None:
-                own = [np.intersect1d(d, names.value, assume_unique=True) for d in own]
-            ends = pa.array(np.cumsum([0, *map(len, own)], dtype=np.int32))
-            flat = np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(ends, pa.array(flat))], names=["doc_id", "held"])
+            if sent is not None:
+                own = [np.intersect1d(d, sent.value, assume_unique=True) for d in own]
+            least = [minima(d) if len(d) else d for d in own]
+            lists = []
+            for rows in (own, least):
+                ends = pa.array(np.cumsum([0, *map(len, rows)], dtype=np.int32))
+                lists.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.uint64), *rows]).view(np.int64))))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], names=["doc_id", "held", "least"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     rows = texts.join(F.broadcast(sample.select("doc_id")), "doc_id")
-    found = rows.mapInArrow(hashes, f"doc_id {kind}, held array<long>").orderBy("doc_id").toArrow()
+    found = rows.mapInArrow(hashes, f"doc_id {kind}, held array<long>, least array<long>")
+    return found.groupBy("doc_id").agg(F.min(F.struct("held", "least")).alias("own")).select("doc_id", "own.held", "own.least")
+
+
+def _collected(holding: DataFrame, names: np.ndarray) -> list[np.ndarray]:
+    """What documents hold of `names`, in the order of their ids."""
+    sent = holding.sparkSession.sparkContext.broadcast(names)
+
+    def pick(batches):
+        for batch in batches:
+            lists = batch.column("held")
+            own, ends = lists.flatten().to_numpy().view(np.uint64), np.diff(lists.offsets.to_numpy())
+            same = np.isin(own, sent.value)
+            row = np.repeat(np.arange(len(ends)), ends)[same]
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(ends)))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(own[same].view(np.int64)))], names=["doc_id", "held"]
+            )
+
+    kind = holding.schema["doc_id"].dataType.simpleString()
+    found = holding.select("doc_id", "held").mapInArrow(pick, f"doc_id {kind}, held array<long>").orderBy("doc_id").toArrow()
     lists = found.column("held").combine_chunks()
     ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
     return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]

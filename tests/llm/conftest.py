@@ -7,7 +7,9 @@ import random
 import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-CLASHING = "score double, lang_pred string, size long, key long, node long, words string, label int, items string, n long"
+CLASHING = "score double, lang_pred string, size long, key long, node long, words string, label int, items string, n long, "
+CLASHING += "_quality string, quality string, _language string, language string, share double, _row string, row string, _gone int, gone int, "
+CLASHING += "member long, component_id long, place string, first string, id string, times long, component string"
 
 
 def sentence(rng: random.Random, words: int) -> str:

@@ -156,3 +156,72 @@ def test_toxicity_without_labels(spark, hard, empty):
     model = toxicity.learned(hard, none, F.lit(True))
     assert {r["score"] for r in toxicity.scored(hard, model, ["doc_id"]).collect()} == {0.0}
     assert toxicity.scored(empty, toxicity.learned(empty, none, F.lit(True)), ["doc_id"]).count() == 0
+
+
+def test_repeated_labelled_ids_send_one_row(spark):
+    """An id that owns most rows gives the driver one of them; another order of the rows changes nothing."""
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join([*rng.choice(words, 30), *(["bad", "worse"] if i % 4 == 0 else [])])) for i in range(200)]
+    rows += [(8, rows[8][1])] * 5000 + [(12, "other text bad worse")] * 2000
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0), int(i % 4 != 0)) for i in range(200)], "doc_id long, toxic int, quality int")
+    settings = toxicity.ToxicitySettings(unlabelled=150)
+    models = [toxicity.learned(d, labels, F.lit(True), settings) for d in (docs.repartition(3), docs.repartition(8).orderBy(F.desc("text")))]
+    assert np.array_equal(models[0].features, models[1].features) and np.array_equal(models[0].weights, models[1].weights)
+    scores = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, models[0], ["doc_id"]).collect()}
+    assert min(scores[i] for i in range(0, 200, 4)) > 0.5 > max(scores[i] for i in range(200) if i % 4)
+    sizes, plain = [], quality.fitted
+    quality.fitted = lambda features, *rest: sizes.append(len(features)) or plain(features, *rest)
+    try:
+        quality.learned(docs, labels, F.lit(True))
+    finally:
+        quality.fitted = plain
+    assert sizes == [200]
+
+
+def test_toxicity_fits_like_a_plain_loop():
+    """The same documents, given whole, give the same model as features chosen and counted by hand."""
+    rng = np.random.default_rng(6)
+    docs = [np.unique(rng.integers(0, 300, 40)).astype(np.uint64) for _ in range(60)]
+    settings = toxicity.ToxicitySettings(least=8, steps=30)
+    names, n = toxicity.candidates(docs, settings)
+    counts = {}
+    for doc in docs:
+        for feature in doc.tolist():
+            counts[feature] = counts.get(feature, 0) + 1
+    assert dict(zip(names.tolist(), n.tolist(), strict=True)) == {f: c for f, c in counts.items() if c >= 8}
+    cut = [d[np.isin(d, names)] for d in docs]
+    whole, part = toxicity.fitted_to(docs, docs[:30], 0.3, settings), toxicity.fitted_to(cut, docs[:30], 0.3, settings)
+    assert np.array_equal(whole.features, part.features) and np.array_equal(whole.weights, part.weights) and whole.bias == part.bias
+
+
+def test_first_boosting_cycle_by_hand():
+    """One tree of depth two on one feature, with the gains summed row by row."""
+    rng = np.random.default_rng(7)
+    features = np.zeros((300, len(quality.FEATURES)))
+    features[:, 0] = rng.integers(0, 6, 300)
+    label = (rng.random(300) < np.where(features[:, 0] > 2, 0.9, 0.2)).astype(float)
+    settings = quality.AdditiveSettings(rounds=1, pairs=0, leaf=10)
+    model = quality.fitted(features, label, settings)
+    share = label.mean()
+    base = np.log(share / (1 - share))
+
+    def best_cut(rows, depth):
+        values = sorted(set(features[rows, 0]))
+        sums = lambda at: ((label[at] - share).sum(), len(at) * share * (1 - share))
+        gain = lambda s: s[0] ** 2 / (s[1] + 1)
+        whole, best = sums(rows), None
+        for cut in values[1:] if depth else []:
+            low, high = [rows[f] for f in (features[rows, 0] < cut, features[rows, 0] >= cut)]
+            if min(len(low), len(high)) >= settings.leaf:
+                found = gain(sums(low)) + gain(sums(high))
+                if found > gain(whole) + 1e-12 and (best is None or found > best[0] + 1e-12):
+                    best = found, low, high
+        if best is None:
+            return {v: whole[0] / (whole[1] + 1) for v in values}
+        return best_cut(best[1], depth - 1) | best_cut(best[2], depth - 1)
+
+    steps = best_cut(np.arange(300), 2)
+    want = 1 / (1 + np.exp(-(base + settings.rate * np.array([steps[v] for v in features[:, 0]]))))
+    assert np.allclose(model.score(features), want)

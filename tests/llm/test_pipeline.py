@@ -65,6 +65,21 @@ def test_mix(steps):
     assert total[0] - 60 <= total[1] <= total[0]
 
 
+def test_run_gives_the_rows_of_its_stages(spark, sf, steps):
+    """The registered query against the stages one by one, which are compared with brute force here."""
+    found = corpus_pipeline.run(spark, sf)
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, steps[-1][2].select(found.columns).collect()), key=repr)
+
+
+def test_columns_of_the_table_come_back_as_they_were(spark, hard, sf):
+    """Columns with the names that stages would give their own keep their values."""
+    mine = hard.withColumns({"_quality": F.lit("mine"), "language": F.lit("mine"), "row": F.lit("mine"), "gone": F.lit(7), "member": F.lit(8)})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, mine, sf)
+        assert kept.columns == mine.columns and kept.count() > 0, name
+        assert kept.select("_quality", "language", "row", "gone", "member").distinct().collect() == [("mine", "mine", "mine", 7, 8)], name
+
+
 def test_run_is_all_stages(spark, sf, monkeypatch):
     """Every stage in order, each on what the one before has written."""
     seen = []
