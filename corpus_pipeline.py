@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from modelyard.llm import decontaminate, jaccard, language, mixing, quality
 from modelyard.llm.learning import held_out
-from modelyard.llm.removal import all_but_first, told_apart, without
-from modelyard.session import pinned, stored
+from modelyard.llm.removal import all_but_first, fresh, told_apart, without
+from modelyard.session import Scratch, pinned
 
 SURE_OF_LANGUAGE = 0.5
 GOOD_ENOUGH = 0.3
@@ -21,8 +21,9 @@ GOOD_ENOUGH = 0.3
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter go, and those whose language is not told with a share of at least 0.5."""
     network = language.learned(docs, ~held_out(F.col("doc_id"), 4, 2))
-    found = language.identified(docs, network, names=("_language", "_sure"))
-    kept = found.filter((F.col("_language") != language.UNKNOWN) & (F.col("_sure") >= SURE_OF_LANGUAGE))
+    name, share = fresh("language", docs), fresh("share", docs)
+    found = language.identified(docs, network, names=(name, share))
+    kept = found.filter((F.col(name) != language.UNKNOWN) & (F.col(share) >= SURE_OF_LANGUAGE))
     return kept.select(*docs.columns)
 
 
@@ -30,14 +31,15 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents with a quality score below 0.3 go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.learned(docs, labels, ~held_out(F.col("doc_id"), 5, 0))
-    return quality.scored(docs, model, name="_quality").filter(F.col("_quality") >= GOOD_ENOUGH).select(*docs.columns)
+    name = fresh("quality", docs)
+    return quality.scored(docs, model, name=name).filter(F.col(name) >= GOOD_ENOUGH).select(*docs.columns)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that five-word shingles link at a similarity of 0.8 or more, the one with the smallest id stays."""
     rows, row = told_apart(docs)
     found = jaccard.linked(rows, jaccard.JaccardSettings(words=5, percent=80), doc_id=row)
-    groups = pinned(found.select(F.col("doc_id").alias("_member"), "component_id"))
+    groups = pinned(found.select(F.col("doc_id").alias("member"), "component_id"))
     return without(rows, all_but_first(rows, groups, row), row).select(*docs.columns)
 
 
@@ -67,7 +69,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over `documents`; what a stage has written is deleted once the next one has read it."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.lower().replace(" ", "-"))
+        scratch = Scratch(spark)
+        docs = scratch.stored(stage(spark, docs, sf_dir), name.lower().replace(" ", "-"))
+        if last is not None:
+            last.clear()
+        last = scratch
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -69,6 +69,40 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def write_whole(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there as a whole or not at all: written beside its place and then renamed."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    beside = spark._jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}-{uuid.uuid4().hex}")
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(beside, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    files.delete(target, False)
+    if not files.rename(beside, target):
+        raise OSError(f"cannot rename to {path}")
+
+
+def read_whole(spark: SparkSession, path: str) -> str:
+    """A small file written by `write_whole`."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).open(target)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """The names of what is in a folder, nothing if there is no such folder."""
+    if not is_folder(spark, folder):
+        return []
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return sorted(status.getPath().getName() for status in found)
+
+
 def pinned(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, so that partition numbers stay what they are."""
     shared_root(df.sparkSession)
@@ -92,7 +126,6 @@ class Scratch:
         path = new_folder(self.spark, purpose)
         self.paths.append(path)
         df.write.parquet(path)
-        release(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def clear(self) -> None:
