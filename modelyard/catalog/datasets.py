@@ -421,3 +421,28 @@ def visible_files(spark, sf):
     """Files of the dataset folder itself, with the rows that one of them holds."""
     found = files.visible(files.list_files(spark, sf)).select("relative", "name", "ext", "dir", (F.col("length") > 0).alias("filled"))
     return found.withColumn("regions", F.lit(table(spark, sf, "region").count()))
+
+
+@query(
+    """SELECT 'lang=' || coalesce(lang, '__HIVE_DEFAULT_PARTITION__') || '/part=' || (doc_id % 7) AS dir,
+      CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS bytes FROM documents GROUP BY ALL"""
+)
+def listed_bytes(spark, sf):
+    """Bytes per directory of a dataset of files, found by listing what the documents were written to."""
+    folder = new_folder(spark, "listed")
+    documents = table(spark, sf, "documents").select("lang", (F.col("doc_id") % 7).alias("part"), F.coalesce("text", F.lit("")).alias("value"))
+    documents.write.partitionBy("lang", "part").text(folder)
+    found = files.visible(files.list_files(spark, folder)).filter(F.col("ext") == ".txt")
+    return found.groupBy("dir").agg(F.sum("length").alias("bytes"))
+
+
+@query(
+    r"""SELECT page_id, name FROM (SELECT page_id,
+      regexp_replace(regexp_extract(regexp_extract(url, '^[^?#]*', 0), '[^/]*$', 0), '^[13579]', '.') AS name FROM pages)
+    WHERE name NOT LIKE '.%'"""
+)
+def visible_names(spark, sf):
+    """Page names that are not hidden; a leading odd digit counts as a dot."""
+    path = F.regexp_extract("url", r"^[^?#]*", 0)
+    name = F.regexp_replace(F.regexp_extract(path, r"[^/]*$", 0), "^[13579]", ".")
+    return files.visible(table(spark, sf, "pages").select("page_id", name.alias("name")))

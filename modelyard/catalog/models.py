@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from modelyard.catalog.fixtures import CLASSES, HIDDEN, SCORED_SQL, fixed_parameters
@@ -15,7 +17,7 @@ from modelyard.plans.network import Network, evaluated, gradient_job, optimizer,
 from modelyard.plans.training import TrainingSettings, dry_run as try_out, epoch_log, train
 from modelyard.operators.runs import final_progress
 from modelyard.session import new_folder
-from modelyard.sources.tables import best_or_last_epoch, load_parameters, read_checkpoints, table
+from modelyard.sources.tables import best_or_last_epoch, load_parameters, marked_epochs, read_checkpoints, table, write_checkpoint
 from modelyard.streaming.common import run_available, table_stream
 
 
@@ -244,6 +246,45 @@ def train_run(spark, sf):
     )
 
 
+class Stopped(Exception):
+    """Stands for the loss of the driver."""
+
+
+@query(
+    f"""SELECT epoch, phase, true AS same, true AS parameters_same, CAST(5 AS BIGINT) AS marked
+    FROM (SELECT DISTINCT CASE WHEN split = 'train' THEN 'training' ELSE 'validation' END AS phase FROM ({SPLIT_SQL})),
+         (SELECT unnest(range(1, 6)) AS epoch)"""
+)
+def resumed_run(spark, sf):
+    """A run that is cut off behind its third epoch, with its fourth half written, and goes on: bit by bit the epochs and parameters
+    of a run that nothing interrupts."""
+    path = new_folder(spark, "checkpoints")
+    rows = table(spark, sf, "embeddings")
+
+    def run(name, resume=False, after_epoch=None):
+        settings = TrainingSettings(5, 2, 0.01, run_id=name, checkpoint_path=path, resume=resume)
+        return train(rows, "vec_id", "embedding", "label", NETWORK, settings, after_epoch)
+
+    def stop(epoch):
+        if epoch == 3:
+            raise Stopped
+
+    whole = run("whole")
+    try:
+        run("cut", after_epoch=stop)
+    except Stopped:
+        half = {name: value + 1 for name, value in load_parameters(read_checkpoints(spark, path, "cut"), 3).items()}
+        write_checkpoint(spark, path, 4, half, 1.0, 1.0, "cut")
+    resumed = run("cut", resume=True)
+    same = all(np.array_equal(whole.parameters[name], resumed.parameters[name]) for name in whole.parameters)
+    both = whole.epochs(spark).join(resumed.epochs(spark).select("epoch", "phase", F.struct("loss", "accuracy").alias("told")), ["epoch", "phase"], "full")
+    marked = len(marked_epochs(spark, path, "cut"))
+    return both.select(
+        F.col("epoch").cast("bigint"), "phase", F.col("told").eqNullSafe(F.struct("loss", "accuracy")).alias("same"), F.lit(same).alias("parameters_same"),
+        F.lit(marked).cast("bigint").alias("marked"),
+    )
+
+
 @query("SELECT vec_id, true AS a_class, true AS sure, true AS whole, false AS bad FROM embeddings")
 def trained_scores(spark, sf):
     """Every row scored with the best checkpoint of a short run: is the prediction a class and its confidence its share."""

@@ -13,9 +13,11 @@ from modelyard.catalog.registry import query
 from modelyard.functions.runlog import LINE_FIELDS
 from modelyard.operators import lifecycle, runs
 from modelyard.session import new_folder
+from modelyard.sources.logs import SCHEMA as RAW_SCHEMA, raw_line_stream, raw_lines
 from modelyard.sources.tables import append_states, read_states, table
 from modelyard.streaming.common import STATE_BATCH_BYTES, run_available, table_stream
 from modelyard.streaming.lifecycle import follow_stream, moves_schema, track_moves
+from modelyard.streaming.outcomes import TOLD_SCHEMA, follow_outcomes, last_outcomes
 from modelyard.streaming.progress import FIELDS, STATE_SCHEMA, fold_stream, folded_progress, follow_progress, last_progress
 
 FIELD_SQL = ", ".join("val_acc AS best_acc" if n == "best_acc" else n for n in LINE_FIELDS)
@@ -27,15 +29,18 @@ def event_lines(spark, sf):
     return log_lines(table(spark, sf, "events"))
 
 
-def exit_codes(spark, sf):
+def with_code(users):
     """Every third run left with code 0, the others with 1."""
-    users = table(spark, sf, "events").select("user_id").distinct()
     return users.select(
         F.col("user_id").cast("string").alias("run_id"),
         F.when(F.col("user_id") % 3 == 0, 0).otherwise(1).alias("exit_code"),
     )
 
 
+def exit_codes(spark, sf):
+    return with_code(table(spark, sf, "events").select("user_id").distinct())
+
+
 @query(f"WITH {LOG_LINES_SQL} SELECT run_id, seq, {FIELD_SQL} FROM log_said")
 def log_parse(spark, sf):
     return runs.informative(runs.parse_lines(event_lines(spark, sf)))
@@ -117,6 +122,70 @@ def failure_tail(spark, sf):
     return runs.failure_tail(lines, outcomes).select("run_id", "seq")
 
 
+def live_outcomes(spark, sf):
+    """Outcomes told by a stream of lines and one of exit codes; a run's code comes with each of its events."""
+    schema = table(spark, sf, "events").schema
+    lines = log_lines(table_stream(spark, sf, "events", schema, STATE_BATCH_BYTES))
+    codes = with_code(table_stream(spark, sf, "events", schema, STATE_BATCH_BYTES))
+    sink = new_folder(spark, "outcomes")
+    run_available(follow_outcomes(lines, codes), sink, new_folder(spark, "outcomes-checkpoint"))
+    return last_outcomes(spark.read.schema(TOLD_SCHEMA).parquet(sink))
+
+
+@query(OUTCOME_SQL + "SELECT run_id, outcome FROM outcomes")
+def outcome_stream(spark, sf):
+    """The same outcomes, on a stream."""
+    return live_outcomes(spark, sf).select("run_id", "outcome")
+
+
+@query(
+    f"{OUTCOME_SQL}, {LINE_NUMBERS_SQL} SELECT run_id, seq FROM line_numbers JOIN outcomes USING (run_id) "
+    "WHERE back <= 20 AND outcome = 'failure' AND NOT failed"
+)
+def failure_tail_stream(spark, sf):
+    """The same last lines, on a stream."""
+    return live_outcomes(spark, sf).select("run_id", F.inline("tail")).select("run_id", "seq")
+
+
+RAW_LINES_SQL = """
+SELECT doc_id, line, CAST(coalesce(sum(strlen(CAST(doc_id AS VARCHAR)) + strlen(line) + 2) OVER (
+    PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at
+FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS n
+      FROM documents)
+"""
+
+
+def written_logs(spark, sf):
+    """A folder of logs in which every document has written its lines, each behind the document's id."""
+    folder = new_folder(spark, "logs")
+    named = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: F.concat(F.col("doc_id").cast("string"), F.lit("\t"), line))
+    table(spark, sf, "documents").select(F.array_join(named, "\n").alias("value")).write.text(folder)
+    return folder
+
+
+def placed_lines(lines):
+    """doc_id, line and the place of the line within what its document has written, by the bytes at which lines begin."""
+    parts = lines.select(
+        F.substring_index("line", "\t", 1).cast("bigint").alias("doc_id"), F.expr("substring(line, instr(line, '\t') + 1)").alias("line"), "seq"
+    )
+    first = parts.groupBy("doc_id").agg(F.min("seq").alias("first"))
+    return parts.join(first, "doc_id").select("doc_id", "line", (F.col("seq") - F.col("first")).alias("at"))
+
+
+@query(RAW_LINES_SQL)
+def raw_logs(spark, sf):
+    """Lines of raw log files, numbered by the bytes at which they begin, read in splits that begin inside lines."""
+    return placed_lines(raw_lines(spark, written_logs(spark, sf), split_bytes=1 << 18))
+
+
+@query(RAW_LINES_SQL)
+def raw_log_stream(spark, sf):
+    """The same lines from a stream that follows the files."""
+    sink = new_folder(spark, "lines")
+    run_available(raw_line_stream(spark, written_logs(spark, sf), split_bytes=1 << 18), sink, new_folder(spark, "lines-checkpoint"))
+    return placed_lines(spark.read.schema(RAW_SCHEMA).parquet(sink))
+
+
 REPLAYED_SQL = (
     f"WITH {LOG_LINES_SQL}, {LINE_NUMBERS_SQL}, recent AS (SELECT s.* FROM log_said s "
     f"JOIN line_numbers USING (run_id, seq) WHERE back <= 50), "
@@ -244,7 +313,7 @@ def lifecycle_stream(spark, sf):
         folder, new_folder(spark, "moves-checkpoint"), EVENT_START, EVENT_MOVES,
     )
     written = moves_schema(table(spark, sf, "events"), "user_id", "event_id", "event_type")
-    return spark.read.schema(written).parquet(f"{folder}/moves").drop("late")
+    return spark.read.schema(written).parquet(f"{folder}/moves").drop("late", "batch")
 
 
 @query(FOLLOW_SQL)

@@ -187,17 +187,24 @@ def score(
     return df.select(*kept, features).mapInArrow(apply, schema)
 
 
+#: Losses are added up in these units; those too large for them, or no numbers, make a mean of nan.
+LOSS_UNITS = float(1 << 36)
+LARGEST_LOSS = float(1 << 20)
+
+
 def evaluated(
     df: DataFrame, parameters: Parameters, features: str = "features", label: str = "label", by: str | None = None
 ) -> DataFrame:
     """Rows, mean loss and accuracy of a table, by the values of a column if one is given.
 
-    Losses and hits are added up inside each Arrow batch, so that only sums leave a task, not scores.
+    Losses and hits are added up inside each Arrow batch, so that only sums leave a task, not scores. Losses are added as whole
+    numbers of 2^-36, so that the mean does not depend on the order in which tasks end.
     """
     width, classes = parameters["w1"].shape[1], parameters["w2"].shape[0]
     shared = df.sparkSession.sparkContext.broadcast(parameters)
     key = [T.StructField(by, df.schema[by].dataType)] if by else []
-    sums = [T.StructField("n", T.LongType()), T.StructField("loss", T.DoubleType()), T.StructField("correct", T.LongType())]
+    names = ("n", "high", "low", "odd", "correct")
+    sums = [T.StructField(name, T.LongType()) for name in names]
     schema = T.StructType(key + sums)
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,15 +217,22 @@ def evaluated(
             codes = groups.indices.to_numpy() if by else np.zeros(len(y), np.int64)
             n = np.bincount(codes)
             hits = np.bincount(codes, logits.argmax(axis=1) == y).astype(np.int64)
-            added = [pa.array(n.astype(np.int64)), pa.array(np.bincount(codes, losses_of(logits, y))), pa.array(hits)]
+            loss = losses_of(logits, y)
+            odd = ~(loss < LARGEST_LOSS)
+            units = np.rint(np.where(odd, 0.0, loss) * LOSS_UNITS).astype(np.int64)
+            parts = [np.zeros(len(n), np.int64) for _ in range(3)]
+            for total, part in zip(parts, (units >> 24, units & 0xFFFFFF, odd.astype(np.int64)), strict=True):
+                np.add.at(total, codes, part)
+            added = [pa.array(n.astype(np.int64)), *map(pa.array, parts), pa.array(hits)]
             yield pa.RecordBatch.from_arrays(([groups.dictionary] if by else []) + added, names=schema.names)
 
     columns = list(dict.fromkeys([*([by] if by else []), features, label]))
     partial = df.select(*columns).mapInArrow(add_up, schema)
     grouped = partial.groupBy(by) if by else partial.groupBy()
+    loss = (F.sum("high") * float(1 << 24) + F.sum("low")) / LOSS_UNITS
     return grouped.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
-        F.try_divide(F.sum("loss"), F.sum("n")).alias("loss"),
+        F.when(F.sum("odd") > 0, F.lit(float("nan"))).otherwise(F.try_divide(loss, F.sum("n"))).alias("loss"),
         F.try_divide(F.sum("correct"), F.sum("n")).alias("accuracy"),
     )
 

@@ -2,7 +2,8 @@
 
 A step takes the exact gradient of one hash-chosen bucket of rows, computed by all tasks, and
 updates the parameters on the driver. The features are staged once, partitioned by split and
-bucket, so a step reads its own bucket only and an epoch reads the table once.
+bucket, so a step reads its own bucket only and an epoch reads the table once. A run that loses its driver goes on from its
+last complete epoch.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import hashlib
 import math
 import re
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 from modelyard.operators.profile import uniform_sample
 from modelyard.operators.splits import BATCH_SIZE, hash_bucket, hash_key, train_test_split
 from modelyard.plans.network import LEARNING_RATE, Network, Parameters, evaluated, gradient_job, local_round, optimizer, pack, unpack
-from modelyard.session import discard, new_folder, pinned
-from modelyard.sources.tables import start_run, write_checkpoint
+from modelyard.session import discard, names_in, new_folder, pinned
+from modelyard.sources.tables import load_parameters, mark_epoch, marked_epochs, read_checkpoints, read_mark, start_run, write_checkpoint
 
 EPOCH_SCHEMA = "run_id string, epoch int, phase string, loss double, accuracy double"
 DRY_RUN_BATCHES = 2
@@ -30,7 +32,10 @@ DRY_RUN_BATCHES = 2
 @dataclass(frozen=True)
 class TrainingSettings:
     """Steps on whole buckets (one exact gradient each), or with `batch_size` small batches inside every bucket at the
-    same time, whose parameters are averaged once per epoch. Buckets are as many as `steps_per_epoch`."""
+    same time, whose parameters are averaged once per epoch. Buckets are as many as `steps_per_epoch`.
+
+    With `resume`, a run goes on behind the last epoch that its checkpoints mark as complete, with the optimizer's moments and the
+    features that were staged for it, so that it ends with the same bits as a run that nothing has interrupted."""
 
     epochs: int = 10
     steps_per_epoch: int = 4
@@ -40,6 +45,12 @@ class TrainingSettings:
     run_id: str = "run"
     checkpoint_path: str | None = None
     batch_size: int | None = None
+    resume: bool = False
+
+    def fingerprint(self, network: Network) -> str:
+        """What must not change between the parts of a run; it may be asked for more epochs."""
+        kept = (self.steps_per_epoch, self.learning_rate, self.optimizer.lower(), self.seed, self.batch_size)
+        return repr((*kept, network))
 
 
 @dataclass
@@ -74,23 +85,56 @@ def bucket_order(epoch: int, buckets: int, seed: int) -> list[int]:
     return sorted(range(buckets), key=lambda b: hashlib.md5(f"{seed}:{epoch}:{b}".encode()).hexdigest())
 
 
+def _last_mark(spark, settings: TrainingSettings, network: Network) -> tuple[int, dict] | None:
+    """The last complete epoch of the run that is to go on, and what was noted of it."""
+    if not (settings.resume and settings.checkpoint_path):
+        return None
+    marked = marked_epochs(spark, settings.checkpoint_path, settings.run_id)
+    if not marked:
+        return None
+    record = read_mark(spark, settings.checkpoint_path, marked[-1], settings.run_id)
+    if record["fingerprint"] != settings.fingerprint(network):
+        raise ValueError(f"run {settings.run_id} was begun with other settings: {record['fingerprint']}")
+    return marked[-1], record
+
+
 def train(
-    df: DataFrame, id_column: str, features: str, label: str, network: Network, settings: TrainingSettings
+    df: DataFrame,
+    id_column: str,
+    features: str,
+    label: str,
+    network: Network,
+    settings: TrainingSettings,
+    after_epoch: Callable[[int], None] | None = None,
 ) -> TrainingRun:
-    """Epochs of train and validate; validation is the test split, as there is no third one."""
+    """Epochs of train and validate; validation is the test split, as there is no third one.
+
+    With a checkpoint path, an epoch counts once its parameters are written and marked; one that was cut off is done again by a run
+    that resumes. `after_epoch` is called behind the mark.
+    """
     spark = df.sparkSession
     began = time.monotonic()
     parameters = network.initial(settings.seed)
     flat = pack(parameters)
     step = optimizer(settings.optimizer, flat.size, settings.learning_rate)
-    run = TrainingRun(parameters)
-    if settings.checkpoint_path:
+    run, done, staged_at = TrainingRun(parameters), 0, None
+    if (mark := _last_mark(spark, settings, network)) is not None:
+        done, record = mark
+        state = load_parameters(read_checkpoints(spark, settings.checkpoint_path, settings.run_id), done)
+        step.m, step.v, step.steps = state["adam_m"], state["adam_v"], int(state["adam_steps"][0])
+        parameters = {name: state[name] for name in parameters}
+        flat = pack(parameters)
+        run.metrics = [tuple(row) for row in record["metrics"]]
+        run.best_accuracy, run.best_epoch, staged_at = record["best_accuracy"], record["best_epoch"], record["staged"]
+    elif settings.checkpoint_path:
         start_run(spark, settings.checkpoint_path, settings.run_id)
-    staged_at = stage_features(df, id_column, features, label, settings)
+    if staged_at is None or "_SUCCESS" not in names_in(spark, staged_at):
+        staged_at = stage_features(df, id_column, features, label, settings)
     staged = spark.read.parquet(staged_at)
     tasks = staged.rdd.getNumPartitions()
+    finished = False
     try:
-        for epoch in range(1, settings.epochs + 1):
+        for epoch in range(done + 1, settings.epochs + 1):
             seen, loss, correct = 0, 0.0, 0
             if settings.batch_size:
                 mixed = hash_key(F.col(id_column), f"{settings.seed}:{epoch}")
@@ -121,8 +165,18 @@ def train(
                 write_checkpoint(
                     spark, settings.checkpoint_path, epoch, state, accuracy, run.best_accuracy, settings.run_id
                 )
+                record = {
+                    "fingerprint": settings.fingerprint(network), "staged": staged_at, "metrics": run.metrics,
+                    "best_accuracy": run.best_accuracy, "best_epoch": run.best_epoch,
+                }
+                mark_epoch(spark, settings.checkpoint_path, epoch, record, settings.run_id)
+            if after_epoch is not None:
+                after_epoch(epoch)
+        finished = True
     finally:
-        discard(spark, staged_at)
+        # What is staged outlives a run that is cut off, if it can go on.
+        if finished or not settings.checkpoint_path:
+            discard(spark, staged_at)
     run.parameters = parameters
     run.seconds = time.monotonic() - began
     return run

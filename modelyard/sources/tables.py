@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modelyard.operators.metrics import best_epoch
-from modelyard.session import delete_folder, is_folder
+from modelyard.session import delete_folder, is_folder, names_in, read_whole, write_whole
 
 STATE_SCHEMA = "project_id string, state string, at timestamp_ntz, seq bigint, spec map<string,string>"
 PROFILE_SCHEMA = "kind string, key string, n bigint"
@@ -95,15 +97,38 @@ def write_checkpoint(
 
 
 def start_run(spark: SparkSession, path: str, run_id: str) -> None:
-    """Forget the epochs of an earlier run of this name, which may have had more of them."""
-    folder = f"{path}/run_id={run_id}"
-    if is_folder(spark, folder):
-        delete_folder(spark, folder)
+    """Forget the epochs of an earlier run of this name, which may have had more of them; their marks first."""
+    for folder in (_marks(path, run_id), f"{path}/run_id={run_id}"):
+        if is_folder(spark, folder):
+            delete_folder(spark, folder)
+
+
+def _marks(path: str, run_id: str) -> str:
+    # Readers of tables pass over names that begin with an underscore.
+    return f"{path}/_marks/run_id={run_id}"
+
+
+def mark_epoch(spark: SparkSession, path: str, epoch: int, record: dict, run_id: str = "run") -> None:
+    """Tell that the checkpoint of an epoch is complete, with what a resumed run has to know."""
+    write_whole(spark, f"{_marks(path, run_id)}/epoch={epoch}", json.dumps(record))
+
+
+def marked_epochs(spark: SparkSession, path: str, run_id: str = "run") -> list[int]:
+    """The epochs of a run that are complete, in order."""
+    names = names_in(spark, _marks(path, run_id))
+    return sorted(int(name.removeprefix("epoch=")) for name in names if name.startswith("epoch="))
+
+
+def read_mark(spark: SparkSession, path: str, epoch: int, run_id: str = "run") -> dict:
+    return json.loads(read_whole(spark, f"{_marks(path, run_id)}/epoch={epoch}"))
 
 
 def read_checkpoints(spark: SparkSession, path: str, run_id: str = "run") -> DataFrame:
-    """The checkpoints of one run."""
-    return spark.read.schema(CHECKPOINT_SCHEMA).parquet(path).filter(F.col("run_id") == run_id)
+    """The checkpoints of one run; where its epochs are marked, without one that is not complete."""
+    rows = spark.read.schema(CHECKPOINT_SCHEMA).parquet(path).filter(F.col("run_id") == run_id)
+    if not is_folder(spark, _marks(path, run_id)):
+        return rows
+    return rows.filter(F.col("epoch").isin(marked_epochs(spark, path, run_id)))
 
 
 def best_or_last_epoch(checkpoints: DataFrame) -> int:

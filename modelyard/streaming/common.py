@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from modelyard.session import is_folder
+from modelyard.session import delete_folder, is_folder
 
 LINE_SCHEMA = "run_id string, seq bigint, line string"
 
@@ -44,3 +44,18 @@ def run_available(stream: DataFrame, sink: str, checkpoint: str) -> None:
         .start(sink)
         .awaitTermination()
     )
+
+
+def batches_of(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers of the folders `batch=N` below a folder; what is in them is not opened."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    names = [status.getPath().getName() for status in found if status.isDirectory()]
+    return [int(name.removeprefix("batch=")) for name in names if name.startswith("batch=")]
+
+
+def forget_batch(spark: SparkSession, folder: str, batch: int) -> None:
+    """Delete the snapshot of a batch that no later one will ask for."""
+    path = f"{folder}/batch={batch}"
+    if is_folder(spark, path):
+        delete_folder(spark, path)

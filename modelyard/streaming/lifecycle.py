@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from modelyard.operators.lifecycle import MOVES, follow_moves
+from modelyard.streaming.common import forget_batch
 
 
 def track_moves(
@@ -58,7 +59,7 @@ def track_moves(
 
 
 def moves_schema(events: DataFrame, project: str, seq: str, state: str) -> str:
-    """What the sinks of `track_moves` and `follow_stream` hold."""
+    """What the sink of `track_moves` holds, and that of `follow_stream` beside the number of the batch."""
     types = {c: events.schema[c].dataType.simpleString() for c in (project, seq, state)}
     return ", ".join(f"{c} {t}" for c, t in types.items()) + ", accepted boolean, state_after string, late boolean"
 
@@ -76,8 +77,8 @@ def follow_stream(
     """Follow the events that have arrived and stop; verdicts go to `folder`/moves.
 
     Each micro-batch is judged from the states that the batches before it reached, so an event that comes a batch
-    late is judged where it comes in, and told as late. `folder`/states holds all states after each batch; a batch
-    reads those of the one before. A batch that is run again replaces its own rows.
+    late is judged where it comes in, and told as late. `folder`/states holds all states after the last two batches; a
+    batch reads those of the one before. A batch that is run again replaces its own rows.
     """
     types = {c: events.schema[c].dataType.simpleString() for c in (project, seq)}
     reached_schema = f"{project} {types[project]}, last {types[seq]}, reached string"
@@ -107,6 +108,7 @@ def follow_stream(
                 F.coalesce("_reached", "reached").alias("reached"),
             )
         reached.write.mode("overwrite").parquet(f"{folder}/states/batch={batch_id}")
+        forget_batch(spark, f"{folder}/states", batch_id - 2)
 
     (
         events.writeStream.foreachBatch(take_in)

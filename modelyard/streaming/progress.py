@@ -18,7 +18,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from modelyard.functions.runlog import LINE_FIELDS
 from modelyard.functions.text import strip
 from modelyard.operators.runs import fold_progress, informative, parse_lines
-from modelyard.session import is_folder
+from modelyard.session import is_folder, pinned
+from modelyard.streaming.common import batches_of, forget_batch
+from modelyard.streaming.linestore import LineStore
 
 COUNTS = ("current_epoch", "total_epochs")
 NUMBERS = ("train_loss", "train_acc", "val_loss", "val_acc")
@@ -128,41 +130,40 @@ def _state_schema() -> str:
 
 def condensed_rows(spark: SparkSession, folder: str) -> DataFrame:
     """The state of every run after the last batch."""
-    states = spark.read.schema(_state_schema() + ", batch bigint").parquet(f"{folder}/states")
-    newest = states.agg(F.max("batch")).first()[0]
-    return states.filter(F.col("batch") == newest).drop("batch")
+    newest = max(batches_of(spark, f"{folder}/states"))
+    return spark.read.schema(_state_schema()).parquet(f"{folder}/states/batch={newest}")
 
 
 def fold_stream(lines: DataFrame, folder: str, checkpoint: str) -> None:
     """Fold the lines that have arrived into `folder` and stop; lines may come late and in any order.
 
-    A run ends at its first terminal line. `folder`/states holds one row per run after each batch, and a batch reads
-    that of the batch before; `folder`/lines keeps the lines that say something, which are read again only for runs
-    whose end turns out to be earlier than lines already folded. A batch that is run again replaces its own rows.
+    A run ends at its first terminal line. `folder`/states holds one row per run after the last batches, and a batch reads
+    that of the batch before. The lines that say something are kept in a store of lines; a batch reads old ones only
+    of runs whose end turns out to be earlier than lines already folded. A batch that is run again replaces its own rows.
     """
 
     def take_in(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        own = f"{folder}/lines/batch={batch_id}"
+        store = LineStore(spark, f"{folder}/lines", PARSED_SCHEMA, batch_id)
         # A run that says nothing of note is known by its last line.
         silent = batch.filter(strip(F.col("line")) != "").groupBy("run_id").agg(F.max("seq").alias("seq"))
         silent = silent.withColumns({"finished": F.lit(False), "failed": F.lit(False)})
         said = informative(parse_lines(batch)).unionByName(silent, allowMissingColumns=True)
-        said.select("run_id", "seq", *LINE_FIELDS).write.mode("overwrite").parquet(own)
-        mine = spark.read.schema(PARSED_SCHEMA).parquet(own)
+        mine = store.add(said.select("run_id", "seq", *LINE_FIELDS))
         before = spark.read.schema(_state_schema()).parquet(f"{folder}/states/batch={batch_id - 1}")
         last = F.when(F.col("finished") | F.col("failed"), F.col("seq"))
         ends = before.select("run_id", last.alias("end"), F.col("seq").alias("seen")).unionByName(
             mine.select("run_id", last.alias("end"), F.lit(None).cast("bigint").alias("seen"))
         )
         ends = ends.groupBy("run_id").agg(F.min("end").alias("end"), F.max("seen").alias("seen"))
-        ends = ends.withColumn("cut", F.coalesce(F.col("seen") > F.col("end"), F.lit(False)))
-        every = spark.read.schema(PARSED_SCHEMA + ", batch bigint").parquet(f"{folder}/lines")
-        again = every.filter(F.col("batch") < batch_id).drop("batch").join(ends.filter("cut").select("run_id"), "run_id", "left_semi")
-        kept = before.join(ends.filter("cut").select("run_id"), "run_id", "left_anti")
-        rows = kept.unionByName(_placed(mine.unionByName(again)))
+        # One row per run of this batch and the batches before.
+        ends = pinned(ends.withColumn("cut", F.coalesce(F.col("seen") > F.col("end"), F.lit(False))))
+        cut = ends.filter("cut").select("run_id")
+        rows = before.join(cut, "run_id", "left_anti").unionByName(_placed(mine.unionByName(store.earlier(cut))))
         within = rows.join(ends.select("run_id", "end"), "run_id").filter(F.col("end").isNull() | (F.col("seq") <= F.col("end")))
         _merged(within.drop("end")).write.mode("overwrite").parquet(f"{folder}/states/batch={batch_id}")
+        store.close(ends)
+        forget_batch(spark, f"{folder}/states", batch_id - 2)
 
     spark = lines.sparkSession
     if not is_folder(spark, f"{folder}/states"):

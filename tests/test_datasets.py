@@ -34,6 +34,35 @@ def test_listing_of_an_empty_folder(spark, tmp_path):
         files.list_files(spark, str(tmp_path / "absent")).count()
 
 
+def test_a_deep_tree_and_a_large_folder_are_listed_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Depth 8, half of the files in one folder: found once each, the large folder looked up page by page."""
+    monkeypatch.setattr(files, "DRIVER_FOLDERS", 3)
+    deep, names = tmp_path, set()
+    for level in range(8):
+        deep = deep / f"level{level}"
+        for side in range(4):
+            folder = deep / f"side{side}"
+            folder.mkdir(parents=True)
+            for i in range(8):
+                (folder / f"f{i}.txt").write_text("x" * i)
+                names.add(f"{folder.relative_to(tmp_path)}/f{i}.txt")
+    for i in range(256):
+        (deep / f"large{i}").write_text("12345")
+        names.add(f"{deep.relative_to(tmp_path)}/large{i}")
+    (deep / "loop").symlink_to(tmp_path)
+    (deep / "gone").symlink_to(tmp_path / "absent")
+    (deep / "file-link").symlink_to(deep / "large0")
+    names.add(f"{deep.relative_to(tmp_path)}/file-link")
+    looked = []
+    listed = files._listed
+    monkeypatch.setattr(files, "_listed", lambda frontier, *rest: looked.append(frontier.rdd.getNumPartitions()) or listed(frontier, *rest))
+    found = files.list_files(spark, str(tmp_path), page=32)
+    got = [r["relative"] for r in found.collect()]
+    assert len(got) == len(names) and set(got) == names
+    assert found.filter("name like 'large%'").agg(F.sum("length")).first()[0] == 256 * 5
+    assert max(looked) >= 7 and found.rdd.getNumPartitions() > 8
+
+
 def test_listing_is_not_on_the_driver(spark, sf):
     plan = files.list_files(spark, sf)._jdf.queryExecution().logical().toString()
     assert "binaryFile" not in plan and "content" not in plan

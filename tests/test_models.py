@@ -13,7 +13,7 @@ from modelyard.operators import metrics
 from modelyard.plans import network as net
 from modelyard.plans.training import TrainingSettings, bucket_order, dry_run, epoch_log, train
 from modelyard.operators.runs import final_progress
-from modelyard.session import new_folder
+from modelyard.session import is_folder, new_folder
 from modelyard.sources import tables
 
 
@@ -172,6 +172,65 @@ def test_a_shorter_run_forgets_the_epochs_of_a_longer_one(spark, points):
     assert kept == {"a": 1, "b": 2}
 
 
+class Stop(Exception):
+    pass
+
+
+@pytest.mark.parametrize("more", [{}, {"batch_size": 32}])
+@pytest.mark.parametrize("cut", [1, 3, 5])
+def test_a_resumed_run_ends_like_one_that_was_not_cut_off(spark, points, more, cut):
+    path, shape, begun = new_folder(spark, "checkpoints"), net.Network(6, 8, 4), []
+
+    def run(name, epochs=5, resume=False, stop=None):
+        def after(epoch):
+            begun.append((name, resume, epoch))
+            if epoch == stop:
+                raise Stop
+
+        settings = TrainingSettings(epochs, 2, 0.02, run_id=name, checkpoint_path=path, resume=resume, **more)
+        return train(points, "id", "features", "label", shape, settings, after)
+
+    whole = run("whole")
+    with pytest.raises(Stop):
+        run("cut", stop=cut)
+    staged = tables.read_mark(spark, path, cut, "cut")["staged"]
+    # The epoch behind the last mark has written its parameters, but no mark: the lost driver was not done with it.
+    tables.write_checkpoint(spark, path, cut + 1, {**whole.parameters, "adam_m": np.zeros(1)}, 1.0, 1.0, "cut")
+    assert tables.marked_epochs(spark, path, "cut") == list(range(1, cut + 1))
+    assert {r[0] for r in tables.read_checkpoints(spark, path, "cut").select("epoch").collect()} == set(range(1, cut + 1))
+    resumed = run("cut", resume=True)
+    assert [e for name, resume, e in begun if resume] == list(range(cut + 1, 6))
+    assert [m[1:] for m in resumed.metrics] == [m[1:] for m in whole.metrics]
+    assert all(np.array_equal(resumed.parameters[n], whole.parameters[n]) for n in whole.parameters)
+    assert (resumed.best_epoch, resumed.best_accuracy) == (whole.best_epoch, whole.best_accuracy)
+    assert not is_folder(spark, staged)
+    further, longer = run("cut", epochs=6, resume=True), run("longer", epochs=6)
+    assert [m[1:] for m in further.metrics][:10] == [m[1:] for m in longer.metrics][:10] and len(further.metrics) == 12
+
+
+def test_resume_begins_anew_without_marks_and_refuses_other_settings(spark, points):
+    path = new_folder(spark, "checkpoints")
+
+    def run(rate, resume=True):
+        settings = TrainingSettings(2, 2, rate, checkpoint_path=path, resume=resume)
+        return train(points, "id", "features", "label", net.Network(6, 4, 4), settings)
+
+    tables.write_checkpoint(spark, path, 7, {"w1": np.ones((2, 2))}, 1.0, 1.0)
+    first = run(0.01)
+    assert tables.marked_epochs(spark, path) == [1, 2] and len(first.metrics) == 4
+    with pytest.raises(ValueError, match="other settings"):
+        run(0.02)
+    assert len(run(0.02, resume=False).metrics) == 4
+
+
+def test_mean_loss_does_not_depend_on_the_layout(spark, points):
+    p = net.Network(6, 4, 4).initial(1)
+    means = {net.evaluated(points.repartition(n, "id"), p).first()["loss"] for n in (1, 3, 8, 40) for _ in range(2)}
+    assert len(means) == 1
+    wild = {name: value * 1e300 for name, value in p.items()}
+    assert math.isnan(net.evaluated(points, wild).first()["loss"])
+
+
 def test_evaluated_agrees_with_scored_rows(points):
     p = net.Network(6, 4, 4).initial(1)
     table = points.withColumn("part", F.when(F.col("id") % 3 > 0, F.col("id") % 3))
