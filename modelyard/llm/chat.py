@@ -1,8 +1,8 @@
 """Chat formatting from a declarative template, built from DataFrame operations only.
 
 A template says which mark opens and closes a turn of a role, whether its text is trained on, and which role may follow
-which. A state machine over the roles validates the order of turns; the formatter gives one segment per turn with its
-loss flag, and the whole text. Control strings inside texts get a backslash after their first character, one more than
+which. A state machine over the roles validates the order of turns; the formatter gives three segments per turn, its opening mark,
+its text and its closing mark, with loss flags that only texts can have, and the whole text. Control strings inside texts get a backslash after their first character, one more than
 they had, so that unescaping gives the text back; the parser reads turns and losses out of the formatted text alone.
 
 Defined cases: a null or empty text is an empty turn; a null role is an empty role; roles that the template does not know
@@ -71,14 +71,18 @@ def unescaped(text: Column, template: ChatTemplate) -> Column:
     return F.regexp_replace(text, F.lit(template.pattern().replace(r"(\\*)", r"\\(\\*)")), F.lit("$1$2$3"))
 
 
-def segment(role: Column, text: Column, template: ChatTemplate) -> Column:
-    """The marked and escaped turn."""
-    inner = escaped(text, template)
+def turn_segments(role: Column, text: Column, template: ChatTemplate) -> Column:
+    """The opening mark, the escaped text and the closing mark of a turn, each with its loss flag."""
     style = template.other
-    marked = F.concat(F.lit(style.opens), escaped(role, template), F.lit(template.name_ends), inner, F.lit(style.closes))
+    opens = F.concat(F.lit(style.opens), escaped(role, template), F.lit(template.name_ends))
+    closes, loss = F.lit(style.closes), F.lit(style.loss)
     for name, style in template.roles.items():
-        marked = F.when(role == name, F.concat(F.lit(style.opens), inner, F.lit(style.closes))).otherwise(marked)
-    return marked
+        here = role == name
+        opens = F.when(here, F.lit(style.opens)).otherwise(opens)
+        closes = F.when(here, F.lit(style.closes)).otherwise(closes)
+        loss = F.when(here, F.lit(style.loss)).otherwise(loss)
+    parts = ((opens, F.lit(False)), (escaped(text, template), loss), (closes, F.lit(False)))
+    return F.array(*[F.struct(t.alias("text"), flag.alias("loss")) for t, flag in parts])
 
 
 def final_state(roles: Column, template: ChatTemplate) -> Column:
@@ -101,9 +105,8 @@ def formatted(
     role: str = "role",
     text: str = "text",
 ) -> DataFrame:
-    """conv_id, formatted, segments (text and loss flag by turn), state, valid; one row per conversation."""
+    """conv_id, formatted, segments (text and loss flag, three by turn), state, valid; one row per conversation."""
     template = template or ChatTemplate()
-    trained = [name for name, style in template.roles.items() if style.loss]
     turns = rows.select(
         F.col(conv_id).alias("conv_id"),
         F.struct(
@@ -113,10 +116,7 @@ def formatted(
         ).alias("row"),
     )
     ordered = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("row")).alias("rows"))
-    segments = F.transform(
-        "rows",
-        lambda r: F.struct(segment(r["role"], r["text"], template).alias("text"), r["role"].isin(trained).alias("loss")),
-    )
+    segments = F.flatten(F.transform("rows", lambda r: turn_segments(r["role"], r["text"], template)))
     return (
         ordered.withColumns({"segments": segments, "state": final_state(F.col("rows.role"), template)})
         .withColumn("valid", F.col("state").isin([name for name, style in template.roles.items() if style.loss]))
@@ -151,10 +151,15 @@ def parsed(text: Column, template: ChatTemplate | None = None) -> Column:
 
 
 def digests(chats: DataFrame, template: ChatTemplate | None = None) -> DataFrame:
-    """What the formatted text says, read back: turns, and all text under the loss mask."""
+    """What the output says, read back: the turns out of the formatted text, and all text under the segments' loss flags.
+
+    `loss_agrees` tells that the parser finds the same text under the template's flags.
+    """
     read = chats.withColumn("turns", parsed(F.col("formatted"), template))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    learned = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
+    flagged = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescaped(s["text"], template or ChatTemplate()))
+    learned = F.array_join(flagged, "")
+    parsed_loss = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
     return read.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
@@ -162,5 +167,6 @@ def digests(chats: DataFrame, template: ChatTemplate | None = None) -> DataFrame
         F.length(learned).cast("long").alias("loss_chars"),
         F.sha2(learned.cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        (learned == parsed_loss).alias("loss_agrees"),
         "valid",
     )

@@ -50,15 +50,14 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(3 + sum(n + marks) AS BIGINT) AS formatted_chars,
+  CAST(3 + sum(n + marks) AS BIGINT) AS formatted_chars, true AS loss_agrees,
   bool_and(move IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user'))
     AND last(role ORDER BY turn, role, text) = 'assistant' AS valid
 FROM marked GROUP BY conv_id
 """)
 def op1_chat_formatting(spark, sf_dir):
-    extra = spark.createDataFrame(
-        [(-7, 0, "user", CONTROL_TURN), (-7, 1, "assistant", CONTROL_TURN)], "conv_id long, turn long, role string, text string"
-    )
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    extra = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(CONTROL_TURN).alias("text"))
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.digests(chat.formatted(rows.unionByName(extra)))
 

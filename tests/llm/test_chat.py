@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from modelyard.llm import chat
 
@@ -64,6 +65,21 @@ def test_states(chats):
     assert state[None] == ("user", False)
 
 
+def test_loss_flags_hold_texts_only(chats):
+    """Three segments a turn; what is under the flags, unescaped, is the assistant's texts and nothing between."""
+    template, made = chat.ChatTemplate(), chat.formatted(chats[1])
+    rows = made.select("segments", chat.parsed(F.col("formatted")).alias("turns")).collect()
+    plain = made.select(F.explode("segments").alias("s")).select("s.loss", chat.unescaped(F.col("s.text"), template).alias("text"))
+    for row in rows:
+        assert len(row["segments"]) == 3 * len(row["turns"])
+        for i, turn in enumerate(row["turns"]):
+            opens, text, closes = row["segments"][3 * i : 3 * i + 3]
+            assert not opens["loss"] and not closes["loss"] and text["loss"] == (turn["role"] == "assistant")
+    texts = sorted(t["text"] for row in rows for t in row["turns"] if t["role"] == "assistant")
+    assert sorted(r["text"] for r in plain.filter("loss").collect()) == texts
+    assert chat.digests(made).filter("not loss_agrees").count() == 0
+
+
 def test_segments_are_the_text(chats):
     for row in chat.formatted(chats[1]).collect():
         assert row["formatted"] == "<s>" + "".join(s["text"] for s in row["segments"])

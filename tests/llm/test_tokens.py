@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -43,3 +46,39 @@ def test_hard_rows(hard, hard_rows, library):
 
 def test_empty(empty):
     assert tokens.token_counts(empty, PATH, 5).count() == 0
+
+
+@pytest.mark.parametrize("piece", [1 << 20, 7, 30])
+def test_pre_tokens_and_their_hashes(piece, monkeypatch):
+    """The runs of bytes that split() gives, in texts cut into pieces or not, one hash for one word, case kept."""
+    monkeypatch.setattr(tokens, "PIECE", piece)
+    rng = random.Random(piece)
+    texts = ["".join(rng.choice(["a", "A", "é", "  ", "\n", "\t", "\x0b", "日", "xxxxx", " "]) for _ in range(rng.randint(0, 40))) for _ in range(200)]
+    texts += [None, "", " " * 50, "y" * 90]
+    hasher = tokens.PreTokens()
+    hasher.limit = piece
+    found, named = [[] for _ in texts], {}
+    for first, data, hashes, bounds, opens, closes in hasher.found(pa.array(["skipped", *texts]).slice(1)):
+        words = tokens._words(data, opens, closes)
+        for i in range(len(bounds) - 1):
+            found[first + i] += words[bounds[i] : bounds[i + 1]]
+        for word, own in zip(words, hashes.tolist(), strict=True):
+            assert named.setdefault(word, own) == own
+    assert found == [(t or "").encode().split() for t in texts]
+    assert len(set(named.values())) == len(named)
+
+
+def test_unsafe_tokenizers_are_refused(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="white space"):
+        tokens.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), 5)
+
+
+def test_frequent_pre_tokens(spark, monkeypatch):
+    """The most frequent ones with their ties by name, also when tasks forget rare ones on the way."""
+    words = [f"w{i}" for i in range(300) for _ in range(1 + (i < 40) * (60 - i))]
+    random.Random(2).shuffle(words)
+    docs = spark.createDataFrame([(" ".join(words[i : i + 50]),) for i in range(0, len(words), 50)] + [(None,)], "text string").repartition(3)
+    assert tokens.frequent_pre_tokens(docs, "text", 40) == [f"w{i}".encode() for i in range(40)]
+    monkeypatch.setattr(tokens, "CACHED", 50)
+    assert tokens.frequent_pre_tokens(docs, "text", 10) == [f"w{i}".encode() for i in range(10)]
