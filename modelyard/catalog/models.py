@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-
 from pyspark.sql import functions as F
 
 from modelyard.catalog.fixtures import CLASSES, HIDDEN, SCORED_SQL, fixed_parameters

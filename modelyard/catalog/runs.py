@@ -13,6 +13,7 @@ from modelyard.catalog.registry import query
 from modelyard.functions.runlog import LINE_FIELDS
 from modelyard.operators import lifecycle, runs
 from modelyard.session import new_folder
+from modelyard.sources import states
 from modelyard.sources.logs import SCHEMA as RAW_SCHEMA, raw_line_stream, raw_lines
 from modelyard.sources.tables import append_states, read_states, table
 from modelyard.streaming.common import STATE_BATCH_BYTES, run_available, table_stream
@@ -338,8 +339,8 @@ FROM (SELECT user_id, arg_max(event_type, event_id) AS state FROM events GROUP B
 
 @query(CURRENT_SQL)
 def current_state(spark, sf):
-    states = lifecycle.current_state(table(spark, sf, "events"), "user_id", ["ts", "event_id"], "event_type")
-    return lifecycle.next_action(states, "state", EVENT_ACTIONS)
+    now = lifecycle.current_state(table(spark, sf, "events"), "user_id", ["ts", "event_id"], "event_type")
+    return lifecycle.next_action(now, "state", EVENT_ACTIONS)
 
 
 @query(CURRENT_SQL)
@@ -356,12 +357,28 @@ def state_roundtrip(spark, sf):
         ),
         path,
     )
-    states = lifecycle.current_state(read_states(spark, path), "project_id", ["at", "seq"], "state")
-    return lifecycle.next_action(states, "state", EVENT_ACTIONS).select(
+    now = lifecycle.current_state(read_states(spark, path), "project_id", ["at", "seq"], "state")
+    return lifecycle.next_action(now, "state", EVENT_ACTIONS).select(
         F.col("project_id").cast("bigint").alias("user_id"), "state", "action"
     )
 
 
+@query(CURRENT_SQL)
+def state_snapshots(spark, sf):
+    """The same current states, from snapshots and the records that came after them."""
+    path = new_folder(spark, "states")
+    rows = table(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("project_id"), F.col("event_type").alias("state"), F.col("ts").alias("at"),
+        F.col("event_id").alias("seq"), F.create_map(F.lit("k"), fixtures.event_k().cast("string")).alias("spec"),
+    )
+    for part in range(4):
+        states.append(rows.filter(F.pmod("seq", F.lit(4)) == part), path)
+        if part in (0, 2):
+            states.compact(spark, path, keep_records=False)
+    found = lifecycle.next_action(states.current(spark, path), "state", EVENT_ACTIONS)
+    return found.select(F.col("project_id").cast("bigint").alias("user_id"), "state", "action")
+
+
 @query(
     f"""WITH current AS (
       SELECT user_id, arg_max(event_type, event_id) AS state, count(*) FILTER (event_type = 'purchase') > 0 AS known

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modelyard.operators.ordered import BLOCK, Running, blocks, running, split_hot
+from modelyard.operators.ordered import BLOCK, MOST_BROADCAST as MOST_BLOCKS, Running, blocks, running, split_hot
 from modelyard.session import ROWS_PER_KEY, limit_setting, pinned
 
 # The states and the moves between them.
@@ -279,7 +279,7 @@ def _followed(rows: DataFrame, project: str, table: MoveTable, carried: dict[int
 
 
 def _follow_blocked(df: DataFrame, project: str, order: Sequence[str], table: MoveTable, wanted_blocks: int) -> DataFrame:
-    cut = pinned(blocks(df, [project], order, wanted_blocks).sortWithinPartitions(project, *order))
+    cut = pinned(blocks(df, [project], order, wanted_blocks, MOST_BLOCKS).sortWithinPartitions(project, *order))
     key_type = df.schema[project].dataType.simpleString()
     ends_schema = f"{project} {key_type}, {BLOCK} int, first smallint, ends array<smallint>"
 

@@ -2,8 +2,8 @@
 
 Keys of a checked size go through a plain window. Rows of larger keys are range-partitioned by
 key and order, so that such a key spreads over many partitions (blocks); each block is summed
-up on its own, and the only thing carried across is one row per block boundary, which bounds
-the broadcast by the number of blocks.
+up on its own, and the only thing carried across is one row per block boundary. Where there are
+many blocks, groups of them are summed up first, so that no window holds the blocks of a whole key.
 """
 
 from __future__ import annotations
@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from modelyard.session import ROWS_PER_KEY, limit_setting, pinned, stored
 
 BLOCK = "_block"
-MAX_BLOCKS = 20_000
+#: Blocks that are summed up together, and the most whose carries are sent to all tasks; more are joined by a shuffle.
+GROUP = 1_000
+MOST_BROADCAST = 20_000
 
 
 @dataclass(frozen=True)
@@ -134,11 +136,51 @@ def _joined(step: Running, local: Column, carry: Column, first_in_block: Column)
     return (F.greatest if step.kind == "max" else F.least)(local, carry)
 
 
-def blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], wanted: int) -> DataFrame:
-    """Range-partition by key and order and number the partitions in a column."""
-    shuffled = limit_setting(df.sparkSession, "spark.sql.shuffle.partitions", 200)
-    partitions = min(max(2, shuffled, wanted), MAX_BLOCKS)
-    return df.repartitionByRange(partitions, *keys, *order).withColumn(BLOCK, F.spark_partition_id())
+def _block_count(df: DataFrame, wanted: int) -> int:
+    return max(2, limit_setting(df.sparkSession, "spark.sql.shuffle.partitions", 200), wanted)
+
+
+def blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], wanted: int, most: int | None = None) -> DataFrame:
+    """Range-partition by key and order, into at most `most` partitions, and number these in a column."""
+    n = _block_count(df, wanted)
+    return df.repartitionByRange(min(n, most or n), *keys, *order).withColumn(BLOCK, F.spark_partition_id())
+
+
+def _of_group(step: Running) -> Column:
+    """The step over the blocks of a group, out of their totals."""
+    total = F.col(f"_total_{step.name}")
+    if step.kind in ("count", "sum"):
+        return F.sum(total)
+    if step.kind in ("last", "previous"):
+        return F.max_by(total, F.when(total.isNotNull(), F.col(BLOCK)))
+    return getattr(F, step.kind)(total)
+
+
+def _added(step: Running, earlier: Column, later: Column) -> Column:
+    """What two carries, one behind the other, come to."""
+    if step.kind in ("count", "sum"):
+        return F.when(earlier.isNotNull() | later.isNotNull(), F.coalesce(earlier, F.lit(0)) + F.coalesce(later, F.lit(0)))
+    if step.kind in ("last", "previous"):
+        return F.coalesce(later, earlier)
+    return (F.greatest if step.kind == "max" else F.least)(earlier, later)
+
+
+def _carries(totals: DataFrame, keys: Sequence[str], steps: Sequence[Running], many: bool) -> DataFrame:
+    """keys, block and carries of every block that another one of its key comes before."""
+    if not many:
+        by_key = Window.partitionBy(*keys).orderBy(BLOCK)
+        told = totals.withColumn("_earlier", F.lag(BLOCK).over(by_key)).withColumns({f"_carry_{s.name}": _before_block(s, by_key) for s in steps})
+        return told.filter(F.col("_earlier").isNotNull())
+    grouped = totals.withColumn("_group", F.floor(F.col(BLOCK) / GROUP))
+    within = Window.partitionBy(*keys, "_group").orderBy(BLOCK)
+    told = grouped.withColumn("_earlier", F.lag(BLOCK).over(within)).withColumns({f"_near_{s.name}": _before_block(s, within) for s in steps})
+    groups = grouped.groupBy(*keys, "_group").agg(*[_of_group(s).alias(f"_total_{s.name}") for s in steps])
+    by_key = Window.partitionBy(*keys).orderBy("_group")
+    far = groups.withColumn("_before", F.lag("_group").over(by_key)).withColumns({f"_far_{s.name}": _before_block(s, by_key) for s in steps})
+    far = far.select(F.col("_group").alias("_of"), "_before", *[F.col(k).alias(f"_of_{k}") for k in keys], *[f"_far_{s.name}" for s in steps])
+    same = reduce(lambda a, k: a & F.col(k).eqNullSafe(F.col(f"_of_{k}")), keys, F.col("_group") == F.col("_of"))
+    both = told.join(far, same).filter(F.col("_earlier").isNotNull() | F.col("_before").isNotNull())
+    return both.withColumns({f"_carry_{s.name}": _added(s, F.col(f"_far_{s.name}"), F.col(f"_near_{s.name}")) for s in steps})
 
 
 def _running_blocked(df, keys, order, steps, wanted) -> DataFrame:
@@ -151,18 +193,12 @@ def _running_blocked(df, keys, order, steps, wanted) -> DataFrame:
     cut = stored(blocks(df.withColumns(named) if named else df, keys, order, wanted), "blocks")
     position = F.struct(*order)
 
-    by_key = Window.partitionBy(*keys).orderBy(BLOCK)
-    carry = (
-        cut.groupBy(*keys, BLOCK)
-        .agg(*[_block_total(s, position).alias(f"_total_{s.name}") for s in steps])
-        .withColumn("_earlier", F.lag(BLOCK).over(by_key))
-        .withColumns({f"_carry_{s.name}": _before_block(s, by_key) for s in steps})
-        .filter(F.col("_earlier").isNotNull())
-        .select(
-            F.col(BLOCK).alias("_carry_block"),
-            *[F.col(k).alias(f"_carry_key_{k}") for k in keys],
-            *[f"_carry_{s.name}" for s in steps],
-        )
+    n = _block_count(df, wanted)
+    totals = cut.groupBy(*keys, BLOCK).agg(*[_block_total(s, position).alias(f"_total_{s.name}") for s in steps])
+    carry = _carries(totals, keys, steps, many=n > GROUP).select(
+        F.col(BLOCK).alias("_carry_block"),
+        *[F.col(k).alias(f"_carry_key_{k}") for k in keys],
+        *[f"_carry_{s.name}" for s in steps],
     )
     same = reduce(
         lambda a, k: a & F.col(k).eqNullSafe(F.col(f"_carry_key_{k}")),
@@ -175,7 +211,7 @@ def _running_blocked(df, keys, order, steps, wanted) -> DataFrame:
         | {"_first": F.row_number().over(in_block) == 1}
     )
     # At most one key crosses the start of a block, so `carry` has fewer rows than there are blocks.
-    joined = local.join(F.broadcast(carry), same, "left")
+    joined = local.join(F.broadcast(carry) if n <= MOST_BROADCAST else carry, same, "left")
     return joined.select(
         *columns,
         *[

@@ -69,6 +69,28 @@ def described(df: DataFrame, path: Column, id_column: str, labels: DataFrame, da
     )
 
 
+SUMMARY_SCHEMA = "kind string, key string, n bigint, mark string, id string"
+
+
+def summary(df: DataFrame, path: Column, id_column: str, seed: int = 42) -> DataFrame:
+    """What can be added up of a profile: the counts, and the rows of the sample with the hashes that they were drawn by."""
+    names = df.select(path.alias("key"), F.col(id_column).alias("id"))
+    sample = uniform_sample(names, "id", SAMPLE_SIZE, seed)
+    counts = dataset_profile(df, path).select("kind", "key", "n", F.lit(None).cast("string").alias("mark"), F.lit(None).cast("string").alias("id"))
+    drawn = sample.select(
+        F.lit("sample").alias("kind"), "key", F.lit(1).cast("bigint").alias("n"), hash_key(F.col("id"), str(seed)).alias("mark"), F.col("id").cast("string").alias("id")
+    )
+    return counts.unionByName(drawn)
+
+
+def merged_summaries(summaries: DataFrame) -> DataFrame:
+    """The summary of all rows out of those of disjoint parts: of the sampled rows, those with the least hashes."""
+    counts = summaries.filter("mark is null").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    nothing = F.lit(None).cast("string")
+    drawn = summaries.filter("mark is not null").orderBy("mark", "id").limit(SAMPLE_SIZE)
+    return counts.select("kind", "key", "n", nothing.alias("mark"), nothing.alias("id")).unionByName(drawn)
+
+
 def size_check(counts: DataFrame, minimum: int, recommended: int) -> DataFrame:
     """Severity of a row count against the minimum and the recommended size."""
     severity = F.when(F.col("n") < minimum, "error").when(F.col("n") < recommended, "warning")

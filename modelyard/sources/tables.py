@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modelyard.operators.metrics import best_epoch
+from modelyard.operators.profile import SUMMARY_SCHEMA, merged_summaries
 from modelyard.session import delete_folder, is_folder, names_in, read_whole, write_whole
 
 STATE_SCHEMA = "project_id string, state string, at timestamp_ntz, seq bigint, spec map<string,string>"
@@ -51,6 +52,16 @@ def read_issues(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("table string, severity string, message string, fix string").json(f"{path}/issues")
 
 
+def add_summary(summary: DataFrame, path: str, part: str) -> None:
+    """Note the summary of one part of a dataset, such as a folder; noted again it replaces only itself."""
+    summary.coalesce(1).write.mode("overwrite").parquet(f"{path}/summaries/part={part}")
+
+
+def read_summary(spark: SparkSession, path: str) -> DataFrame:
+    """The summary of all parts that were noted, without a look at the files of any."""
+    return merged_summaries(spark.read.schema(f"{SUMMARY_SCHEMA}, part string").parquet(f"{path}/summaries").drop("part"))
+
+
 def data_context(projects: DataFrame, manifests: DataFrame, requirements: DataFrame) -> DataFrame:
     """What is known of each project's data: its manifest, else its requirements, else its source.
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import pathlib
+import random
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,7 +14,7 @@ from modelyard.operators import checks, lifecycle, profile, splits
 from modelyard.operators.checks import Rule
 from modelyard.plans.readiness import issues, readiness, size_findings
 from modelyard.session import discard, new_folder
-from modelyard.sources import files, tables
+from modelyard.sources import files, states, tables
 
 
 def test_listing(spark, tmp_path):
@@ -188,3 +192,54 @@ def test_scans_are_pruned(spark, sf):
     assert "html" not in plan("path_ext_counts")
     assert "l_orderkey" not in plan("weighted_mean")
     assert "EqualTo(role,user)" in plan("conversation_text").split("PushedFilters")[1]
+
+
+def test_summaries_of_parts_add_up(spark):
+    """Counts and the sample of fifty, whatever the parts, and whichever is noted twice."""
+    rows = [(i if i else None, f"d{i % 7}/{'e/' if i % 3 else ''}f{i}.{'TXT' if i % 2 else 'csv'}") for i in range(300)]
+    table = spark.createDataFrame(rows, "id long, path string")
+    whole = sorted(map(tuple, profile.summary(table, F.col("path"), "id").collect()), key=repr)
+    assert sum(r[0] == "sample" for r in whole) == 50
+    path = new_folder(spark, "manifest")
+    for part in (0, 1, 2, 3, 1):
+        own = table.filter(F.pmod(F.coalesce("id", F.lit(0)), F.lit(3)) == part)  # the last part is empty
+        tables.add_summary(profile.summary(own, F.col("path"), "id"), path, f"part {part}/é")
+    assert sorted(map(tuple, tables.read_summary(spark, path).collect()), key=repr) == whole
+    few = profile.summary(table.filter("id < 9"), F.col("path"), "id")
+    assert few.filter("kind = 'sample'").count() == 8
+
+
+@pytest.mark.parametrize("keep", [True, False])
+def test_states_are_those_of_all_records_after_any_compaction(spark, keep):
+    rng, path, every = random.Random(5), new_folder(spark, "states"), []
+    schema = tables.STATE_SCHEMA
+    assert states.current(spark, path).count() == 0
+    states.compact(spark, path, keep)
+
+    def check():
+        want = lifecycle.current_state(spark.createDataFrame(every, schema), "project_id", ["at", "seq"], "state")
+        got = states.current(spark, path).select("project_id", "state")
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+    for step in range(9):
+        rows = [
+            (rng.choice([None, "a", "b", "c", f"p{step}"]), rng.choice(["INIT", "DONE", None]), datetime(2024, 1, rng.randint(1, 9)), 100 * step + i, {"k": str(i)})
+            for i in range(rng.choice([1, 6]))
+        ]
+        every += rows
+        states.append(spark.createDataFrame(rows, schema), path)
+        if step in (2, 5):
+            states.compact(spark, path, keep)
+        if step == 3:  # a compaction that was cut off in front of its mark
+            states.current(spark, path).filter("project_id = 'a'").write.parquet(f"{path}/snapshots/lost")
+        if step == 6:  # an append that was cut off
+            spark.createDataFrame(rows, schema).write.json(f"{path}/records/99999-half")
+            (pathlib.Path(path) / "records/99999-half/_SUCCESS").unlink()
+        if step in (0, 3, 6, 8):
+            check()
+    states.compact(spark, path, keep)
+    states.compact(spark, path, keep)
+    check()
+    assert states.current(spark, path).filter("spec['k'] is null").count() == 0
+    assert len(list((pathlib.Path(path) / "snapshots").iterdir())) <= 2
+    assert (states.records(spark, path).count() == len(every)) == keep

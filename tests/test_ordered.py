@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from modelyard.operators import ordered, splits
 from modelyard.operators.lifecycle import STATES, MOVES, follow_moves, transition_audit
 from modelyard.operators.metrics import running_best
 from modelyard.operators.ordered import Running, running
@@ -70,6 +71,34 @@ def test_blocked_against_brute_force(table):
             assert row["prior"] == (members[at - 1]["v"] if at else None)
 
 
+def test_groups_of_blocks_equal_plain(table, monkeypatch):
+    """Hundreds of tiny blocks, summed up three by three, their carries joined by a shuffle."""
+    monkeypatch.setattr(ordered, "GROUP", 3)
+    monkeypatch.setattr(ordered, "MOST_BROADCAST", 2)
+    plain = running(table, ["k"], ["i"], steps(), max_rows_per_key=10_000)
+    assert as_set(plain) == as_set(running(table, ["k"], ["i"], steps(), max_rows_per_key=2))
+    counted = running(table, [], ["i"], [Running("n", "count"), Running("prior", "previous", F.col("i"))], max_rows_per_key=2).collect()
+    assert all(r["n"] == r["i"] + 1 and r["prior"] == (r["i"] - 1 if r["i"] else None) for r in counted)
+
+
+def test_offsets_of_more_than_65536_blocks(spark, table, monkeypatch):
+    """Blocks of five digits, one row in most, summed up two and one digits at a time."""
+    names = [f"{i * 9973 % 16**5:05x}" for i in range(70_000)]
+    counts = spark.createDataFrame([(name, 1 + i % 3) for i, name in enumerate(names)], "_block string, _n long")
+    want, total = {}, 0
+    sizes = {name: 1 + i % 3 for i, name in enumerate(names)}
+    for name in sorted(names):
+        want[name] = total
+        total += sizes[name]
+    assert len(want) == 70_000
+    for digits in (3, 2, 1):
+        monkeypatch.setattr(splits, "DIGITS_AT_ONCE", digits)
+        assert {r["_block"]: r["_offset"] for r in splits.block_offsets(counts, 5).collect()} == want
+    one = {r["i"]: r["position"] for r in shuffled_batches(table, "i", epoch=1).collect()}
+    monkeypatch.setattr(splits, "ROWS_PER_BLOCK", 0.0005)  # a million blocks for six hundred rows
+    assert one == {r["i"]: r["position"] for r in shuffled_batches(table, "i", epoch=1).collect()}
+
+
 def test_without_keys(table):
     got = running(table, [], ["i"], [Running("n", "count")], max_rows_per_key=50).collect()
     assert all(r["n"] == r["i"] + 1 for r in got)
