@@ -419,13 +419,17 @@ def class_links(segments: DataFrame, docs: DataFrame, settings: JaccardSettings,
     sets = scratch.stored(shingle_sets(docs, needed, settings, doc_id, text), "shingles")
 
     links = pinned(verified(near, sets, percent))
-    members = scratch.stored(undecided(stars, components(links)), "undecided")
+    found = components(links)
+    members = scratch.stored(undecided(stars, found), "undecided")
     if members.isEmpty():
-        return components(links)
+        return found
     pairs, large = apart(members, sets, percent, scratch)
-    links = pinned(links.unionByName(verified(may_link(pairs, shown, percent), sets, percent)))
+    more = pinned(verified(may_link(pairs, shown, percent), sets, percent))
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        found = None
     if large.isEmpty():
-        return components(links)
+        return components(links) if found is None else found
     borders = border(large, members, sets, percent, scratch)
     furthest = across(borders, best=True).select("u", "v").distinct()
     links = pinned(links.unionByName(verified(may_link(furthest, shown, percent), sets, percent)))
@@ -433,7 +437,8 @@ def class_links(segments: DataFrame, docs: DataFrame, settings: JaccardSettings,
     names = [found.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in ("a", "b")]
     still = borders.join(names[0], "a", "left").join(names[1], "b", "left").filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
     rest = across(still, best=False).select("u", "v").distinct()
-    return components(links.unionByName(verified(may_link(rest, shown, percent), sets, percent)))
+    last = pinned(verified(may_link(rest, shown, percent), sets, percent))
+    return found if last.isEmpty() else components(links.unionByName(last))
 
 
 def linked(
