@@ -251,7 +251,7 @@ class Stopped(Exception):
 
 @query(
     f"""SELECT epoch, phase, true AS same, true AS parameters_same, CAST(5 AS BIGINT) AS marked
-    FROM (SELECT DISTINCT CASE WHEN split = 'train' THEN 'training' ELSE 'validation' END AS phase FROM ({SPLIT_SQL})),
+    FROM (SELECT DISTINCT phase FROM ({SPLIT_SQL})),
          (SELECT unnest(range(1, 6)) AS epoch)"""
 )
 def resumed_run(spark, sf):
