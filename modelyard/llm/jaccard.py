@@ -9,13 +9,15 @@ the difference too, has ruled out most of them. Bands are such that similar sets
 
 Equal sets are one class throughout, and classes are the nodes: ids enter only at the end. Keys are counted in rounds, a part
 of them at a time, together with a signature of their members; of keys that the same classes share (most keys of two near copies
-are such) one stays. Groups of classes that share a key are not expanded into pairs: the member that shares most keys with
-others is their center, and all members are compared with it. Let E(u) be the symmetric
+are such) one stays. Groups of classes that share a key are not expanded into pairs: the class that shares most keys with
+others, in the group or in those that its members are in, too, is their center, and all members are compared with it, so that
+the groups of a set of copies have few centers between them. Let E(u) be the symmetric
 difference of u and its center. Then that of u and v is the symmetric difference of E(u) and E(v); if it is no larger than
 the largest that links u and v although E(u) and E(v) have nothing in common, then both u and v link with the center (the
 bound grows by less than the size does). So members that are in different components after the comparison with the
-center link only if they share elements of E, and a prefix-filtered join on the rarest elements of E, first of components and
-then of their members, finds those pairs. Two large components that share such elements (a page and its second edition, with
+center link only if they share elements of E, and a prefix-filtered join on the rarest elements of E finds those pairs: one of
+the two is not near to the center, so that they share more than half of what the other differs in (`apart`).
+Two large components that share such elements (a page and its second edition, with
 many near copies each) are not joined member by member: their members are compared with one member of the other
 component, and only those that are near enough to it can have a link across (`border`).
 In groups of up to SMALL members the remaining pairs are few enough to be compared as they are.
@@ -49,6 +51,8 @@ SMALL = 16
 #: part, or of a few parts with so many keys together, is what lies on the disks at a time.
 ROUNDS = 8
 AT_A_TIME = 8_000_000
+#: How many groups away from a group its center may be.
+HOPS = 2
 #: Pairs of components are joined member by member up to so many times as many pairs as they have members.
 EVEN = 4
 
@@ -256,21 +260,28 @@ def telling(groups: DataFrame, scratch: Scratch) -> DataFrame:
 def centered(groups: DataFrame) -> DataFrame:
     """key, center, node: the members of each group beside its center; `groups` has key, node, members.
 
-    The center is the member that shares most keys with others, which the original of edited copies does.
+    The center is the node that shares most keys with others, which the original of edited copies does: of the members of the
+    group and of the groups that these are in. So the groups of copies that share an edit, which the original is not in,
+    have it as their center, too, and a set of copies has few centers however many keys its members share.
     """
     popular = groups.groupBy("node").agg(F.sum("members").alias("shares"))
-    ranked = groups.join(popular, "node").groupBy("key").agg(F.max(F.struct("shares", "node")).alias("best"))
-    chosen = pinned(ranked.select("key", F.col("best.node").alias("center")))
-    return groups.select("key", "node").join(small_side(chosen), "key").filter("node <> center")
+    within = groups.select("key", "node")
+    best = popular.select("node", F.struct("shares", "node").alias("best"))
+    for _ in range(HOPS):
+        of_keys = within.join(best, "node").groupBy("key").agg(F.max("best").alias("best"))
+        best = pinned(within.join(of_keys, "key").groupBy("node").agg(F.max("best").alias("best")))
+    of_keys = within.join(best, "node").groupBy("key").agg(F.max("best").alias("best"))
+    chosen = pinned(of_keys.select("key", F.col("best.node").alias("center")))
+    return within.join(small_side(chosen), "key").filter("node <> center")
 
 
 def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """center, node, n (the node's size) and edits (the symmetric difference)."""
+    """center, node, n (the node's size), m (the center's) and edits (the symmetric difference)."""
     nodes = sets.select("node", F.col("elements").alias("own"))
     centers = sets.select(F.col("node").alias("center"), F.col("elements").alias("its"))
     edits = F.concat(F.array_except("own", "its"), F.array_except("its", "own"))
     both = pairs.join(nodes, "node").join(centers, "center")
-    return both.select("center", "node", F.size("own").alias("n"), edits.alias("edits"))
+    return both.select("center", "node", F.size("own").alias("n"), F.size("its").alias("m"), edits.alias("edits"))
 
 
 def undecided(stars: DataFrame, known: DataFrame) -> DataFrame:
@@ -291,42 +302,53 @@ def apart(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -
     """Where members of a star that are in different components might link, as they share rare elements of their edits.
 
     u, v: pairs of members of components one of which is small; center, a, b: pairs of large components.
-    A pair links only if it shares t >= (|E(u)| + |E(v)| - D) / 2 elements, D being the largest difference that links. With
-    elements in the order of rarity, the member with fewer edits then has a shared element among its first D / 2 + 1,
-    the other among its first D + 1. Elements that only one component holds join nothing, however many of its members hold them.
+    Let a(u) be (100 + percent) * |E(u)| - (100 - percent) * |u|. A pair links only if it shares t elements of E with
+    2 * (100 + percent) * t >= a(u) + a(v). Members with a(u) <= (100 - percent) * |center| link with the center, so that of two
+    members in different components the one with the larger a is beyond that. With elements in one order, the member with the
+    smaller a then has a shared element among its first |E(u)| - t + 1 for the least such t, which for members near to the
+    center is about half of their edits, and the other among its first D + 1, D being the largest difference that links; behind
+    the first element that they share both still have t - 1. Elements that only one component holds join nothing, however
+    many of its members hold them, and come first in the order; then the rare ones.
     """
-    largest = F.floor((F.col("n") + F.floor(F.col("n") * 100 / percent)) * (100 - percent) / (100 + percent))
-    edited = differences(members.select("center", "node"), sets).join(members, ["center", "node"])
-    elements = scratch.stored(
-        edited.select("center", "node", "component", largest.cast("int").alias("most"), F.explode("edits").alias("element")), "edits"
-    )
-    seen = elements.groupBy("center", "element").agg(
-        F.count(F.lit(1)).alias("times"), (F.min("component") < F.max("component")).alias("across")
-    )
-    nth = F.row_number().over(Window.partitionBy("center", "node").orderBy("times", "element"))
-    placed = elements.join(seen, ["center", "element"]).withColumn("nth", nth).filter("across and nth <= most + 1")
-    ordered = scratch.stored(placed.withColumn("few", F.col("nth") <= F.floor(F.col("most") / 2) + 1), "prefixes")
-
-    held = ordered.groupBy("center", "element", "component").agg(F.bool_or("few").alias("few"))
-    one = held.filter("few").select("center", "element", F.col("component").alias("a"))
-    other = held.select("center", "element", F.col("component").alias("b"))
-    met = one.join(other, ["center", "element"]).filter("a <> b").select("center", "element", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    up, down = 100 + percent, 100 - percent
+    most = F.floor((F.col("n") + F.floor(F.col("n") * 100 / percent)) * down / up)
+    slack = F.size("edits") * F.lit(up).cast("long") - F.col("n") * down
     size = members.groupBy("center", "component").agg(F.count(F.lit(1)).alias("size"))
-    sized = (
-        met.distinct()
-        .join(size.select("center", F.col("component").alias("a"), F.col("size").alias("of_a")), ["center", "a"])
-        .join(size.select("center", F.col("component").alias("b"), F.col("size").alias("of_b")), ["center", "b"])
-        .withColumn("even", F.col("of_a") * F.col("of_b") <= EVEN * (F.col("of_a") + F.col("of_b")))
+    sized = members.join(size, ["center", "component"])
+    edited = differences(members.select("center", "node"), sets).join(sized, ["center", "node"])
+    facts = ["center", "node", "component", "size", most.cast("int").alias("most"), F.size("edits").alias("e"), slack.alias("a")]
+    told = scratch.stored(edited.select(*facts, (F.col("m") * F.lit(down).cast("long")).alias("reach"), "edits"), "edits")
+    elements = told.select("center", "node", "component", F.explode("edits").alias("element"))
+    seen = elements.groupBy("center", "element").agg(
+        F.count(F.lit(1)).alias("times"), F.min("component").alias("one"), F.max("component").alias("other")
     )
-    sized = scratch.stored(sized, "met")
-
-    def side(component, node):
-        return ordered.select("center", "element", F.col("component").alias(component), F.col("node").alias(node))
-
-    small = sized.filter("even").select("center", "element", "a", "b")
-    pairs = small.join(side("a", "u"), ["center", "element", "a"]).join(side("b", "v"), ["center", "element", "b"])
-    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    return pairs, sized.filter("not even").select("center", "a", "b").distinct()
+    shared = elements.select("center", "node", "element").join(seen.filter("one < other").select("center", "element", "times"), ["center", "element"])
+    own = Window.partitionBy("center", "node")
+    nth = F.col("e") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("times", "element"))
+    placed = shared.join(told.drop("edits"), ["center", "node"]).withColumn("nth", nth).filter("nth <= most + 1")
+    least = F.ceil((F.col("a") + F.greatest("a", F.col("reach") + 1)) / (2 * up))
+    few = F.col("nth") <= F.col("e") - least + 1
+    kept = ["center", "element", "node", "component", "size", "a", (F.col("e") - F.col("nth") + 1).alias("rest"), few.alias("few")]
+    ordered = scratch.stored(placed.select(*kept), "prefixes")
+
+    def even(a, b):
+        return F.col(a) * F.col(b) <= EVEN * (F.col(a) + F.col(b))
+
+    def side(name, rows):
+        return rows.select("center", "element", *[F.col(c).alias(f"{c}_{name}") for c in ("node", "component", "size", "a", "rest")])
+
+    first, second = side("u", ordered.filter("few")), side("v", ordered)
+    asked = F.struct("a_u", "node_u") < F.struct("a_v", "node_v")
+    enough = 2 * up * F.least("rest_u", "rest_v") >= F.col("a_u") + F.col("a_v")
+    met = first.join(second, ["center", "element"]).filter((F.col("component_u") != F.col("component_v")) & asked & enough & even("size_u", "size_v"))
+    pairs = met.select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v")).distinct()
+
+    # Both components of a pair that is not even are larger than EVEN.
+    held = ordered.filter(F.col("size") > EVEN).groupBy("center", "element", "component", "size").agg(F.bool_or("few").alias("few"))
+    one = held.filter("few").select("center", "element", F.col("component").alias("a"), F.col("size").alias("of_a"))
+    other = held.select("center", "element", F.col("component").alias("b"), F.col("size").alias("of_b"))
+    large = one.join(other, ["center", "element"]).filter((F.col("a") != F.col("b")) & ~even("of_a", "of_b"))
+    return pairs, scratch.stored(large.select("center", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "large")
 
 
 def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:

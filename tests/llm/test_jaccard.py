@@ -204,6 +204,30 @@ def test_editions_are_not_compared_copy_by_copy(spark, editions, copies, share,
     assert sum(counted) < 40 * len(rows), counted
 
 
+def test_far_copies_are_not_paired(spark, monkeypatch):
+    """Many copies of one text, edited more than links with it allow, at places that are the same by chance: few pairs are compared."""
+    rng, rows, counted = random.Random(8), [], []
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(180)]
+    for _ in range(400):
+        copy = list(base)
+        for at in rng.sample(range(len(base)), rng.randint(2, 7)):
+            copy[at] = f"n{rng.randint(0, 10**6)}"
+        rows.append((len(rows), " ".join(copy)))
+    plain = jaccard.may_link
+
+    def counting(pairs, *more):
+        counted.append(pairs.count())
+        return plain(pairs, *more)
+
+    monkeypatch.setattr(jaccard, "may_link", counting)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = linked(docs, JaccardSettings(5, 80))
+    assert found == brute(rows, 5, 80)
+    assert 100 < len({c for _, _, c in found}) < len(rows)
+    # Behind the pairs within small groups and with the centers come those that share rare edits.
+    assert len(counted) > 1 and sum(counted[1:]) < 5 * len(rows), counted
+
+
 def test_a_link_at_the_border_of_two_groups(spark):
     """Large groups that do not link with each other's centers, but two of their members do."""
     rng, rows = random.Random(7), []
