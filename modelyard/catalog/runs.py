@@ -169,8 +169,8 @@ def placed_lines(lines):
     parts = lines.select(
         F.substring_index("line", "\t", 1).cast("bigint").alias("doc_id"), F.expr("substring(line, instr(line, '\t') + 1)").alias("line"), "seq"
     )
-    first = parts.groupBy("doc_id").agg(F.min("seq").alias("first"))
-    return parts.join(first, "doc_id").select("doc_id", "line", (F.col("seq") - F.col("first")).alias("at"))
+    first = F.min("seq").over(Window.partitionBy("doc_id"))  # the files are read once
+    return parts.filter("doc_id is not null").select("doc_id", "line", (F.col("seq") - first).alias("at"))
 
 
 @query(RAW_LINES_SQL)

@@ -31,6 +31,8 @@ FORMAT = "raw_log"
 SCHEMA = "path string, seq bigint, line string"
 SPLIT_BYTES = 128 << 20
 BLOCK = 4 << 20
+#: Splits smaller than this are read several to a task.
+TASK_BYTES = 8 << 20
 LINE_FEED = 0x0A
 
 
@@ -44,10 +46,29 @@ class Split(InputPartition):
     size: int
 
 
+@dataclass
+class Splits(InputPartition):
+    """Splits that one task reads, one after the other."""
+
+    splits: list[Split]
+
+
 def splits_of(path: str, start: int, end: int, size: int, split_bytes: int) -> list[Split]:
     return [Split(path, at, min(at + split_bytes, end), size) for at in range(start, end, split_bytes)]
 
 
+def packed(splits: list[Split], least: int = TASK_BYTES) -> list[Splits]:
+    """The splits in their order, so many together that they have `least` bytes, so that small splits do not make as many tasks."""
+    found, held = [], 0
+    for split in splits:
+        if not found or held >= least:
+            found.append(Splits([]))
+            held = 0
+        found[-1].splits.append(split)
+        held += split.end - split.start
+    return found
+
+
 def _as_batch(path: str, data: bytes, first: int, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
     """Lines data[start:end], one behind the other with a line feed between; the data begins at byte `first` of the file.
 
@@ -136,13 +157,13 @@ class LogReader(DataSourceReader):
     def __init__(self, uri: str, split_bytes: int):
         self.uri, self.split_bytes = uri, split_bytes
 
-    def partitions(self) -> list[Split]:
+    def partitions(self) -> list[Splits]:
         found = [s for path, size in _listed(self.uri) for s in splits_of(path, 0, size, size, self.split_bytes)]
-        return found or [Split("", 0, 0, 0)]
+        return packed(found) or [Splits([])]
 
-    def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
-        if partition.path:
-            yield from _read(self.uri, partition)
+    def read(self, partition: Splits) -> Iterator[pa.RecordBatch]:
+        for split in partition.splits:
+            yield from _read(self.uri, split)
 
 
 class LogStreamReader(DataSourceStreamReader):

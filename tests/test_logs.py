@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from modelyard.functions.runlog import FINISHED_MARK
 from modelyard.operators import runs
 from modelyard.session import new_folder
-from modelyard.sources.logs import SCHEMA, Split, lines_of, lines_of_runs, raw_line_stream, raw_lines, splits_of, whole_lines
+from modelyard.sources.logs import SCHEMA, LogReader, Split, lines_of, lines_of_runs, packed, raw_line_stream, raw_lines, splits_of, whole_lines
 from modelyard.streaming.common import run_available
 
 
@@ -93,3 +93,14 @@ def test_stream_follows_growing_files(spark, tmp_path):
     assert stream == batch and batch["a"]["finished"] and read.filter(F.col("path").endswith("b.log")).count() == 2
     (logs / "a.log").write_bytes(b"again\n")
     assert (0, "again") in go_on()
+
+
+def test_small_splits_share_tasks(tmp_path):
+    """As many tasks as the bytes need, however small the splits; every line is read once."""
+    text = "".join(f"line {i}\n" for i in range(200_000))
+    (tmp_path / "a.log").write_text(text)
+    reader = LogReader(f"file://{tmp_path}", 1 << 10)
+    parts = reader.partitions()
+    assert len(parts) == 1
+    assert sum(len(batch) for part in parts for batch in reader.read(part)) == 200_000
+    assert [len(p.splits) for p in packed([Split("p", i, i + 10, 90) for i in range(0, 90, 10)], 40)] == [4, 4, 1]
