@@ -28,8 +28,10 @@ def answers_to_spec(answers: DataFrame, project: str) -> DataFrame:
     A repeated topic keeps its first place and takes its last answer; among topics of one
     field the last place wins. A class count that is no integer changes nothing.
     """
+    # Aggregates of texts are sorted: rows are dealt out first, so that no task sorts all answers made from one split of a file.
+    dealt = answers.filter(routed_field(F.col("topic")).isNotNull()).repartition(project, "topic", "seq")
     by_topic = (
-        answers.groupBy(project, "topic")
+        dealt.groupBy(project, "topic")
         .agg(F.min("seq").alias("place"), F.max_by("answer", "seq").alias("answer"))
         .withColumn("field", routed_field(F.col("topic")))
         .withColumn("number", strip(F.col("answer")).try_cast("bigint"))

@@ -227,3 +227,10 @@ def test_answers(spark):
     # The repeated topic keeps its first place, so the topic after it wins.
     assert got[2]["num_classes"] == 4
     assert (got[3]["num_classes"], got[3]["pretrained"], got[3]["input_shape"]) == (7, False, None)
+
+
+def test_answers_are_dealt_out_before_they_are_sorted(spark):
+    df = spark.createDataFrame([("a", 0, "Number of classes", "3"), ("a", 1, "Batch size", "64")], "p string, seq int, topic string, answer string")
+    spec = answers_to_spec(df, "p")
+    assert "REPARTITION_BY_COL" in spec._jdf.queryExecution().executedPlan().toString()
+    assert [r["num_classes"] for r in spec.collect()] == [3]
